@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from lodestone.llm.language import op3_language
 from lodestone.llm.packing import op5_packing
 from lodestone.llm.quality import op8_quality
+from lodestone.llm.simhash import op10_simhash
 
 QUERIES = {
+    "op3_language": op3_language,
     "op5_packing": op5_packing,
     "op8_quality": op8_quality,
+    "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}

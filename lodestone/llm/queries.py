@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from lodestone.llm.decontaminate import op2_decontaminate
 from lodestone.llm.language import op3_language
 from lodestone.llm.packing import op5_packing
 from lodestone.llm.quality import op8_quality
 from lodestone.llm.simhash import op10_simhash
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_language": op3_language,
     "op5_packing": op5_packing,
     "op8_quality": op8_quality,

@@ -6,13 +6,17 @@ from lodestone.llm.decontaminate import op2_decontaminate
 from lodestone.llm.language import op3_language
 from lodestone.llm.packing import op5_packing
 from lodestone.llm.quality import op8_quality
+from lodestone.llm.sharding import OP1_SQL, op1_sharding
 from lodestone.llm.simhash import op10_simhash
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
     "op3_language": op3_language,
     "op5_packing": op5_packing,
     "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": OP1_SQL,
+}

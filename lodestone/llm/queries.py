@@ -6,6 +6,7 @@ from lodestone.llm.decontaminate import op2_decontaminate
 from lodestone.llm.language import op3_language
 from lodestone.llm.packing import op5_packing
 from lodestone.llm.quality import op8_quality
+from lodestone.llm.secrets import op9_secrets
 from lodestone.llm.sharding import OP1_SQL, op1_sharding
 from lodestone.llm.simhash import op10_simhash
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op5_packing": op5_packing,
     "op8_quality": op8_quality,
+    "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lodestone.llm.decontaminate import op2_decontaminate
 from lodestone.llm.language import op3_language
 from lodestone.llm.packing import op5_packing
+from lodestone.llm.pii import op4_pii
 from lodestone.llm.quality import op8_quality
 from lodestone.llm.secrets import op9_secrets
 from lodestone.llm.sharding import OP1_SQL, op1_sharding
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
     "op3_language": op3_language,
+    "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,

@@ -10,6 +10,7 @@ from lodestone.llm.quality import op8_quality
 from lodestone.llm.secrets import op9_secrets
 from lodestone.llm.sharding import OP1_SQL, op1_sharding
 from lodestone.llm.simhash import op10_simhash
+from lodestone.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_pii": op4_pii,
     "op5_packing": op5_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,

@@ -233,5 +233,26 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     return apply_rules(stats, fit(stats, labels, sample))
 
 
+def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that neither the base rules nor the trees reject.
+
+    Texts pass through once, with no shuffle; the trees are fitted on a sample of labels that is small enough to broadcast.
+    """
+    known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where(~held_out())
+    chosen = F.broadcast(bounded_sample(known, sample))  # about `sample` rows at most
+    rows = document_statistics(docs.join(chosen.select("doc_id"), "doc_id", "left_semi")).join(chosen, "doc_id").select("quality", *FEATURES).toPandas()
+    order = np.lexsort(rows[list(FEATURES)].to_numpy().T)
+    trees = fit_trees(rows[list(FEATURES)].to_numpy(float)[order], rows["quality"].to_numpy(float)[order], list(FEATURES.values()))
+
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo, hi, buf, off in tb.blocks(batch.column("text")):
+            stat = statistics(buf, off)
+            good = (stat["n_words"] >= 50) & (100 * stat["n_repeat_words"] <= 50 * stat["n_words"])
+            good &= trees.score(np.stack([stat[n] for n in FEATURES], 1)) >= least
+            yield batch.slice(lo, hi - lo).filter(pa.array(good))
+
+    return map_batches(docs, one, docs.schema)
+
+
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.llm.decontaminate import op2_decontaminate
+from lodestone.llm.html import op6_html
 from lodestone.llm.language import op3_language
 from lodestone.llm.packing import op5_packing
 from lodestone.llm.pii import op4_pii
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_pii": op4_pii,
     "op5_packing": op5_packing,
+    "op6_html": op6_html,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,

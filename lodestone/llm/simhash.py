@@ -25,6 +25,8 @@ from lodestone.llm.components import connected
 WORDS, BITS = 4, 4
 #: Blocks of a fingerprint that must agree; 2 of 6 for 4 bits gives 15 tables with keys of about 21 bits.
 KEEP = 2
+#: Ids of dropped documents that are sent to all executors at most (8 bytes each and their table).
+BROADCAST_IDS = 2_000_000
 SEED = 42
 _FAN = 8
 _CHUNK = 1 << 20
@@ -220,5 +222,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, keep:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, bits: int = BITS, keep: int = KEEP) -> DataFrame:
+    """The rows of docs, all columns, of which one document of each component stays: that of the least doc_id.
+
+    Rows that repeat a doc_id and text count as one; rows without a doc_id can't stand for others and stay. Only ids are
+    joined: those that go are broadcast up to BROADCAST_IDS, beyond that texts are shuffled once.
+    """
+    placed = stored(near_duplicates(docs, words, bits, keep).where("doc_id is not null"), "placed")
+    # A doc_id with several texts goes where any of them stands for its component.
+    gone = placed.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("own"), F.count(F.lit(1)).alias("rows")).where("own = 0 or rows > 1")
+    gone = stored(gone, "gone")
+    few = gone.count() <= BROADCAST_IDS
+
+    def of(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.col("doc_id").alias("_gone"))
+        return F.broadcast(rows) if few else rows
+
+    same = F.col("doc_id").cast("long") == F.col("_gone")
+    stay = docs.join(of(gone), same, "left_anti")
+    repeated = gone.where("own > 0")
+    if repeated.isEmpty():
+        return stay
+    return stay.unionByName(docs.join(of(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -1,10 +1,56 @@
-"""A training-data pipeline: quality rules, near-dedup, decontamination, pseudonyms, packing."""
+"""A training-data pipeline over `documents`: quality rules, near-dedup, decontamination, pseudonyms, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs.
+All but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import decontaminate, packing, pii, quality, simhash
+from lodestone.llm.arrow import checkpoint_dir, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the trees reject go."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts gets pseudonyms; n_chars is that of the new text."""
+    return pii.pseudonymise(docs).drop("pii").withColumn("n_chars", F.length("text").cast("long"))
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents, packed into sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", quality_rules), ("near_dedup", near_dedup), ("decontaminate", decontamination), ("pii", pseudonyms), ("packing", best_fit)]
+#: Trees, MinHash and a tokenizer are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents; what lies between them goes to the shared checkpoint folder."""
+    docs = table(spark, sf_dir, "documents")
+    checkpoint_dir(spark)
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(path := f"{base}/{k}-{name}")
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

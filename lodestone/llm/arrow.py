@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,6 +27,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return checkpoint_dir(df.sparkSession) and df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, which takes less room than a checkpoint for many rows of numbers."""
+    checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared folder; set for local sessions that have none."""
     sc = spark.sparkContext

@@ -1,6 +1,6 @@
 """The registered queries of the engine's operators."""
 
-from lodestone.plans import governance_queries, metric_queries, retrieval_queries, stream_queries
+from lodestone.plans import diagnostic_queries, governance_queries, metric_queries, retrieval_queries, stream_queries
 from lodestone.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "governance_queries", "metric_queries", "retrieval_queries", "stream_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "diagnostic_queries", "governance_queries", "metric_queries", "retrieval_queries", "stream_queries"]

@@ -1,9 +1,9 @@
-"""Benchmark decontamination: MinHash containment search partitioned by size, verified by exact shingle containment.
+"""Benchmark decontamination: every document that holds enough of an item's shingles, exactly.
 
-A short item inside a long document has too small a Jaccard similarity for MinHash, so items are split into size classes and
-each class looks at windows of the document of four times its largest item, half a window apart: an item that is there lies
-wholly in one window, of comparable size. Windows and items that share a MinHash value are candidates; their documents
-are then verified against the item's whole set of shingles. Documents are read once for each block of items and never shuffled.
+A document that has at least LEAST of an item's q distinct shingles must have one of any q - ceil(LEAST q) + 1 of them, wherever
+they stand in it. So many shingles of each item are looked up; documents that have one are verified against the item's whole
+set. Nothing is missed, however short the item or scattered its shingles, up to the chance that two 64-bit hashes agree. Documents
+are read once for each block of items and never shuffled.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import textbytes as tb
 from lodestone.llm.arrow import map_batches, table
 
-#: Words of a shingle, least share of an item's distinct shingles in a document, MinHash functions.
-WORDS, LEAST, HASHES = 5, 0.8, 48
+#: Words of a shingle, least share of an item's distinct shingles in a document.
+WORDS, LEAST = 5, 0.8
 #: Characters of benchmark text that are sent to the executors at a time; a larger benchmark is searched in several blocks.
 ITEM_BLOCK = 16_000_000
 FOUND = "doc_id long, item_id long, containment double, n_shared long, n_item_shingles long"
@@ -35,30 +35,35 @@ def shingles(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarra
 
 
 @dataclass
-class SizeClass:
-    """Items of one shingle width and of up to `most` shingles."""
+class Lookup:
+    """The shingles by which items of one width are looked up, in order, and whose they are."""
 
     words: int
-    most: int
-    items: np.ndarray
-    values: list[np.ndarray]
-    owners: list[np.ndarray]
+    values: np.ndarray
+    owners: np.ndarray
     sieve: np.ndarray
 
 
-def _salts(n: int) -> np.ndarray:
-    return tb.mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+def _pairs(values: np.ndarray, owners: np.ndarray, wanted: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """(row, owner) for each sorted value that is equal to a wanted one, without repeats."""
+    lo, hi = np.searchsorted(values, wanted, "left"), np.searchsorted(values, wanted, "right")
+    per = hi - lo
+    at = np.repeat(lo, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    return np.unique(np.stack((np.repeat(row, per), owners[at]), 1), axis=0)
 
 
-def _permuted(h: np.ndarray, salt: np.uint64) -> np.ndarray:
-    h = h * salt
-    return h ^ (h >> np.uint64(29))
+def needed(size: int, least: float) -> int:
+    """The fewest of `size` shingles, one at least, that are `least` of them, by the comparison that verifies them."""
+    n = min(size, max(1, int(least * size)))
+    while n < size and n < least * size:
+        n += 1
+    return n
 
 
 class Benchmark:
-    """A block of items with their shingles and MinHash values by size class. Items without a word are left out."""
+    """A block of items with their shingles and those that are looked up. Items without a word are left out."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], hashes: int = HASHES, words: int = WORDS):
+    def __init__(self, ids: list[int], texts: list[str | None], least: float = LEAST, words: int = WORDS):
         self.ids, self.sets, width = [], [], []
         column = pa.array([t or "" for t in texts], pa.string())
         found: dict[int, tuple[int, np.ndarray]] = {}
@@ -70,53 +75,28 @@ class Benchmark:
             self.ids.append(ids[k])
             self.sets.append(h)
             width.append(w)
-        self.salts = _salts(hashes)
-        self.classes: list[SizeClass] = []
-        size = np.array([len(s) for s in self.sets], np.int64)
+        self.lookups: list[Lookup] = []
         width = np.array(width, np.int64)
-        step = np.ceil(np.log2(np.maximum(size, 8))).astype(np.int64)
-        for w, c in sorted(set(zip(width.tolist(), step.tolist(), strict=True))):
-            items = np.flatnonzero((width == w) & (step == c))
-            values, owners, sieve = [], [], np.zeros((hashes, 1 << 14), bool)
-            for j, salt in enumerate(self.salts):
-                mins = np.array([_permuted(self.sets[i], salt).min() for i in items], np.uint64)
-                order = np.argsort(mins, kind="stable")
-                values.append(mins[order])
-                owners.append(items[order])
-                sieve[j, (mins & np.uint64(0x3FFF)).astype(np.int64)] = True
-            self.classes.append(SizeClass(w, 2**c, items, values, owners, sieve))
+        for w in sorted(set(width.tolist())):
+            items = np.flatnonzero(width == w).tolist()
+            some = [self.sets[i][: len(self.sets[i]) - needed(len(self.sets[i]), least) + 1] for i in items]
+            shingle, owners = np.concatenate(some), np.repeat(items, [len(x) for x in some])
+            order = np.argsort(shingle, kind="stable")
+            sieve = np.zeros(1 << 20, bool)
+            sieve[(shingle & np.uint64(0xFFFFF)).astype(np.int64)] = True
+            self.lookups.append(Lookup(w, shingle[order], owners[order], sieve))
 
     def candidates(self, h: np.ndarray, off: np.ndarray, width: int) -> np.ndarray:
-        """Distinct pairs (row, item) in which a window of the row has a MinHash value of the item."""
-        found = []
-        classes = [c for c in self.classes if c.words == width]
-        n = np.diff(off)
-        for k, salt in enumerate(self.salts):
-            p = _permuted(h, salt)
-            for c in classes:
-                half = 2 * c.most
-                count = (n + half - 1) // half
-                edge = np.concatenate(([0], np.cumsum(count)))
-                if not edge[-1]:
-                    continue
-                row = np.repeat(np.arange(len(n)), count)
-                start = np.repeat(off[:-1], count) + half * (np.arange(edge[-1]) - np.repeat(edge[:-1], count))
-                low = np.minimum.reduceat(p, start)
-                # A window is a half and the next half of the same row.
-                window = low.copy()
-                joined = row[:-1] == row[1:]
-                window[:-1][joined] = np.minimum(low[:-1], low[1:])[joined]
-                hit = np.flatnonzero(c.sieve[k][(window & np.uint64(0x3FFF)).astype(np.int64)])
-                if not len(hit):
-                    continue
-                lo, hi = np.searchsorted(c.values[k], window[hit], "left"), np.searchsorted(c.values[k], window[hit], "right")
-                per = hi - lo
-                at = np.repeat(lo, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-                found.append(np.stack((np.repeat(row[hit], per), c.owners[k][at]), 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        """Distinct pairs (row, item) in which the row has a shingle by which the item is looked up."""
+        found = [np.zeros((0, 2), np.int64)]
+        for c in self.lookups:
+            if c.words == width:
+                at = np.flatnonzero(c.sieve[(h & np.uint64(0xFFFFF)).astype(np.int64)])
+                found.append(_pairs(c.values, c.owners, h[at], np.searchsorted(off, at, "right") - 1))
+        return np.concatenate(found)
 
     def widths(self) -> list[int]:
-        return sorted({c.words for c in self.classes})
+        return [c.words for c in self.lookups]
 
     def search(self, doc_ids: pa.Array, column: pa.Array, least: float) -> Iterator[pa.RecordBatch]:
         for width in self.widths():
@@ -148,16 +128,16 @@ def _item_blocks(benchmark: DataFrame, block: int) -> Iterator[tuple[list, list]
         yield [r["item_id"] for r in rows], [r["text"] for r in rows]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, hashes: int = HASHES, words: int = WORDS, block: int = ITEM_BLOCK) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, words: int = WORDS, block: int = ITEM_BLOCK) -> DataFrame:
     """(doc_id, item_id, containment, n_shared, n_item_shingles): each row of docs with each item of which it holds at least `least`.
 
     containment is exact: the share of the item's distinct shingles of `words` words (all its words, if fewer) that the whole
     document has. Null texts and items without a word match nothing; repeated documents or items repeat their pairs.
-    An item of q shingles that is in the document whole is missed with a chance of about (1 - 1/4)^hashes at most.
+    No pair is missed, save for `least` of 0 or less, where documents that share nothing are left out.
     """
     out = None
     for ids, texts in _item_blocks(benchmark, block):
-        mark = Benchmark(ids, texts, hashes, words)
+        mark = Benchmark(ids, texts, least, words)
 
         def one(batch: pa.RecordBatch, mark: Benchmark = mark) -> Iterator[pa.RecordBatch]:
             yield from mark.search(batch.column(0), batch.column(1), least)
@@ -167,10 +147,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, ha
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, hashes: int = HASHES, words: int = WORDS, block: int = ITEM_BLOCK) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, words: int = WORDS, block: int = ITEM_BLOCK) -> DataFrame:
     """The rows of docs, all columns, that hold no item of the benchmark. Texts pass through, with no shuffle."""
     for ids, texts in _item_blocks(benchmark, block):
-        mark = Benchmark(ids, texts, hashes, words)
+        mark = Benchmark(ids, texts, least, words)
 
         def one(batch: pa.RecordBatch, mark: Benchmark = mark) -> Iterator[pa.RecordBatch]:
             rows = pa.array(np.arange(batch.num_rows))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from lodestone.llm import decontaminate as D
@@ -55,3 +56,31 @@ def test_partial_short_and_odd(spark, odd_docs):
     assert found(D.contaminated(odd_docs, bench)) == want
     assert D.contaminated(odd_docs.limit(0), bench).count() == 0 and D.contaminated(odd_docs, bench.limit(0)).count() == 0
     assert D.clean(odd_docs, bench).columns == odd_docs.columns
+
+
+def test_items_of_one_to_seven_words_in_long_documents(spark):
+    rng = random.Random(5)
+    docs, items = [], []
+    for k in range(420):
+        item = " ".join(f"q{k}x{j}" for j in range(1 + k % 7))
+        words = [f"w{rng.randrange(400)}" for _ in range(300)]
+        words.insert((0, 150, 300)[k % 3], item)  # the first or the last window alone holds some of them
+        docs.append((k, " ".join(words)))
+        items.append((k, item))
+    # at 80 % of items just above a power of two: 17 and 33 shingles of which 14 and 27 are there
+    for k, (most, there) in enumerate([(17, 14), (33, 27)] * 60, 1000):
+        item = [f"q{k}x{j}" for j in range(most + 4)]
+        words = [f"w{rng.randrange(400)}" for _ in range(300)]
+        docs.append((k, " ".join(words[:130] + item[: there + 4] + words[130:])))
+        items.append((k, " ".join(item)))
+    got = found(D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == {(k, k, 1.0) for k in range(420)} | {(k, k, round(there / most, 9)) for k, (most, there) in enumerate([(17, 14), (33, 27)] * 60, 1000)}
+
+
+def test_scattered_shingles(spark):
+    rng = random.Random(6)
+    item = [f"q{j}" for j in range(40)]
+    words = [f"w{rng.randrange(400)}" for _ in range(3000)]
+    far = [*words[:100], *item[:20], *words[100:2000], *item[20:], *words[2000:]]  # two halves, 32 of 36 shingles
+    got = found(D.contaminated(spark.createDataFrame([(1, " ".join(far))], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")))
+    assert got == {(1, 1, round(32 / 36, 9))}

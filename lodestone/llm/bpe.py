@@ -2,13 +2,14 @@
 
 The byte-level pre-tokeniser cuts a text at borders that depend on character classes alone, so they are found
 for a block at once; each distinct piece is hashed, encoded once by the library's model and looked up from then
-on. The table of known pieces is a bounded cache. Texts with characters that older Unicode tables lack go through the
-library whole, as do all texts of a tokenizer of another kind.
+on. The table of known pieces is a bounded cache. Texts with characters that older Unicode tables lack or with an added token
+go through the library whole, as do all texts of a tokenizer of another kind.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -83,14 +84,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         spec = json.load(open(path, encoding="utf-8"))
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         self.fast = (
             pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
             and spec.get("normalizer") is None and model.get("type") == "BPE" and not model.get("byte_fallback")
-            and all(a.get("special") for a in spec.get("added_tokens", []))
         )
+        # An added token in a text has an id of its own, which the pieces don't know.
+        added = [re.escape(a["content"]) for a in spec.get("added_tokens", [])]
+        self.added = re.compile("|".join(added)) if added else None
         self.piece_ids = self._pieces(model) if self.fast else None
         self.clear()
 
@@ -124,7 +126,7 @@ class Encoder:
         except UnicodeEncodeError:
             return self.whole(texts)
         kinds = classes()[codes] if self.fast else None
-        if not self.fast or (kinds == RARE).any():
+        if not self.fast or (kinds == RARE).any() or self.added and self.added.search(joined):
             if len(texts) == 1:
                 return self.whole(texts)
             if not self.fast:

@@ -81,3 +81,12 @@ def test_odd_rows(odd_docs, library):
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in odd_docs.collect()}
     assert [r["length"] for r in rows if r["doc_id"] == 1] == [1] and sum(r["doc_id"] == 7 for r in rows) == 2 * sum(r["doc_id"] == 6 for r in rows)
     assert P.pack_documents(odd_docs.limit(0)).count() == 0
+
+
+def test_added_tokens_have_their_id():
+    some = ["plain words", "one<|endoftext|>two", "<|endoftext|>", "<|endof text|>"]
+    tok = Tokenizer.from_file(PATH)
+    ids, off = bpe.encoder(PATH).ids(some)
+    got = [ids[a:b].tolist() for a, b in zip(off, off[1:])]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in some]
+    assert got[2] == [tok.token_to_id("<|endoftext|>")]

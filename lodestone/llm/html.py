@@ -1,10 +1,12 @@
-"""Main text of web pages with wrappers that are inferred per host as union-free regular expressions.
-
-A page is read as a stream of block tags and texts. Streams of a bounded sample of a host's pages are aligned one after the
-other: repeats fold into groups, a mismatch of texts becomes a slot, a mismatch of tags an optional or a repeated group. The
-wrapper's slots then say in which container the host's own text lies. Every page of the host is read with its wrapper;
-menus, adverts, comments and the like are left out by their element, role and class wherever they stand. A host without a
-usable wrapper, or a page that does not fit it, is read by the same rule on the page alone.
+"""Main text of web pages with wrappers that are inferred per host and template as union-free regular expressions.
+
+A page is read as a stream of block tags and texts. Streams of a bounded sample of the pages of one host and template are aligned
+one after the other: repeats fold into groups, a mismatch of texts becomes a slot, a mismatch of tags an optional or a repeated group.
+A text that most of the sampled pages share is a constant of the template. Every page is then matched with its wrapper: the
+wrapper says in which container the article lies, its constants (notices, advert lines, boxes that every page has) are dropped,
+and what fills its slots and groups is the text. Elements that by HTML's own meaning hold no article (navigation, forms, scripts) are left
+out everywhere; of class names only those that can mean nothing else are believed, the others give way to what the wrapper has seen.
+A page that has no wrapper, or does not fit it, is read by a rule on the page alone, where all class names count.
 """
 
 from __future__ import annotations
@@ -12,8 +14,10 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -22,8 +26,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.arrow import map_batches, stored, table
 
-#: Pages of a host that its wrapper is inferred from, at most; tags of a page that are aligned; hosts whose wrappers are sent to all executors.
-PAGES, STREAM, BROADCAST_HOSTS = 8, 4_000, 200_000
+#: Pages that a wrapper is inferred from, at most; bytes of wrappers, or of sampled ids, that are sent to all executors (more are joined by a shuffle).
+PAGES, BROADCAST_BYTES = 8, 64 << 20
+#: A text is a constant if at least so many of the sampled pages have it, and this share of them; a page fits if this share of its elements is
+#: matched; most of a page's article, and of the page, that may be constants (beyond that they are the article itself, as on hosts of near copies).
+CONSTANT_PAGES, CONSTANT_SHARE, FIT, MOST_CONSTANT, MOST_OF_PAGE = 3, 0.6, 0.5, 0.3, 0.6
+#: Elements nested deeper are taken as part of the one at this depth.
+DEPTH = 150
 
 # Fixed values of HTML: elements without an end tag, with raw text, that break lines, and that hold no article text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,10 +44,11 @@ _CONTAINER = frozenset("article body center div main section table td blockquote
 _NOISE = frozenset("aside button datalist dialog fieldset footer form head input label menu nav option search select".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising alert banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus "
-    "dropdown footer gdpr masthead menu modal nav navbar navigation navigator newsletter notice notices notification overlay pagination pager popup promo "
-    "promotion recommended related replies respond reviews share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus "
+    "dropdown footer gdpr masthead menu modal nav navbar navigation navigator newsletter pagination pager respond sidebar sponsor sponsored subscribe subscription toolbar".split()
 )
+# Class names of boxes beside the article that articles use as well.
+_DOUBTFUL = frozenset("alert notice notices notification overlay popup promo promotion recommended related replies reviews share sharing skip social widget widgets".split())
 _CONTENT = frozenset("article articlebody content entry main post story text body".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|title|textarea|noscript|iframe|template|svg|math|object|audio|video|canvas)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)"
@@ -55,40 +65,59 @@ class Block:
     text: str
     path: tuple[str, ...]
     linked: int = 0
+    doubtful: bool = False
+
+
+@dataclass
+class Node:
+    """An element, or a text (label "#"). In a wrapper: text is None for a slot, opt and rep say how often it may come."""
+
+    label: str
+    kids: list[Node] = field(default_factory=list)
+    text: str | None = None
+    block: int = -1
+    opt: bool = False
+    rep: bool = False
+    doubtful: bool = False
+    #: Of the texts seen here: pages, characters, those in links.
+    seen: int = 1
+    chars: int = 0
+    linked: int = 0
 
 
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
-    stream: list[str] = field(default_factory=list)
+    root: Node = field(default_factory=lambda: Node(""))
 
 
 def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """The element's name with its first class, whether it holds no article text, whether its class says that it does."""
-    noise, good, mark = tag in _NOISE, False, ""
+    """The element's name with its first class, whether it holds no article text, whether its class may say so."""
+    noise, doubtful, mark = tag in _NOISE, False, ""
     if attrs and "=" in attrs or "hidden" in attrs:
         for name, a, b, c in _ATTRIBUTE.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
                 words = {w.lower() for part in value.split() for w in _PARTS.split(part) if w}
-                noise |= bool(words & _WORDS) and tag not in ("body", "html", "article", "main")
-                good |= bool(words & _CONTENT)
+                if tag not in ("body", "html", "article", "main"):
+                    noise |= bool(words & _WORDS)
+                    doubtful |= bool(words & _DOUBTFUL)
                 mark = mark or (re.sub(r"\d+", "0", value.split()[0]) if value.split() else "")
             elif name == "role":
                 noise |= value.lower() in _ROLES
-                good |= value.lower() in ("main", "article")
             elif name == "style":
                 noise |= "display:none" in value.replace(" ", "").lower()
             else:
                 noise |= value.lower() != "false"
-    return f"{tag}.{mark}" if mark else tag, noise, good
+    return f"{tag}.{mark}" if mark else tag, noise or doubtful and tag not in _BLOCK, doubtful
 
 
-def read(source: str, want_stream: bool = False) -> Page:
-    """Blocks of text outside elements that hold none of the article, and the stream of block tags and texts."""
+def read(source: str) -> Page:
+    """Blocks of text outside elements that hold none of the article, and the tree of block elements and those texts."""
     page = Page()
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, noise, container
-    silent = links = inside_article = 0
+    stack: list[tuple[str, str, bool, bool, bool, bool]] = []  # tag, label, noise, container, doubtful, has a node
+    nodes = [page.root]
+    silent = links = inside_article = unsure = 0
     text: list[str] = []
     linked = 0
 
@@ -98,20 +127,21 @@ def read(source: str, want_stream: bool = False) -> Page:
             whole = _SPACES.sub(" ", entities.unescape("".join(text))).strip()
             text.clear()
             if whole:
-                page.blocks.append(Block(whole, tuple(x[1] for x in stack if x[3]), min(linked, len(whole))))
-                if want_stream:
-                    page.stream.append("#" + whole)
+                block = Block(whole, tuple(x[1] for x in stack if x[3]), min(linked, len(whole)), unsure > 0)
+                nodes[-1].kids.append(Node("#", text=whole, block=len(page.blocks), doubtful=block.doubtful, chars=len(whole), linked=block.linked))
+                page.blocks.append(block)
         linked = 0
 
     def close(depth: int) -> None:
-        nonlocal silent, links, inside_article
+        nonlocal silent, links, inside_article, unsure
         while len(stack) > depth:
-            tag, label, noise, _ = stack.pop()
+            tag, _, noise, _, doubtful, has_node = stack.pop()
             silent -= noise
+            unsure -= doubtful
             links -= tag == "a"
             inside_article -= tag in ("article", "main")
-            if want_stream and tag in _BLOCK:
-                page.stream.append(f"</{label}>")
+            if has_node:
+                nodes.pop()
 
     def add(part: str) -> None:
         nonlocal linked
@@ -154,17 +184,21 @@ def read(source: str, want_stream: bool = False) -> Page:
             add(" ")
         if tag in _VOID:
             continue
-        label, noise, good = _label(tag, m.group(3) or "")
+        label, noise, doubtful = _label(tag, m.group(3) or "")
         noise |= tag == "header" and not inside_article
         if tag == "body":  # a head that was not closed ends here
             while stack and stack[-1][0] != "html":
                 close(len(stack) - 1)
-        stack.append((tag, label, noise, tag in _CONTAINER))
+        has_node = tag in _BLOCK and not noise and not silent and len(nodes) <= DEPTH
+        if has_node:
+            node = Node(label)
+            nodes[-1].kids.append(node)
+            nodes.append(node)
+        stack.append((tag, label, noise, tag in _CONTAINER, doubtful, has_node))
         silent += noise
+        unsure += doubtful
         links += tag == "a"
         inside_article += tag in ("article", "main")
-        if want_stream and tag in _BLOCK:
-            page.stream.append(f"<{label}>")
     add(source[at:])
     flush()
     close(0)
@@ -172,228 +206,354 @@ def read(source: str, want_stream: bool = False) -> Page:
 
 
 # --- wrappers -------------------------------------------------------------------------------------------------------------
-# A wrapper is a list of nodes: ["tag", text], ["text", constant or None for a slot], ["opt", nodes], ["rep", nodes].
-
-
-def _nodes(stream: list[str]) -> list:
-    return [["text", t[1:]] if t[0] == "#" else ["tag", t] for t in stream]
-
-
-def _shape(node: list) -> str:
-    kind, value = node
-    if kind == "text":
-        return "#"
-    return value if kind == "tag" else f"{kind}({''.join(map(_shape, value))})"
-
-
-def fold(nodes: list) -> list:
-    """Neighbouring elements of one shape become a repeated group."""
-    out: list = []
-    depth_at: list[int] = []
-    for node in nodes:
-        if node[0] == "tag" and not node[1].startswith("</"):
-            depth_at.append(len(out))
-            out.append(node)
-        elif node[0] == "tag" and depth_at:
-            start = depth_at.pop()
-            element = [*out[start:], node]
-            del out[start:]
-            shape = "".join(map(_shape, element))
-            if out and out[-1][0] == "rep" and "".join(map(_shape, out[-1][1])) == shape:
-                out[-1] = ["rep", _merge_same(out[-1][1], element)]
-            elif len(out) >= len(element) and "".join(map(_shape, out[-len(element) :])) == shape and not any(d > len(out) - len(element) for d in depth_at):
-                same = out[-len(element) :]
-                del out[-len(element) :]
-                out.append(["rep", _merge_same(same, element)])
-            else:
-                out += element
+
+
+def common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence.
+
+    Bit-parallel: bit i of a row is 0 where x[: i + 1] has one more in common than x[:i]. Only every k-th row is kept, the others are
+    worked out again on the way back, so memory is that of 2 sqrt(len(y)) rows of len(x) bits.
+    """
+    lo = 0
+    while lo < min(len(x), len(y)) and x[lo] == y[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(x), len(y)) - lo and x[-1 - hi] == y[-1 - hi]:
+        hi += 1
+    a, b = x[lo : len(x) - hi], y[lo : len(y) - hi]
+    ends = [(len(x) - hi + k, len(y) - hi + k) for k in range(hi)]
+    out = [(k, k) for k in range(lo)]
+    if not a or not b:
+        return out + ends
+    where: dict[str, int] = {}
+    for i, v in enumerate(a):
+        where[v] = where.get(v, 0) | 1 << i
+    full, step = (1 << len(a)) - 1, max(1, int(len(b) ** 0.5))
+
+    def after(row: int, v: str) -> int:
+        some = row & where.get(v, 0)
+        return ((row + some) | (row - some)) & full
+
+    kept, row = [full], full
+    for j, v in enumerate(b):
+        row = after(row, v)
+        if (j + 1) % step == 0:
+            kept.append(row)
+    found, i, j = [], len(a), len(b)
+    rows: list[int] = []
+    base = -1
+    while i and j:
+        if j // step != base:
+            base = j // step
+            rows = [kept[base]]
+            for v in b[base * step : min((base + 1) * step, len(b))]:
+                rows.append(after(rows[-1], v))
+        if rows[j - base * step] >> (i - 1) & 1:
+            i -= 1
+        elif a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            found.append((lo + i, lo + j))
         else:
-            out.append(node)
-    return out
+            j -= 1
+    return out + found[::-1] + ends
 
 
-def _merge_same(a: list, b: list) -> list:
-    """Two lists of one shape: differing texts become slots."""
-    return [["text", x[1] if x[1] == y[1] else None] if x[0] == "text" else [x[0], _merge_same(x[1], y[1])] if x[0] in ("opt", "rep") else x for x, y in zip(a, b, strict=True)]
+def _key(node: Node, constants: frozenset[str]) -> str:
+    """What two nodes must share to be aligned: texts that are constants, and elements that hold nothing else, go by their text."""
+    if node.label == "#":
+        return "#" + node.text if node.text in constants else "#"
+    if node.kids and all(k.label == "#" and k.text in constants for k in node.kids):
+        return f"<{node.label}>" + "|".join(k.text for k in node.kids)
+    return f"<{node.label}>"
 
 
-def _core(node: list) -> str:
-    """What two nodes must share to be aligned: an optional or repeated group goes by what it holds."""
-    return "".join(map(_core, node[1])) if node[0] in ("opt", "rep") else "#" if node[0] == "text" else node[1]
+def _shape(node: Node, constants: frozenset[str]) -> str:
+    return _key(node, constants) if node.label == "#" else f"<{node.label}>{''.join(_shape(k, constants) + ('?' if k.opt else '') + ('+' if k.rep else '') for k in node.kids)}</>"
 
 
-def _grouped(nodes: list) -> list:
-    """Whole elements as single nodes of kind "rep" stay as they are; the rest in units of an element each, to be aligned."""
-    out, start, depth = [], 0, 0
-    for k, node in enumerate(nodes):
-        if node[0] == "tag":
-            depth += -1 if node[1].startswith("</") else 1
-        if depth <= 0:
-            out.append(nodes[start : k + 1])
-            start, depth = k + 1, 0
-    if start < len(nodes):
-        out.append(nodes[start:])
-    return out
+def _joined(a: Node, b: Node, constants: frozenset[str]) -> Node:
+    text = a.text if a.text == b.text else None
+    kids = align(a.kids, b.kids, constants)
+    return Node(a.label, kids, text, -1, a.opt or b.opt, a.rep or b.rep, a.doubtful or b.doubtful, a.seen + b.seen, a.chars + b.chars, a.linked + b.linked)
 
 
-def align(wrapper: list, page: list) -> list:
-    """The wrapper widened so that it also fits the page: texts that differ become slots, elements that only one has optional."""
-    a, b = _grouped(wrapper), _grouped(page)
-
-    def head(unit: list) -> str:
-        first = unit[0]
-        while first[0] in ("opt", "rep"):
-            first = first[1][0]
-        return "#" if first[0] == "text" else first[1]
-
-    x, y = [head(u) for u in a], [head(u) for u in b]
-    if len(x) * len(y) > 250_000:
-        return wrapper
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j] and best[i][j] == best[i + 1][j + 1] + 1:
-            out += _joined(a[i], b[j])
-            i, j = i + 1, j + 1
-        elif j >= len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            out.append(a[i][0] if len(a[i]) == 1 and a[i][0][0] == "opt" else ["opt", a[i]])
-            i += 1
+def fold(node: Node, constants: frozenset[str]) -> Node:
+    """Neighbouring elements of one shape become a repeated group. The texts of a page are slots, except constants."""
+    kids: list[Node] = []
+    last = ""
+    for kid in node.kids:
+        kid = fold(kid, constants)
+        shape = _shape(kid, constants)
+        if kids and shape == last and kid.label != "#":
+            was = kids[-1]
+            kids[-1] = _joined(was, kid, constants)
+            kids[-1].rep, kids[-1].seen = True, was.seen
         else:
-            out.append(["opt", b[j]])
-            j += 1
+            kids.append(kid)
+        last = shape
+    return Node(node.label, kids, node.text if node.text in constants else None, -1, False, False, node.doubtful, 1, node.chars, node.linked)
+
+
+def align(a: list[Node], b: list[Node], constants: frozenset[str]) -> list[Node]:
+    """One list widened so that it also fits the other: what only one has becomes optional."""
+    out: list[Node] = []
+    i = j = 0
+    for x, y in [*common([_key(n, constants) for n in a], [_key(n, constants) for n in b]), (len(a), len(b))]:
+        for n in (*a[i:x], *b[j:y]):
+            n.opt = True
+            out.append(n)
+        if x < len(a) and y < len(b):
+            out.append(_joined(a[x], b[y], constants))
+        i, j = x + 1, y + 1
     return out
 
 
-def _joined(a: list, b: list) -> list:
-    if len(a) == 1 and a[0][0] in ("opt", "rep") or len(b) == 1 and b[0][0] in ("opt", "rep"):
-        x, y = (u[0][1] if len(u) == 1 and u[0][0] in ("opt", "rep") else u for u in (a, b))
-        kinds = {u[0][0] for u in (a, b) if len(u) == 1}
-        return [["rep" if "rep" in kinds else "opt", _joined(x, y)]]
-    if a[0][0] == "text" and b[0][0] == "text":
-        return [["text", a[0][1] if a[0][1] == b[0][1] else None]]
-    if len(a) < 2 or len(b) < 2:
-        return a
-    close_a, close_b = (1 if u[-1][0] == "tag" and u[-1][1].startswith("</") else 0 for u in (a, b))
-    return [a[0], *align(a[1 : len(a) - close_a], b[1 : len(b) - close_b]), *a[len(a) - close_a :]]
+@dataclass
+class Wrapper:
+    """The expression of one template, the container of its article, and its constant texts."""
+
+    root: tuple[str, ...] | None
+    constants: frozenset[str]
+    tree: Node
+
+    def dumps(self) -> str:
+        def of(n: Node) -> list:
+            return [n.label, n.text, n.opt * 1 + n.rep * 2 + n.doubtful * 4, n.seen, n.chars, n.linked, [of(k) for k in n.kids]]
+
+        return json.dumps([self.root, sorted(self.constants), of(self.tree)], ensure_ascii=False)
+
+    @staticmethod
+    def loads(text: str) -> Wrapper:
+        def of(x: list) -> Node:
+            return Node(x[0], [of(k) for k in x[6]], x[1], -1, bool(x[2] & 1), bool(x[2] & 2), bool(x[2] & 4), x[3], x[4], x[5])
+
+        root, constants, tree = json.loads(text)
+        return Wrapper(tuple(root) if root else None, frozenset(constants), of(tree))
 
 
-def infer(sources: list[str]) -> list:
-    """The wrapper of pages of one host."""
-    wrapper: list | None = None
-    for source in sources:
-        page = fold(_nodes(read(source, True).stream[:STREAM]))
-        wrapper = page if wrapper is None else align(wrapper, page)
-    return wrapper or []
+def infer(sources: list[str]) -> Wrapper:
+    """The wrapper of pages of one template. Repeated pages count once."""
+    pages = [read(s) for s in dict.fromkeys(sources)]
+    texts = Counter(t for p in pages for t in {b.text for b in p.blocks})
+    least = max(CONSTANT_PAGES, CONSTANT_SHARE * len(pages))
+    constants = frozenset(t for t, n in texts.items() if n >= least)
+    wrapper = _inferred(pages, constants)
+    # Pages that share much of their article are copies of each other; what they share is no template.
+    top = wrapper.root or ()
+    for page in pages:
+        inside = [b for b in page.blocks if top and _inside(b.path, top)]
+        if _share(page.blocks, constants) > MOST_OF_PAGE or _share(inside, constants) > MOST_CONSTANT:
+            return _inferred(pages, frozenset())
+    return wrapper
 
 
-def pattern(wrapper: list) -> str:
+def _share(blocks: list[Block], constants: frozenset[str]) -> float:
+    return sum(len(b.text) for b in blocks if b.text in constants) / max(1, sum(len(b.text) for b in blocks))
+
+
+def _inferred(pages: list[Page], constants: frozenset[str]) -> Wrapper:
+    tree: Node | None = None
+    for page in pages:
+        own = fold(page.root, constants)
+        tree = own if tree is None else _joined(tree, own, constants)
+    tree = tree or Node("")
+    return Wrapper(_root(_weights(tree)), constants, tree)
+
+
+def pattern(node: Node) -> str:
     """The wrapper as text: # a slot, (…)? an optional and (…)+ a repeated group."""
-    return "".join(f"({pattern(v)}){'?' if k == 'opt' else '+'}" if k in ("opt", "rep") else v if k == "tag" else "#" if v is None else entities.escape(v, False) for k, v in wrapper)
+    if node.label == "#":
+        own = "#" if node.text is None else entities.escape(node.text, False)
+    else:
+        inner = "".join(map(pattern, node.kids))
+        own = f"<{node.label}>{inner}</{node.label}>" if node.label else inner
+    return f"({own}){'+' if node.rep else ''}{'?' if node.opt else ''}" if node.opt or node.rep else own
 
 
-def _weights(wrapper: list) -> dict[tuple[str, ...], float]:
-    """For each container the slots that lie in it, repeated ones and headings counted more; texts that never change count nothing."""
+def _weights(tree: Node) -> dict[tuple[str, ...], float]:
+    """For each container the characters of the slots in it that are not links; constants count nothing."""
     out: dict[tuple[str, ...], float] = {}
 
-    def walk(nodes: list, path: tuple[str, ...], times: float) -> tuple[str, ...]:
-        for kind, value in nodes:
-            if kind in ("opt", "rep"):
-                path = walk(value, path, times * (3 if kind == "rep" else 1))
-            elif kind == "tag" and (name := value.strip("</>").split(".")[0]) in _CONTAINER:
-                label = value.strip("</>")
-                path = path[:-1] if value.startswith("</") and path[-1:] == (label,) else path if value.startswith("</") else (*path, label)
-            elif kind == "text" and value is None:
+    def walk(node: Node, path: tuple[str, ...]) -> None:
+        if node.label == "#":
+            if node.text is None and not node.doubtful:
                 for k in range(1, len(path) + 1):
-                    out[path[:k]] = out.get(path[:k], 0) + times
-        return path
+                    out[path[:k]] = out.get(path[:k], 0) + max(0, node.chars - 2 * node.linked)
+        else:
+            path = (*path, node.label) if node.label.split(".")[0] in _CONTAINER else path
+            for kid in node.kids:
+                walk(kid, path)
 
-    walk(wrapper, (), 1)
-    return out
+    walk(tree, ())
+    return {p: w for p, w in out.items() if w > 0}
 
 
 def _root(weights: dict[tuple[str, ...], float]) -> tuple[str, ...] | None:
-    """The container of the article: an article or main element, one whose class says so, else the deepest with most of the weight."""
+    """The container of the article: an article or main element, or one whose class says so, if much of the text is there; else the deepest with most of the weight."""
     if not weights:
         return None
+    most = max(weights.values())
     names = {p: p[-1].split(".") for p in weights}
     for test in (lambda n: n[0] == "article", lambda n: n[0] == "main", lambda n: len(n) > 1 and bool({w.lower() for w in _PARTS.split(n[1])} & _CONTENT)):
         if found := [p for p, n in names.items() if test(n)]:
-            return min(found, key=lambda p: (-weights[p], len(p), p))
-    most = max(weights.values())
+            best = min(found, key=lambda p: (-weights[p], len(p), p))
+            if weights[best] >= 0.3 * most:
+                return best
     return max((p for p in weights if weights[p] >= 0.7 * most), key=lambda p: (len(p), weights[p], p))
 
 
-def content_root(wrapper: list) -> tuple[str, ...] | None:
-    return _root(_weights(wrapper))
-
-
 def _own_root(page: Page) -> tuple[str, ...] | None:
     """The same rule on one page: text that is not in links takes the place of slots."""
     weights: dict[tuple[str, ...], float] = {}
     for b in page.blocks:
-        for k in range(1, len(b.path) + 1):
-            weights[b.path[:k]] = weights.get(b.path[:k], 0) + max(0, len(b.text) - 2 * b.linked)
+        if not b.doubtful:
+            for k in range(1, len(b.path) + 1):
+                weights[b.path[:k]] = weights.get(b.path[:k], 0) + max(0, len(b.text) - 2 * b.linked)
     return _root({p: w for p, w in weights.items() if w > 0})
 
 
-def main_text(source: str, root: tuple[str, ...] | None) -> str:
-    """Blocks inside the wrapper's container, in page order, joined by two line feeds."""
-    page = read(source)
+def _inside(path: tuple[str, ...], top: tuple[str, ...]) -> bool:
+    """Several article or main elements may follow each other, wherever they are; other containers are one place."""
+    return top[-1] in path if top[-1].split(".")[0] in ("article", "main") else path[: len(top)] == top
+
 
-    def under(top: tuple[str, ...] | None) -> list[str]:
-        if top is None:
-            return []
-        if top[-1].split(".")[0] in ("article", "main"):  # several of them may follow each other
-            return [b.text for b in page.blocks if top[-1] in b.path]
-        return [b.text for b in page.blocks if b.path[: len(top)] == top]
+def matched(page: Page, wrapper: Wrapper) -> tuple[float, dict[int, Node]]:
+    """The share of the page's elements that the wrapper has, and the wrapper's text node of each block that has one."""
+    found: dict[int, Node] = {}
+    hit = all_ = 0
 
+    def count(node: Node) -> int:
+        return sum(1 + count(k) for k in node.kids if k.label != "#")
+
+    def walk(theirs: Node, mine: Node) -> None:
+        nonlocal hit
+        runs: list[tuple[str, list[Node]]] = []
+        for kid in mine.kids:
+            key = _key(kid, wrapper.constants)
+            if runs and runs[-1][0] == key:
+                runs[-1][1].append(kid)
+            else:
+                runs.append((key, [kid]))
+        for x, y in common([_key(n, wrapper.constants) for n in theirs.kids], [r[0] for r in runs]):
+            node = theirs.kids[x]
+            for kid in runs[y][1]:
+                if kid.label == "#":
+                    found[kid.block] = node
+                else:
+                    hit += 1
+                    walk(node, kid)
+
+    all_ = count(page.root)
+    walk(wrapper.tree, page.root)
+    return hit / all_ if all_ else 1.0, found
+
+
+def by_wrapper(page: Page, wrapper: Wrapper) -> list[str] | None:
+    """The article's blocks as the wrapper sees them; None where the page does not fit it."""
+    if wrapper.root is None:
+        return None
+    fit, nodes = matched(page, wrapper)
+    if fit < FIT:
+        return None
+    inside = [k for k, b in enumerate(page.blocks) if _inside(b.path, wrapper.root)]
+    # Headings belong to the article even where all pages have them.
+    constant = {k for k in inside if k in nodes and nodes[k].text is not None} - (_headings(page) if wrapper.constants else set())
+    if sum(len(page.blocks[k].text) for k in constant) > MOST_CONSTANT * sum(len(page.blocks[k].text) for k in inside):
+        constant = set()
+
+    def kept(k: int) -> bool:
+        if k in constant:
+            return False
+        if not page.blocks[k].doubtful:
+            return True
+        # A box with a doubtful class is the article's if several pages have it, each with its own text, not mostly links.
+        node = nodes.get(k)
+        return node is not None and node.text is None and node.seen >= 2 and 2 * node.linked <= node.chars
+
+    return [page.blocks[k].text for k in inside if kept(k)] or None
+
+
+def _headings(page: Page) -> set[int]:
+    """The blocks that are headings."""
+    out: set[int] = set()
+    work = [page.root]
+    while work:
+        node = work.pop()
+        for kid in node.kids:
+            if kid.label == "#":
+                if node.label[:2] in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                    out.add(kid.block)
+            else:
+                work.append(kid)
+    return out
+
+
+def by_page(page: Page) -> list[str]:
+    """The article's blocks by the rule on the page alone."""
+    sure = [b for b in page.blocks if not b.doubtful]
     own = _own_root(page)
-    # A page whose own article element lies elsewhere does not fit the wrapper.
-    fits = root and (own is None or own[-1].split(".")[0] not in ("article", "main") or own[-1] == root[-1])
-    return "\n\n".join((under(root) if fits else []) or under(own) or [b.text for b in page.blocks])
+    return [b.text for b in sure if own and _inside(b.path, own)] or [b.text for b in sure] or [b.text for b in page.blocks]
+
+
+def main_text(source: str, wrapper: Wrapper | None) -> str:
+    """The article's blocks, in page order, joined by two line feeds."""
+    page = read(source)
+    return "\n\n".join((by_wrapper(page, wrapper) if wrapper else None) or by_page(page))
 
 
 def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _template(html):
+    """A hash of the kinds of containers that a page has, with their first class or id: pages of one template have it in common."""
+    tags = F.regexp_extract_all(F.lower(html), F.lit(r"<((?:article|main|section|div|table)\b(?:[^>]{0,200}?\b(?:class|id)\s*=\s*[\"']?[a-z_-]*)?)"), F.lit(1))
+    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(tags, lambda t: F.regexp_replace(t, r"^(\w+).*?(?:=\s*[\"']?([a-z_-]*))?$", "$1.$2")))))
+
+
 def wrappers(pages: DataFrame, most: int = PAGES) -> DataFrame:
-    """(host, wrapper, root as JSON) of each host, from at most `most` of its pages, which a hash of the page chooses."""
-    slim = pages.select("page_id", _host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("h")).where(F.col("page_id").isNotNull())
-    chosen = slim.groupBy("host", F.pmod("h", F.lit(most)).alias("place")).agg(F.min_by("page_id", "h").alias("page_id"))
+    """(host, template, wrapper as JSON) of each host and template, from at most `most` of its pages, which a hash of the page chooses.
+
+    Only ids are shuffled to choose the pages; a group of the inference is `most` pages. Pages without a page_id are not sampled.
+    """
+    slim = pages.where("page_id is not null and html is not null").select("page_id", F.coalesce("url", F.lit("")).alias("url"), _host(F.col("url")).alias("host"), _template(F.col("html")).alias("template"), F.xxhash64("page_id", "url").alias("h"))
+    place = F.pmod("h", F.lit(most)).alias("place")
+    chosen = slim.groupBy("host", "template", place).agg(F.min_by(F.struct("page_id", "url"), "h").alias("one")).select("host", "template", "place", "one.*")
     chosen = stored(chosen, "chosen")
-    chosen = F.broadcast(chosen) if chosen.count() <= most * BROADCAST_HOSTS else chosen
-    # One page a place even where page_id repeats.
-    sample = pages.select("page_id", "html").where("html is not null").join(chosen, "page_id").groupBy("host", "place").agg(F.min("html").alias("html"))
+    size = chosen.agg(F.sum(F.octet_length("url") + F.octet_length("host") + 32)).first()[0] or 0
+    chosen = F.broadcast(chosen) if size <= BROADCAST_BYTES else chosen
+    sources = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "html").where("html is not null")
+    # One page a place even where a page is repeated.
+    sample = sources.join(chosen, ["page_id", "url"]).groupBy("host", "template", "place").agg(F.min("html").alias("html"))
 
     def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         wrapper = infer(group.sort_values("place")["html"].tolist())
-        root = content_root(wrapper)
-        return pd.DataFrame({"host": [key[0]], "wrapper": [pattern(wrapper)], "root": [json.dumps(root) if root else None]})
+        return pd.DataFrame({"host": [key[0]], "template": [key[1]], "wrapper": [wrapper.dumps()]})
+
+    return sample.groupBy("host", "template").applyInPandas(one, "host string, template long, wrapper string")
+
 
-    return sample.groupBy("host").applyInPandas(one, "host string, wrapper string, root string")
+@lru_cache(4096)
+def _loaded(text: str) -> Wrapper:
+    return Wrapper.loads(text)
 
 
 def extract(pages: DataFrame, most: int = PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every row.
 
-    Null and empty pages give an empty text; pages without a host share the wrapper of the host ''. Repeated rows give equal rows.
-    Wrappers' roots are broadcast up to BROADCAST_HOSTS hosts, beyond that joined by host, where AQE can split a large one.
+    Null and empty pages give an empty text; pages without a host share the wrappers of the host ''. Repeated rows give equal rows, very long
+    pages are read and matched whole, an empty table gives an empty one, other columns are not read. Wrappers are broadcast up to BROADCAST_BYTES,
+    beyond that joined by host and template, where AQE can split a large host.
     """
-    roots = stored(wrappers(pages, most).select("host", "root"), "roots")
-    slim = pages.select(F.col("page_id"), "url", "html", _host(F.col("url")).alias("host"))
-    joined = slim.join(F.broadcast(roots) if roots.count() <= BROADCAST_HOSTS else roots, "host", "left").select("page_id", "url", "html", "root")
+    known = stored(wrappers(pages, most), "wrappers")
+    size = known.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 8)).first()[0] or 0
+    slim = pages.select(F.col("page_id"), "url", "html", _host(F.col("url")).alias("host"), _template(F.col("html")).alias("template"))
+    joined = slim.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, ["host", "template"], "left").select("page_id", "url", "html", "wrapper")
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, tuple[str, ...] | None] = {None: None}
         texts = []
-        for source, root in zip(batch.column("html").to_pylist(), batch.column("root").to_pylist(), strict=True):
-            if root not in known:
-                known[root] = tuple(json.loads(root))
-            texts.append(main_text(source, known[root]) if source else "")
+        for source, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
+            texts.append(main_text(source, _loaded(wrapper) if wrapper else None) if source else "")
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

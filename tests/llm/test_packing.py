@@ -90,3 +90,15 @@ def test_added_tokens_have_their_id():
     got = [ids[a:b].tolist() for a, b in zip(off, off[1:])]
     assert got == [tok.encode(t, add_special_tokens=False).ids for t in some]
     assert got[2] == [tok.token_to_id("<|endoftext|>")]
+
+
+def test_ids_come_back_as_they_are(spark):
+    big = 9007199254740993
+    docs = spark.createDataFrame([(big, "one text"), (None, "no id"), (big + 2, "a b c"), (big, "one text"), (None, None), (-5, "x")], "doc_id long, text string").repartition(2)
+    rows = P.pack_documents(docs, length=4).collect()
+    assert sorted({r["doc_id"] for r in rows}, key=str) == sorted({big, None, big + 2, -5}, key=str)
+    assert sum(r["doc_id"] == big and r["piece"] == 0 for r in rows) == 2 and all(isinstance(r["doc_id"], (int, type(None))) for r in rows)
+    bins: dict = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in b) <= 4 and sorted(o for o, _ in b)[0] == 0 for b in bins.values())

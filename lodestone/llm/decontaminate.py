@@ -1,9 +1,12 @@
-"""Benchmark decontamination: every document that holds enough of an item's shingles, exactly.
-
-A document that has at least LEAST of an item's q distinct shingles must have one of any q - ceil(LEAST q) + 1 of them, wherever
-they stand in it. So many shingles of each item are looked up; documents that have one are verified against the item's whole
-set. Nothing is missed, however short the item or scattered its shingles, up to the chance that two 64-bit hashes agree. Documents
-are read once for each block of items and never shuffled.
+"""Benchmark decontamination: MinHash containment search partitioned by size, verified by exact shingle containment.
+
+A short item inside a long document has too small a Jaccard similarity for a plain MinHash comparison of the two, so items are
+partitioned by their number of shingles and each has a bottom-k MinHash sketch: its k least hash values. k is what containment asks for:
+a document with at least LEAST of an item's q shingles lacks q - needed(q) of them at most, so it has one of any q - needed(q) + 1,
+wherever they stand. All sketches of a size class lie under a bound, about k / q of the range of hashes; of a document only
+the values under it, its own sketch for that class, are looked up. Documents that share a sketch value with an item are verified
+against the item's whole set. So nothing is missed, however short the item or scattered its shingles, up to the chance that two 64-bit
+hashes agree. Documents are read once for each block of items and never shuffled.
 """
 
 from __future__ import annotations
@@ -35,12 +38,14 @@ def shingles(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarra
 
 
 @dataclass
-class Lookup:
-    """The shingles by which items of one width are looked up, in order, and whose they are."""
+class SizeClass:
+    """The items of one shingle width and size class: their sketches' values in order, whose they are, and the largest one."""
 
     words: int
+    most: int
     values: np.ndarray
     owners: np.ndarray
+    bound: np.uint64
     sieve: np.ndarray
 
 
@@ -61,7 +66,7 @@ def needed(size: int, least: float) -> int:
 
 
 class Benchmark:
-    """A block of items with their shingles and those that are looked up. Items without a word are left out."""
+    """A block of items with their shingles and bottom-k sketches by size class. Items without a word are left out."""
 
     def __init__(self, ids: list[int], texts: list[str | None], least: float = LEAST, words: int = WORDS):
         self.ids, self.sets, width = [], [], []
@@ -75,28 +80,36 @@ class Benchmark:
             self.ids.append(ids[k])
             self.sets.append(h)
             width.append(w)
-        self.lookups: list[Lookup] = []
+        # Size classes: up to 1, 2, 4, 8, … shingles.
+        step = np.array([(len(h) - 1).bit_length() for h in self.sets], np.int64)
         width = np.array(width, np.int64)
-        for w in sorted(set(width.tolist())):
-            items = np.flatnonzero(width == w).tolist()
-            some = [self.sets[i][: len(self.sets[i]) - needed(len(self.sets[i]), least) + 1] for i in items]
-            shingle, owners = np.concatenate(some), np.repeat(items, [len(x) for x in some])
-            order = np.argsort(shingle, kind="stable")
+        self.classes: list[SizeClass] = []
+        for w, c in sorted(set(zip(width.tolist(), step.tolist(), strict=True))):
+            items = np.flatnonzero((width == w) & (step == c)).tolist()
+            sketches = [self.sketch(i, least) for i in items]
+            value, owners = np.concatenate(sketches), np.repeat(items, [len(x) for x in sketches])
+            order = np.argsort(value, kind="stable")
             sieve = np.zeros(1 << 20, bool)
-            sieve[(shingle & np.uint64(0xFFFFF)).astype(np.int64)] = True
-            self.lookups.append(Lookup(w, shingle[order], owners[order], sieve))
+            sieve[(value & np.uint64(0xFFFFF)).astype(np.int64)] = True
+            self.classes.append(SizeClass(w, 1 << c, value[order], owners[order], value.max(), sieve))
+
+    def sketch(self, item: int, least: float) -> np.ndarray:
+        """The least hash values of the item's shingles: so many that a match cannot lack all of them."""
+        q = len(self.sets[item])
+        return self.sets[item][: q - needed(q, least) + 1]
 
     def candidates(self, h: np.ndarray, off: np.ndarray, width: int) -> np.ndarray:
-        """Distinct pairs (row, item) in which the row has a shingle by which the item is looked up."""
+        """Distinct pairs (row, item) in which the row has a value of the item's sketch."""
         found = [np.zeros((0, 2), np.int64)]
-        for c in self.lookups:
+        low = (h & np.uint64(0xFFFFF)).astype(np.int64)
+        for c in self.classes:
             if c.words == width:
-                at = np.flatnonzero(c.sieve[(h & np.uint64(0xFFFFF)).astype(np.int64)])
+                at = np.flatnonzero((h <= c.bound) & c.sieve[low])
                 found.append(_pairs(c.values, c.owners, h[at], np.searchsorted(off, at, "right") - 1))
         return np.concatenate(found)
 
     def widths(self) -> list[int]:
-        return [c.words for c in self.lookups]
+        return sorted({c.words for c in self.classes})
 
     def search(self, doc_ids: pa.Array, column: pa.Array, least: float) -> Iterator[pa.RecordBatch]:
         for width in self.widths():
@@ -132,8 +145,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, wo
     """(doc_id, item_id, containment, n_shared, n_item_shingles): each row of docs with each item of which it holds at least `least`.
 
     containment is exact: the share of the item's distinct shingles of `words` words (all its words, if fewer) that the whole
-    document has. Null texts and items without a word match nothing; repeated documents or items repeat their pairs.
-    No pair is missed, save for `least` of 0 or less, where documents that share nothing are left out.
+    document has. Null and empty texts and items without a word match nothing, very long ones are searched whole; repeated documents or items repeat
+    their pairs; an empty table on either side gives an empty one. No pair is missed, save for `least` of 0 or less, where documents that share nothing are left out.
     """
     out = None
     for ids, texts in _item_blocks(benchmark, block):
@@ -148,7 +161,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, wo
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, words: int = WORDS, block: int = ITEM_BLOCK) -> DataFrame:
-    """The rows of docs, all columns, that hold no item of the benchmark. Texts pass through, with no shuffle."""
+    """The rows of docs, all columns, that hold no item of the benchmark. Texts pass through, with no shuffle.
+
+    Null and empty texts stay; repeated rows stay or go alike; without items all rows stay.
+    """
     for ids, texts in _item_blocks(benchmark, block):
         mark = Benchmark(ids, texts, least, words)
 

@@ -84,3 +84,31 @@ def test_scattered_shingles(spark):
     far = [*words[:100], *item[:20], *words[100:2000], *item[20:], *words[2000:]]  # two halves, 32 of 36 shingles
     got = found(D.contaminated(spark.createDataFrame([(1, " ".join(far))], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")))
     assert got == {(1, 1, round(32 / 36, 9))}
+
+
+def test_recall_by_size(spark):
+    """300 items of each number of shingles, whole and at the least containment, each in a document of 1,500 words."""
+    rng = random.Random(9)
+    docs, items, want = [], [], set()
+    for size in (1, 2, 3, 5, 8, 9, 16, 40):
+        for k in range(300):
+            n = size * 1000 + k
+            item = [f"q{n}x{j}" for j in range(size + 4)]
+            there = size if k % 2 else D.needed(size, D.LEAST)
+            words = [f"w{rng.randrange(5000)}" for _ in range(1500)]
+            at = rng.randrange(1501)
+            words[at:at] = item[: there + 4]
+            docs.append((n, " ".join(words)))
+            items.append((n, " ".join(item)))
+            want.add((n, n, round(there / size, 9)))
+    got = found(D.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == want
+
+
+def test_sketches_are_bottom_k():
+    mark = D.Benchmark(list(range(40)), [" ".join(f"w{i}x{j}" for j in range(5 + i)) for i in range(40)])
+    for i, values in enumerate(mark.sets):
+        sketch = mark.sketch(i, D.LEAST)
+        assert sketch.tolist() == sorted(values.tolist())[: len(sketch)] and len(sketch) == len(values) - D.needed(len(values), D.LEAST) + 1
+    # beyond small items a class asks for the lower part of a document's values alone
+    assert min(int(c.bound) for c in mark.classes if c.most >= 32) < 0.6 * 2**64

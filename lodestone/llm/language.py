@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 from lodestone.llm import textbytes as tb
 from lodestone.llm.arrow import held_out, map_batches, table
 
-#: Labelled rows that the classifiers are fitted on, about so many in all and as many of each language; rows longer than
-#: SAMPLE_CHARS characters are not taken for fitting. Both bound what reaches the driver.
-SAMPLE = 2_000
-SAMPLE_CHARS = 50_000
+#: Labelled rows that the classifiers are fitted on, about so many in all and as many of each language, but LEAST_EACH of each at
+#: least where it has them. A row reaches the driver as WIDTH shares, however long its text is.
+SAMPLE, LEAST_EACH = 2_000, 20
 #: Hashed features (2 and 3 bytes long).
 WIDTH = 1 << 13
 #: A text is flagged as ambiguous where the second-best language's share of the score is over this.
@@ -107,15 +106,19 @@ def fit_codes(x: np.ndarray, lang: list[str], steps: int = 250, ridge: float = 1
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Codes:
-    """Learns from text and non-null lang of rows that are not held out. No such rows: a model without languages."""
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    # the most frequent ones, as many as the sample could show at all
-    there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max(2, sample // 20)).collect()}
+    """Learns from text and non-null lang of rows that are not held out. No such rows: a model without languages.
+
+    Every language is learned, from whole texts. The driver holds the distinct labels and, above sample / LEAST_EACH of them, LEAST_EACH rows of each.
+    Null texts and those without a letter teach nothing; repeated rows count as often as they occur.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").isNotNull()).where(F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not there:
         return fit_codes(np.zeros((0, WIDTH), np.float32), [])
-    each = sample / len(there)
-    line = F.create_map(*(F.lit(v) for lang, n in there.items() for v in (lang, int(min(1.0, each / n) * (1 << 30)))))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < line[F.col("lang")]).where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike(r"\p{L}"))
+    each = max(LEAST_EACH, sample / len(there))
+    line = F.create_map(*(F.lit(v) for lang, n in sorted(there.items()) for v in (lang, int(min(1.0, each / n) * (1 << 30)))))
+    # A language of few rows is taken whole, so that chance leaves none out.
+    chosen = rows.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < line[F.col("lang")]))
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, hi, x in features(batch.column(2)):
@@ -127,7 +130,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Codes:
 
 
 def predict(docs: DataFrame, model: Codes) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and ambiguous of each row; `und` with score 0 where text is null or has no letter."""
+    """doc_id, held_out, lang_pred, score and ambiguous of each row; `und` with score 0 where text is null or has no letter.
+
+    Of languages with equal losses the first by name is chosen. Repeated rows are predicted alike, whole texts however long they are.
+    """
     languages = pa.array([*model.languages, UNKNOWN])
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -200,11 +200,20 @@ def bounded_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     return df if there <= rows else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(rows / there * (1 << 30)))
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees for `quality` = 1. Rows with a null label don't count; of several labels of a document the lowest does."""
-    known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = bounded_sample(stats.where(~held_out()).join(known, "doc_id"), sample).select("quality", *FEATURES).toPandas()
-    order = np.lexsort(rows[list(FEATURES)].to_numpy().T)  # the fit does not depend on how rows were dealt
+def sampled_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, quality) that trees are fitted on: not held out, about `sample` rows at most, chosen by a hash of the id.
+
+    Rows with a null label don't count; of several labels of a document the lowest does.
+    """
+    known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where(~held_out())
+    return bounded_sample(known, sample)
+
+
+def fit(stats: DataFrame, chosen: DataFrame) -> Trees:
+    """Trees for `quality` = 1 from the statistics of the rows with a chosen label (about SAMPLE rows, which are broadcast)."""
+    rows = stats.join(F.broadcast(chosen), "doc_id").select("quality", *FEATURES).toPandas()
+    # the fit does not depend on how rows were dealt
+    order = np.lexsort(np.column_stack((rows[list(FEATURES)].to_numpy(float), rows["quality"].to_numpy(float))).T)
     return fit_trees(rows[list(FEATURES)].to_numpy(float)[order], rows["quality"].to_numpy(float)[order], list(FEATURES.values()))
 
 
@@ -227,22 +236,21 @@ def apply_rules(stats: DataFrame, trees: Trees, least: float = 0.5) -> DataFrame
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and score of every row of docs.
 
-    A repeated row is judged as often as it occurs. Without labelled rows the trees keep what the base rules keep.
+    A repeated row is judged as often as it occurs. Without labelled rows the trees keep what the base rules keep. Null and empty texts
+    have no words and fail; very long texts are read whole; an empty table gives an empty one; other columns are not read.
     """
     stats = stored(document_statistics(docs), "quality")
-    return apply_rules(stats, fit(stats, labels, sample))
+    return apply_rules(stats, fit(stats, sampled_labels(labels, sample)))
 
 
 def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, that neither the base rules nor the trees reject.
+    """The rows of docs, all columns, that neither the base rules nor the trees reject: those that judge() keeps.
 
     Texts pass through once, with no shuffle; the trees are fitted on a sample of labels that is small enough to broadcast.
     """
-    known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where(~held_out())
-    chosen = F.broadcast(bounded_sample(known, sample))  # about `sample` rows at most
-    rows = document_statistics(docs.join(chosen.select("doc_id"), "doc_id", "left_semi")).join(chosen, "doc_id").select("quality", *FEATURES).toPandas()
-    order = np.lexsort(rows[list(FEATURES)].to_numpy().T)
-    trees = fit_trees(rows[list(FEATURES)].to_numpy(float)[order], rows["quality"].to_numpy(float)[order], list(FEATURES.values()))
+    chosen = sampled_labels(labels, sample)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    trees = fit(document_statistics(slim), chosen)
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo, hi, buf, off in tb.blocks(batch.column("text")):

@@ -42,6 +42,9 @@ def test_whole_table(spark, documents, texts):
     assert sum(r["kept"] == bool(truth[r["doc_id"]]) for r in judged) / len(judged) > 0.85
     kept = {r["doc_id"] for r in rows if r["kept"]}
     assert {r["doc_id"] for r in Q.keep(documents, labels).select("doc_id").collect()} == kept
+    # with more labels than the sample both learn from the same rows
+    few = {r["doc_id"] for r in Q.judge(documents, labels, 60).where("kept").collect()}
+    assert {r["doc_id"] for r in Q.keep(documents, labels, 60).select("doc_id").collect()} == few
 
 
 def test_odd_rows(spark, odd_docs):
@@ -71,3 +74,19 @@ def test_monotone():
             steps.append(trees.raw(z))
         assert (sign * np.diff(np.stack(steps), axis=0) >= -1e-9).all()
     assert ((trees.score(x) > 0.5) == y).mean() > 0.85
+
+
+def test_scoring_against_a_plain_walk():
+    """Node arrays give what a walk from node to node gives."""
+    rng = np.random.default_rng(4)
+    x = rng.random((400, 5))
+    trees = Q.fit_trees(x, (x[:, 0] + x[:, 3] > 1).astype(float), [1, 0, 0, 1, 0], trees=12)
+    depth = int(np.log2(trees.leaf.shape[1]))
+    for row, got in zip(x[:50], trees.score(x[:50]), strict=True):
+        raw = trees.bias
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            node = 0
+            for _ in range(depth):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            raw += leaf[node - (2**depth - 1)]
+        assert abs(got - 1 / (1 + np.exp(-raw))) < 1e-12

@@ -27,6 +27,8 @@ WORDS, BITS = 4, 4
 KEEP = 2
 #: Ids of dropped documents that are sent to all executors at most (8 bytes each and their table).
 BROADCAST_IDS = 2_000_000
+#: Rows of a group that one task searches at most, and rows of whole groups that it searches at a time.
+GROUP, FLUSH = 1_000_000, 200_000
 SEED = 42
 _FAN = 8
 _CHUNK = 1 << 20
@@ -167,58 +169,114 @@ class GrayIndex:
         return u[open_], v[open_]
 
 
-def links(fps: DataFrame, bits: int = BITS, keep: int = KEEP) -> DataFrame:
-    """(u, v): links that connect all fingerprints of at most `bits` differing bits. fps: distinct, column fp."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in blocks(keep, bits)]
-    dealt = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))).alias("at")).select("at.t", "at.key", "fp")
-    sorted_ = dealt.repartition("t", "key").sortWithinPartitions("t", "key")
+def links(fps: DataFrame, bits: int = BITS, keep: int = KEEP, most: int = GROUP) -> DataFrame:
+    """(u, v): nodes whose links connect all fingerprints of at most `bits` differing bits. fps: distinct, columns fp and node.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            held.append(np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("t", "key", "fp")], 1))
-            if sum(map(len, held)) < 200_000:
-                continue
-            rows = np.concatenate(held)
-            last = int(np.searchsorted(~(rows[:, :2] == rows[-1, :2]).all(1)[::-1], True))
-            done, held = rows[: len(rows) - last], [rows[len(rows) - last :]]
-            if len(done):
-                yield from _linked(done, bits)
-        if held and sum(map(len, held)):
-            yield from _linked(np.concatenate(held), bits)
+    Fingerprints are dealt under every choice of blocks. A group of over `most` rows is not searched by the task that meets it: its
+    rows are salted into m parts, each pair of parts is a group of its own, and a row goes to the m pairs of its part. So the memory of a task
+    is about `most` rows, a hot group is spread over m (m + 1) / 2 tasks, and no link is lost.
+    """
+    kind = fps.schema["node"].dataType.simpleString()
+    masks = F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for k, m in enumerate(blocks(keep, bits)))))
+    dealt = fps.select("fp", "node", masks.alias("at")).select("at.t", "at.key", "fp", "node")
+    found = stored(_searched(dealt, kind, bits, most), "links")
+    out = found.where("u is not null").select("u", "v")
+    large = found.where("u is null").select("t", "key").distinct()
+    n = large.count()
+    if not n:
+        return out
+    hot = dealt.join(F.broadcast(large) if n <= BROADCAST_IDS else large, ["t", "key"], "left_semi")
+    parts = stored(hot.groupBy("t", "key").agg(F.ceil(2.5 * F.count(F.lit(1)) / most).cast("long").alias("m")), "parts")
+    salted = hot.join(F.broadcast(parts) if n <= BROADCAST_IDS else parts, ["t", "key"]).withColumn("salt", F.pmod(F.xxhash64("fp", F.lit(SEED)), "m"))
+    paired = salted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    # Two pairs with one hash are searched together, which does no harm.
+    pair = F.xxhash64("t", "key", F.least("salt", "other"), F.greatest("salt", "other")).alias("key")
+    return out.unionByName(_searched(paired.select(F.lit(-1).alias("t"), pair, "fp", "node"), kind, bits, 1 << 62).select("u", "v"))
+
+
+def _searched(dealt: DataFrame, kind: str, bits: int, most: int) -> DataFrame:
+    """(t, key, u, v): links inside each group; a group of over `most` rows gives a row of null u and v instead."""
+    sorted_ = dealt.repartition("t", "key").sortWithinPartitions("t", "key").select("t", "key", "fp", "node")
 
-    return sorted_.mapInArrow(run, "u long, v long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: list[pa.RecordBatch] = []  # groups that have ended
+        open_: list[pa.RecordBatch] = []  # the last group so far; its first row alone once it is too large
+        last, too_large = None, False
 
+        def rows(held: list[pa.RecordBatch]) -> int:
+            return sum(b.num_rows for b in held)
 
-def _linked(rows: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+        for batch in batches:
+            t, key = (batch.column(c).to_numpy() for c in (0, 1))
+            edge = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
+            first, final = (int(edge[0]), int(edge[-1])) if len(edge) else (batch.num_rows, 0)
+            if (t[0], key[0]) != last:
+                whole, open_, too_large, last = whole + ([] if too_large else open_), [], False, (t[0], key[0])
+            if not too_large:
+                open_.append(batch.slice(0, first))
+                if rows(open_) > most:
+                    too_large, open_ = True, []
+                    yield _marks(t[:1], key[:1], batch.column(3).type)
+            if len(edge):
+                whole += [*([] if too_large else open_), batch.slice(first, final - first)]
+                open_, too_large, last = [batch.slice(final)], False, (t[-1], key[-1])
+            if rows(whole) >= FLUSH:
+                yield from _linked(whole, bits, most)
+                whole = []
+        yield from _linked(whole + ([] if too_large else open_), bits, most)
+
+    return sorted_.mapInArrow(run, f"t int, key long, u {kind}, v {kind}")
+
+
+def _marks(t: np.ndarray, key: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+    none = pa.nulls(len(t), kind)
+    return pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(key, pa.int64()), none, none], ["t", "key", "u", "v"])
+
+
+def _linked(held: list[pa.RecordBatch], bits: int, most: int) -> Iterator[pa.RecordBatch]:
+    if not sum(b.num_rows for b in held):
+        return
+    rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    t, key, fp = (rows.column(c).to_numpy() for c in (0, 1, 2))
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(t)))
+    large = size > most
+    if large.any():
+        yield _marks(t[start[large]], key[start[large]], rows.column(3).type)
     group = np.cumsum(new) - 1
-    size = np.bincount(group)
-    some = size[group] > 1
-    if not some.any():
+    some = np.flatnonzero(((size > 1) & ~large)[group])
+    if not len(some):
         return
-    group, fp = group[some], rows[some, 2].astype(np.uint64)
+    group, fp = group[some], fp[some].view(np.uint64)
     order = np.lexsort((gray_rank(fp), group))
-    group, fp = group[order], fp[order]
+    group, fp, at = group[order], fp[order], some[order]
     off = np.concatenate((np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), [len(group)]))
     to = GrayIndex(fp, off).components(bits)
     moved = np.flatnonzero(to != np.arange(len(to)))
     if len(moved):
-        yield pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[to[moved]].view(np.int64))], ["u", "v"])
+        u, v = at[moved], at[to[moved]]
+        node = rows.column(3)
+        yield pa.RecordBatch.from_arrays([pa.array(t[u], pa.int32()), pa.array(key[u], pa.int64()), node.take(pa.array(u)), node.take(pa.array(v))], ["t", "key", "u", "v"])
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, keep: int = KEEP) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, keep: int = KEEP, most: int = GROUP) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id that links reach) of each row.
 
-    Null, empty and blank texts have fingerprint zero and are linked like all others. A null doc_id never names a component
-    that has another. Repeated rows stay. Memory of a task: 200,000 rows or the distinct fingerprints of one choice of blocks.
+    Null, empty and blank texts have fingerprint zero and are linked like all others; very long texts are read whole. A null doc_id never
+    names a component that has another. Repeated rows and ties stay; an empty table gives an empty one; other columns are not read.
+    Memory of a task: FLUSH rows and `most` more. A fingerprint's node is the least doc_id that has it, so components carry their
+    name from the start and no rows meet by component.
     """
     marked = stored(fingerprints(docs, words), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = connected(links(distinct, bits, keep)).withColumnsRenamed({"u": "fp", "v": "root"})
-    placed = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    wide = "decimal(20,0)"
+    # Fingerprints of rows without an id alone come after all ids.
+    node = F.coalesce(F.col("least").cast(wide), (F.col("fp").cast(wide) + F.lit(str(2**64)).cast(wide)).cast(wide))
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", node.alias("node")), "distinct")
+    root = connected(links(distinct, bits, keep, most)).withColumnsRenamed({"u": "node", "v": "root"})
+    least = F.coalesce("root", "node")
+    named = distinct.join(root, "node", "left").select("fp", F.when(least < F.lit(str(2**63)).cast(wide), least.cast("long")).alias("component_id"))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -226,19 +284,20 @@ def one_of_each(docs: DataFrame, words: int = WORDS, bits: int = BITS, keep: int
     """The rows of docs, all columns, of which one document of each component stays: that of the least doc_id.
 
     Rows that repeat a doc_id and text count as one; rows without a doc_id can't stand for others and stay. Only ids are
-    joined: those that go are broadcast up to BROADCAST_IDS, beyond that texts are shuffled once.
+    joined: those that go are broadcast up to BROADCAST_IDS, beyond that texts are shuffled once. Columns may have any names.
     """
     placed = stored(near_duplicates(docs, words, bits, keep).where("doc_id is not null"), "placed")
     # A doc_id with several texts goes where any of them stands for its component.
     gone = placed.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("own"), F.count(F.lit(1)).alias("rows")).where("own = 0 or rows > 1")
     gone = stored(gone, "gone")
     few = gone.count() <= BROADCAST_IDS
+    name = "_" * (1 + max(map(len, docs.columns)))  # no column of docs
 
     def of(rows: DataFrame) -> DataFrame:
-        rows = rows.select(F.col("doc_id").alias("_gone"))
+        rows = rows.select(F.col("doc_id").alias(name))
         return F.broadcast(rows) if few else rows
 
-    same = F.col("doc_id").cast("long") == F.col("_gone")
+    same = F.col("doc_id").cast("long") == F.col(name)
     stay = docs.join(of(gone), same, "left_anti")
     repeated = gone.where("own > 0")
     if repeated.isEmpty():

@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -46,7 +47,8 @@ def test_whole_table(documents, texts):
     assert left == sorted({ids[k] for k in brute(fps)})
 
 
-def test_groups_of_many_near_copies(spark):
+@pytest.mark.parametrize("most", [S.GROUP, 200, 40])
+def test_groups_of_many_near_copies(spark, most):
     rng = np.random.default_rng(5)
     center = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     near = []
@@ -56,9 +58,9 @@ def test_groups_of_many_near_copies(spark):
                 c ^= 1 << b
             near.append(c)
     fps = list(dict.fromkeys(near + rng.integers(0, 1 << 63, 400, dtype=np.uint64).tolist()))
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    links = S.links(df).collect()
-    assert len(links) < 15 * len(fps)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").withColumn("node", F.col("fp"))
+    links = S.links(df, most=most).collect()
+    assert len(links) < (15 if most > 1000 else 200) * len(fps)
     at = {f - (1 << 64) if f >> 63 else f: k for k, f in enumerate(fps)}
     assert all((fps[at[r["u"]]] ^ fps[at[r["v"]]]).bit_count() >= 0 for r in links)
     root = {r["u"]: r["v"] for r in connected(spark.createDataFrame(links, "u long, v long")).collect()}
@@ -88,5 +90,8 @@ def test_odd_rows(odd_docs):
     ids = [r["doc_id"] for r in left.collect()]
     assert left.columns == odd_docs.columns and None in ids and 6 in ids and not {2, 3, 7} & set(ids)
     assert S.near_duplicates(odd_docs.limit(0)).count() == 0
+    assert S.one_of_each(odd_docs.withColumnsRenamed({"key": "_gone", "row": "node"})).count() == left.count()
+    small = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(odd_docs, most=3).collect()}
+    assert small == {i: r["component_id"] for i, r in by.items()}
     twice = odd_docs.where("doc_id = 7").unionByName(odd_docs.where(F.col("doc_id") == 4))
     assert sorted(r["doc_id"] for r in S.one_of_each(twice).collect()) == [4, 7]

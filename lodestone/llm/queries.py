@@ -9,7 +9,7 @@ from lodestone.llm.packing import op5_packing
 from lodestone.llm.pii import op4_pii
 from lodestone.llm.quality import op8_quality
 from lodestone.llm.secrets import op9_secrets
-from lodestone.llm.sharding import OP1_SQL, op1_sharding
+from lodestone.llm.sharding import OP1_SQL, SMALL_SQL, op1_sharding, small_shards
 from lodestone.llm.simhash import op10_simhash
 from lodestone.llm.toxicity import op7_toxicity
 
@@ -24,7 +24,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
+    "small_shards": small_shards,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": OP1_SQL,
+    "small_shards": SMALL_SQL,
 }

@@ -16,6 +16,8 @@ from lodestone.llm.arrow import stored, table
 
 #: Most bytes of text in a shard, and bits of a key's hash.
 SHARD_BYTES, HASH_BITS = 64 << 20, 60
+#: The limit of the second query.
+SMALL = 40_000
 #: Bits beyond those of evenly filled shards that one round looks at.
 SLACK = 6
 
@@ -53,11 +55,13 @@ def assign(df: DataFrame, key: str = "doc_id", size: Column | None = None, limit
     """key, bytes, shard and depth of each row, and the columns named in carry.
 
     shard is the bucket's prefix as a text of 0s and 1s ('' if everything fits one shard). No shard of more than one row exceeds
-    `limit`; a row that alone exceeds it has a shard of its own. Null texts have no bytes. Rows whose keys are equal and
-    exceed the limit together, after all 60 bits, are split on bits of a row's position ('.' and more bits in the name).
+    `limit`; a row that alone exceeds it has a shard of its own. Null and empty texts have no bytes. Rows whose keys are equal (repeated rows, null
+    keys) and exceed the limit together, after all 60 bits, are split on bits of a row's position ('.' and more bits in the name), so ties
+    need no order. An empty table gives an empty one. Carried columns may have any names but those four.
     """
     size = F.octet_length("text") if size is None else size
-    slim = df.select(F.col(key).alias("key"), hash60(F.col(key)).alias("h"), F.coalesce(size.cast("long"), F.lit(0)).alias("bytes"), F.monotonically_increasing_id().alias("row"), *carry)
+    packed = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("int")
+    slim = df.select(F.col(key).alias("key"), hash60(F.col(key)).alias("h"), F.coalesce(size.cast("long"), F.lit(0)).alias("bytes"), F.monotonically_increasing_id().alias("row"), packed.alias("carried"))
     slim = stored(slim.select("*", hash60(F.col("row")).alias("h2")).drop("row"), "sizes").withColumn("cell", F.lit(""))
     total = slim.agg(F.sum("bytes")).first()[0] or 0
     high = min(HASH_BITS, max(0, ceil(log2(max(total, 1) / limit))) + SLACK)
@@ -66,27 +70,39 @@ def assign(df: DataFrame, key: str = "doc_id", size: Column | None = None, limit
         part = _deepen(part, h, low, high, limit)
         bits = F.lpad(F.bin(_prefix(F.col(h), F.col("depth"))), F.col("depth"), "0")
         name = F.concat(F.when(F.lit(h == "h2"), F.concat("cell", F.lit("."))).otherwise(F.lit("")), F.when(F.col("depth") > 0, bits).otherwise(F.lit("")))
-        done = part.where(F.col("depth") <= high).select(F.col("key").alias(key), "bytes", name.alias("shard"), F.when(F.lit(h == "h2"), F.col("depth") + HASH_BITS).otherwise(F.col("depth")).alias("depth"), *carry)
+        done = part.where(F.col("depth") <= high).select(F.col("key").alias(key), "bytes", name.alias("shard"), F.when(F.lit(h == "h2"), F.col("depth") + HASH_BITS).otherwise(F.col("depth")).alias("depth"), "carried")
         out = done if out is None else out.unionByName(done)
         left = part.where(F.col("depth") > high)
         if h == "h2" and high == HASH_BITS or left.isEmpty():
-            return out
+            return out.select(key, "bytes", "shard", "depth", *(F.col("carried").getField(c).alias(c) for c in carry))
         whole = high == HASH_BITS
         seen = F.lpad(F.bin(_prefix(F.col("h"), high)), high, "0") if h == "h" else F.col("cell")
         part = stored(left.withColumn("cell", seen).drop("depth"), "left")
         h, low, high = ("h2", 1, HASH_BITS) if whole else (h, high + 1, HASH_BITS)
 
 
-def write_shards(df: DataFrame, path: str, limit: int = SHARD_BYTES, key: str = "doc_id") -> None:
-    """Writes df as Parquet with a folder for each shard. The rows of a shard meet in one task, which its limit bounds."""
-    carry = tuple(c for c in df.columns if c not in (key, "shard", "bytes", "depth", "h", "h2", "row", "cell", "key", "at", "more"))
-    assign(df, key, limit=limit, carry=carry).withColumn("shard", F.concat(F.lit("p"), "shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, limit: int = SHARD_BYTES, key: str = "doc_id", folder: str = "shard") -> None:
+    """Writes df, all columns, as Parquet with a folder `<folder>=p<bits>` for each shard.
+
+    The rows of a shard meet in one task, which its limit bounds. A column of df that is named like the folder is an error: Spark would
+    read the folder's value in its place.
+    """
+    if folder in df.columns:
+        raise ValueError(f"column {folder} clashes with the folders' name: pass another as folder")
+    whole = df.select(F.col(key).alias("key"), F.struct(*(F.col(c) for c in df.columns)).alias("all"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    placed = assign(whole, "key", F.col("size"), limit, ("all",)).select("all.*", F.concat(F.lit("p"), "shard").alias(folder))
+    placed.repartition(folder).write.partitionBy(folder).parquet(path)
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"))
 
 
+def small_shards(spark, sf_dir: str) -> DataFrame:
+    """The same with shards of SMALL bytes, so that small tables split too."""
+    return assign(table(spark, sf_dir, "documents"), limit=SMALL)
+
+
 OP1_SQL = f"""
 WITH rows AS (
   SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes FROM documents
@@ -99,3 +115,4 @@ sums AS (
 )
 SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> ({HASH_BITS} - depth)), CAST(depth AS INT), '0') END AS shard, CAST(depth AS INT) AS depth FROM placed
 """
+SMALL_SQL = OP1_SQL.replace(str(SHARD_BYTES), str(SMALL))

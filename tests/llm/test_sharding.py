@@ -4,6 +4,7 @@ import hashlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import sharding as S
 from tests.llm.conftest import DATA
@@ -48,7 +49,21 @@ def test_odd_rows(odd_docs):
     assert S.assign(odd_docs.limit(0)).count() == 0
 
 
-def test_write(spark, documents, tmp_path):
+def test_write(spark, documents, odd_docs, tmp_path):
     S.write_shards(documents, str(tmp_path / "s"), limit=50_000)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == documents.count() and set(documents.columns) <= set(back.columns) and back.select("shard").distinct().count() > 5
+    more = odd_docs.withColumnsRenamed({"u": "h2", "v": "bytes"}).withColumn("all", F.lit(1)).withColumn("carried", F.lit("x"))
+    S.write_shards(more, str(tmp_path / "t"), limit=1_000)
+    again = spark.read.parquet(str(tmp_path / "t")).select(more.columns)
+    assert sorted(map(str, again.collect())) == sorted(map(str, more.collect()))
+    with pytest.raises(ValueError):
+        S.write_shards(odd_docs.withColumn("shard", F.lit(1)), str(tmp_path / "u"))
+
+
+def test_second_query_splits(spark):
+    rows = S.small_shards(spark, DATA).collect()
+    assert max(r["depth"] for r in rows) >= 3
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    assert sorted(con.sql(S.SMALL_SQL).fetchall()) == sorted((r["doc_id"], r["bytes"], r["shard"], r["depth"]) for r in rows)

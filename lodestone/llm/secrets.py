@@ -53,7 +53,8 @@ def battery(token: Column) -> Column:
     first = F.struct(encoding.alias("encoding"), plain.alias("plain"), letters.alias("letters"), F.length(letters).alias("size"), F.length(plain).cast("double").alias("n"))
 
     def measured(x: Column) -> Column:
-        values = F.transform(F.sequence(F.lit(1), F.greatest(x["n"].cast("int"), F.lit(1))), lambda k: (F.instr(x["letters"], F.substring(x["plain"], k, F.lit(1))) - 1).cast("double"))
+        # Characters by one split: a substring at each place would read the token from its start again.
+        values = F.transform(F.filter(F.split(x["plain"], ""), lambda c: c != ""), lambda c: (F.instr(x["letters"], c) - 1).cast("double"))
         squares = F.aggregate(F.array_distinct(F.split(x["plain"], "")), F.lit(0.0), lambda s, c: s + F.when(c == "", F.lit(0.0)).otherwise(F.pow(x["n"] - F.length(F.replace(x["plain"], c, F.lit(""))), F.lit(2.0))))
         return F.struct(x["encoding"].alias("encoding"), x["n"].alias("n"), x["size"].cast("double").alias("size"), values.alias("v"), squares.alias("squares"))
 
@@ -122,7 +123,8 @@ def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[str, int]:
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, the spans of each kind, and what the battery adds, as columns base and random (arrays of start, kind, end).
 
-    Null and empty texts have no spans; repeated rows are scanned alike; places are code points of the whole text.
+    Null and empty texts have no spans; repeated rows are scanned alike; places are code points of the whole text, however long it or
+    a token in it is; an empty table gives an empty one; other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     # Kept apart from what reads them: neither array is worked out twice.

@@ -5,11 +5,18 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import secrets as S
 from lodestone.llm.queries import QUERIES
 from tests.llm.conftest import DATA
 
-P = {"assign": (re.compile(S.ASSIGN), 12, 2), "access": (re.compile(S.ACCESS), 18, 0), "hex": (re.compile(S.HEX), 16, 0)}
+#: Stated anew, not taken from the module under test.
+P = {
+    "assign": (re.compile("([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?[ ]*[:=][ ]*[\"']?([A-Za-z0-9+/_.=-]+)"), 12, 2),
+    "access": (re.compile("AKIA[A-Z0-9]+"), 18, 0),
+    "hex": (re.compile("[0-9a-f]+"), 16, 0),
+}
 
 
 def base(text: str | None) -> list[tuple[int, int, int]]:
@@ -59,3 +66,34 @@ def test_battery_finds_random_tokens(spark):
 
 def test_odd_rows(odd_docs):
     assert len(S.scan(odd_docs).collect()) == odd_docs.count() and S.scan(odd_docs.limit(0)).count() == 0
+
+
+def test_very_long_token(spark):
+    """One token of a megabyte and many short matches, in time that follows their length."""
+    rng = random.Random(3)
+    token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    many = " ".join(f"deadbeef{k:08x}" for k in range(20_000))
+    docs = spark.createDataFrame([(1, f"x {token} y"), (2, many)], "doc_id int, text string")
+    got = rows(docs)
+    assert got[2][0] == base(many) and got[1][1] == [(2, 3, 2 + len(token))]
+
+
+def test_battery_against_plain_formulas(spark):
+    """Chi-squared, runs and serial correlation by plain sums over the values."""
+    import math
+
+    rng = random.Random(6)
+    tokens = ["".join(rng.choice("0123456789abcdef") for _ in range(40)), "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(64)), "".join(rng.choice("abcXYZ019+/") for _ in range(50)), "internationalization-of-everything"]
+    got = {r["t"]: r["b"] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", S.battery(F.col("t")).alias("b")).collect()}
+    for token in tokens:
+        kind = got[token]["encoding"]
+        letters = S.ALPHABETS[kind]
+        v = [letters.index(c) for c in token.replace("-", "+").replace("_", "/")]
+        n, k = len(v), len(letters)
+        chi = sum((v.count(x) - n / k) ** 2 / (n / k) for x in range(k))
+        z1 = max(0.0, ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))
+        turns = sum((a >= k / 2) != (b >= k / 2) for a, b in zip(v, v[1:]))
+        z2 = (turns - (n - 1) / 2) / math.sqrt((n - 1) / 4)
+        mean = sum(v) / n
+        z3 = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / sum((a - mean) ** 2 for a in v) * math.sqrt(n)
+        assert math.isclose(got[token]["score"], z1 * z1 + z2 * z2 + z3 * z3, rel_tol=1e-6), token

@@ -3,7 +3,7 @@
 A validated value is mapped to a number of its format's own range, that number is run through a keyed Feistel network over
 two parts whose sizes multiply to the range, and the result is written back into the same format. The network is a
 permutation: equal values get equal pseudonyms in every document, different ones different pseudonyms, and a pseudonym is valid too
-(cards keep a right check digit, dates exist, octets fit). E-mail addresses have no such range; theirs are keyed hashes.
+(cards and account numbers keep right check digits, dates exist, octets fit). E-mail addresses have no such range; theirs are keyed hashes.
 """
 
 from __future__ import annotations
@@ -19,8 +19,14 @@ ROUNDS = 8
 KEY = "example key"
 # Formats. No pattern may match an empty text; they are tried in this order at each place.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+# The countries that have IBANs.
+_COUNTRY = (
+    "AD|AE|AL|AT|AZ|BA|BE|BG|BH|BI|BR|BY|CH|CR|CY|CZ|DE|DJ|DK|DO|EE|EG|ES|FI|FK|FO|FR|GB|GE|GI|GL|GR|GT|HR|HU|IE|IL|IQ|IS|IT|JO|KW|KZ|LB|LC|LI|LT|LU|LV|LY|MC|MD|ME|"
+    "MK|MN|MR|MT|MU|NI|NL|NO|OM|PK|PL|PS|PT|QA|RO|RS|RU|SA|SC|SD|SE|SI|SK|SM|SO|ST|SV|TL|TN|TR|UA|VA|VG|XK|YE"
+)
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
+    "iban": r"(?<![A-Za-z0-9])(?:" + _COUNTRY + r")[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9])|(?<![0-9])[0-9]{2}[/.][0-9]{2}[/.](?:19|20)[0-9]{2}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?:\+1[ .-]?|(?<![0-9+]))(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -28,7 +34,10 @@ PATTERNS = {
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
 }
 ALL = "|".join(PATTERNS.values())
-_FIRST, _SPAN = "1900-01-01", 270 * 270
+_FIRST = "1900-01-01"
+#: The 73,049 days of 1900 to 2099 are 17 x 4,297; those that only month/day/year can mean, 29 February apart, 200 years x 221 days.
+_DAYS = (17, 4297)
+_CUM = [0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202]
 
 
 def _number(x: Column) -> Column:
@@ -46,15 +55,29 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), worth), F.lit(0), lambda a, b: a + b)
 
 
+def _mod97(text: Column) -> Column:
+    """The ISO 7064 remainder of capital letters and digits."""
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97)
+
+
+def _dealt(template: Column, digits: Column) -> Column:
+    """The template with its k-th digit replaced by the k-th of `digits`."""
+    char = F.transform(F.sequence(F.lit(1), F.length(template)), lambda k: F.struct(F.substring(template, k, F.lit(1)).alias("c"), F.length(F.regexp_replace(F.substring(template, F.lit(1), k), "[^0-9]", "")).alias("k")))
+    return F.array_join(F.transform(char, lambda c: F.when(c["c"].rlike("[0-9]"), F.substring(digits, c["k"], F.lit(1))).otherwise(c["c"])), "")
+
+
 def _kind(x: Column) -> Column:
     v = x["value"]
     day = F.when(v.rlike("^[0-9]{4}-"), F.try_to_date(v, "yyyy-MM-dd")).otherwise(F.try_to_date(F.translate(v, ".", "/"), "dd/MM/yyyy"))
     digits = F.regexp_replace(v, "[^0-9]", "")
     kind = (
-        F.when(v.contains("@"), "email").when(v.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})$"), "date").when(v.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
+        F.when(v.contains("@"), "email").when(v.rlike("^[A-Z]"), "iban").when(v.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})$"), "date").when(v.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(v.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip").when(v.rlike(f"^(?:{PATTERNS['phone']})$"), "phone").otherwise("card")
     )
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), v.alias("value"), digits.alias("digits"), kind.alias("kind"), F.datediff(day, F.lit(_FIRST).cast("date")).cast("long").alias("day"))
+    # Month first, where the day comes second without doubt: the kind of date is part of the format.
+    us = (kind == "date") & day.isNull() & F.try_to_date(F.translate(v, ".", "/"), "MM/dd/yyyy").isNotNull()
+    form = F.when(us & v.rlike("^02.29"), "leap").when(us, "us").otherwise("day")
+    return F.struct(x["start"].alias("start"), x["end"].alias("end"), v.alias("value"), digits.alias("digits"), kind.alias("kind"), form.alias("form"), F.datediff(day, F.lit(_FIRST).cast("date")).cast("long").alias("day"))
 
 
 def _ranged(x: Column) -> Column:
@@ -64,36 +87,52 @@ def _ranged(x: Column) -> Column:
     octet = F.split(x["value"], r"\.")
     local = ten.rlike("^[2-9]..[2-9]")
     half = ((n - 1) / 2).cast("int")
+    form, year, month = x["form"], _number(F.substring(d, 5, 4)), _number(F.substring(d, 1, 2))
+    leap = F.floor((year - 1904) / 4)
+    account, part = F.substring(d, F.lit(3), n), ((n - 2) / 2).cast("int")
+    plain = F.replace(x["value"], F.lit(" "), F.lit(""))
     area, tail = _number(F.substring(d, 1, 3)), _number(F.substring(d, 4, 2))
 
     def by_kind(**of: Column) -> Column:
         out = F.when(kind == "email", of.get("email", F.lit(0).cast("long")))
-        for k in ("date", "ssn", "phone", "card", "ip"):
+        for k in ("iban", "date", "ssn", "phone", "card", "ip"):
             out = out.when(kind == k, of[k])
         return out
 
     def long(v: int) -> Column:
         return F.lit(v).cast("long")
 
-    late = x["day"] >= _SPAN
+    def dated(day: Column, us: Column, leap: Column) -> Column:
+        return F.when(form == "day", day).when(form == "us", us).otherwise(leap).cast("long")
+
     left = by_kind(
-        date=F.when(late, long(0)).otherwise(F.floor(x["day"] / 270)), ssn=area - 1 - (area > 666).cast("long"), phone=F.when(local, _number(F.substring(ten, 1, 3)) - 200).otherwise(_number(F.substring(ten, 1, 5))),
+        iban=_number(F.substring(account, F.lit(1), part)), date=dated(F.floor(x["day"] / _DAYS[1]), year - 1900, F.floor(leap / 7)), ssn=area - 1 - (area > 666).cast("long"),
+        phone=F.when(local, _number(F.substring(ten, 1, 3)) - 200).otherwise(_number(F.substring(ten, 1, 5))),
         card=_number(F.substring(d, F.lit(1), half)), ip=_number(F.element_at(octet, 1)) * 256 + _number(F.try_element_at(octet, F.lit(2))),
     )
+    cum = F.try_element_at(F.array(*map(F.lit, _CUM)), month.cast("int"))
     right = by_kind(
-        date=F.when(late, x["day"] - _SPAN).otherwise(x["day"] % 270), ssn=(tail - 1) * 9999 + _number(F.substring(d, 6, 4)) - 1, phone=F.when(local, _number(F.substring(ten, 4, 7)) - 2_000_000).otherwise(_number(F.substring(ten, 6, 5))),
+        iban=_number(F.substring(account, part + 1, n)), date=dated(x["day"] % _DAYS[1], cum + _number(F.substring(d, 3, 2)) - 13, leap % 7), ssn=(tail - 1) * 9999 + _number(F.substring(d, 6, 4)) - 1,
+        phone=F.when(local, _number(F.substring(ten, 4, 7)) - 2_000_000).otherwise(_number(F.substring(ten, 6, 5))),
         card=_number(F.substring(d, half + 1, n - 1 - half)), ip=_number(F.try_element_at(octet, F.lit(3))) * 256 + _number(F.try_element_at(octet, F.lit(4))),
     )
-    a = by_kind(email=long(1), date=F.when(late, long(1)).otherwise(270), ssn=long(898), phone=F.when(local, long(800)).otherwise(100_000), card=F.pow(F.lit(10.0), half).cast("long"), ip=long(65536))
-    last_days = F.datediff(F.lit("2100-01-01").cast("date"), F.lit(_FIRST).cast("date")).cast("long") - _SPAN
-    b = by_kind(email=long(1), date=F.when(late, last_days).otherwise(270), ssn=long(99 * 9999), phone=F.when(local, long(8_000_000)).otherwise(100_000), card=F.pow(F.lit(10.0), n - 1 - half).cast("long"), ip=long(65536))
+
+    def power(k: Column) -> Column:
+        return F.pow(F.lit(10.0), k).cast("long")
+
+    a = by_kind(email=long(1), iban=power(part), date=dated(long(_DAYS[0]), long(200), long(7)), ssn=long(898), phone=F.when(local, long(800)).otherwise(100_000), card=power(half), ip=long(65536))
+    b = by_kind(email=long(1), iban=power(n - 2 - part), date=dated(long(_DAYS[1]), long(221), long(7)), ssn=long(99 * 9999), phone=F.when(local, long(8_000_000)).otherwise(100_000), card=power(n - 1 - half), ip=long(65536))
     valid = by_kind(
-        email=F.lit(True), date=x["day"].isNotNull(), ssn=(area >= 1) & (area < 900) & (area != 666) & (tail > 0) & (_number(F.substring(d, 6, 4)) > 0),
+        email=F.lit(True), iban=(F.length(plain).between(15, 34)) & (n >= 6) & (_mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1),
+        date=x["day"].isNotNull() | (form != "day"), ssn=(area >= 1) & (area < 900) & (area != 666) & (tail > 0) & (_number(F.substring(d, 6, 4)) > 0),
         phone=F.lit(True), card=(_luhn(d) % 10 == 0) & ~d.rlike("^0+$"), ip=F.lit(True),
     )
-    tag = F.concat_ws("/", kind, n.cast("string"), by_kind(email=long(0), date=late.cast("long"), ssn=long(0), phone=local.cast("long"), card=long(0), ip=long(0)).cast("string"))
-    own = F.when(kind == "ip", F.lit("ip")).when(kind == "phone", F.concat(F.lit("phone/"), local.cast("string"))).otherwise(tag)
-    return F.struct(*(x[c].alias(c) for c in ("start", "end", "value", "digits", "kind")), own.alias("tag"), F.coalesce(valid, F.lit(False)).alias("valid"), left.alias("l"), right.alias("r"), a.alias("a"), b.alias("b"))
+    tag = F.concat_ws("/", kind, n.cast("string"), form)
+    own = (
+        F.when(kind == "ip", F.lit("ip")).when(kind == "phone", F.concat(F.lit("phone/"), local.cast("string"))).when(kind == "iban", F.concat(F.lit("iban/"), F.substring(plain, 1, 2), F.regexp_replace(F.substring(plain, F.lit(5), F.length(plain)), "[0-9]", "0")))
+        .otherwise(tag)
+    )
+    return F.struct(*(x[c].alias(c) for c in ("start", "end", "value", "digits", "kind", "form")), own.alias("tag"), F.coalesce(valid, F.lit(False)).alias("valid"), left.alias("l"), right.alias("r"), a.alias("a"), b.alias("b"))
 
 
 def _draw(key: str, tag: Column, turn: int, value: Column) -> Column:
@@ -109,7 +148,7 @@ def _turned(key: str, turn: int):
             r = (r + _draw(key, x["tag"], turn, l)) % x["b"]
         else:
             l = (l + _draw(key, x["tag"], turn, r)) % x["a"]
-        return F.struct(*(x[c].alias(c) for c in ("start", "end", "value", "digits", "kind", "tag", "valid")), l.alias("l"), r.alias("r"), x["a"].alias("a"), x["b"].alias("b"))
+        return F.struct(*(x[c].alias(c) for c in ("start", "end", "value", "digits", "kind", "form", "tag", "valid")), l.alias("l"), r.alias("r"), x["a"].alias("a"), x["b"].alias("b"))
 
     return step
 
@@ -127,14 +166,21 @@ def _written(key: str):
         ten = F.when(x["a"] == 800, F.concat(pad(l + 200, 3), pad(r + 2_000_000, 7))).otherwise(F.concat(pad(l, 5), pad(r, 5)))
         ssn = F.concat(pad(l + 1 + (l >= 665).cast("long"), 3), pad(F.floor(r / 9999) + 1, 2), pad(r % 9999 + 1, 4))
         new = F.when(kind == "card", card).when(kind == "phone", F.concat(F.substring(d, F.lit(1), n - 10), ten)).when(kind == "ssn", ssn)
-        day = F.date_add(F.lit(_FIRST).cast("date"), F.when(x["a"] == 1, r + _SPAN).otherwise(l * 270 + r).cast("int"))
+        day = F.date_add(F.lit(_FIRST).cast("date"), (l * _DAYS[1] + r).cast("int"))
         date = F.when(v.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(v.contains("/"), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
+        month = F.size(F.filter(F.array(*map(F.lit, _CUM)), lambda c: c <= r))
+        sep = F.substring(v, 3, 1)
+        us = F.concat(pad(month, 2), sep, pad(r - F.try_element_at(F.array(*map(F.lit, _CUM)), month) + 13, 2), sep, (1900 + l).cast("string"))
+        date = F.when(x["form"] == "day", date).when(x["form"] == "us", us).otherwise(F.concat(F.lit("02"), sep, F.lit("29"), sep, (1904 + 4 * (7 * l + r)).cast("string")))
+        plain = F.replace(v, F.lit(" "), F.lit(""))
+        part = ((n - 2) / 2).cast("int")
+        account = F.concat(pad(l, part), pad(r, n - 2 - part))
+        rest = _dealt(F.substring(plain, F.lit(5), F.length(plain)), account)
+        iban = _dealt(v, F.concat(pad(98 - _mod97(F.concat(rest, F.substring(plain, 1, 2), F.lit("00"))), 2), account))
         ip = F.concat_ws(".", *(F.floor(p / 256).cast("string") if q == 0 else (p % 256).cast("string") for p in (l, r) for q in (0, 1)))
         at = F.lower(v)
         email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), at), 256), 1, 12), F.lit("@m"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("host"), F.substring_index(at, "@", -1)), 256), 1, 8), F.lit(".example"))
-        char = F.transform(F.sequence(F.lit(1), F.length(v)), lambda k: F.struct(F.substring(v, k, F.lit(1)).alias("c"), F.length(F.regexp_replace(F.substring(v, F.lit(1), k), "[^0-9]", "")).alias("k")))
-        dealt = F.array_join(F.transform(char, lambda c: F.when(c["c"].rlike("[0-9]"), F.substring(new, c["k"], F.lit(1))).otherwise(c["c"])), "")
-        pseudonym = F.when(~x["valid"], v).when(kind == "email", email).when(kind == "date", date).when(kind == "ip", ip).otherwise(dealt)
+        pseudonym = F.when(~x["valid"], v).when(kind == "email", email).when(kind == "date", date).when(kind == "ip", ip).when(kind == "iban", iban).otherwise(_dealt(v, new))
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), x["valid"].alias("valid"), pseudonym.alias("pseudonym"))
 
     return step
@@ -151,8 +197,9 @@ def replaced(found: Column, key: str) -> Column:
 def pseudonymise(df: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """df with its text's personal data replaced, and the column `pii` of what was found (places are those of the old text).
 
-    Only valid values are replaced; others are listed with valid = false and stay. Null texts stay null, empty ones empty. A column
-    named pii in df is replaced.
+    Only valid values are replaced; others are listed with valid = false and stay. Null texts stay null, empty ones empty; very long
+    ones are read whole; repeated rows and equal values get equal results; an empty table gives an empty one. A column named pii in df is replaced,
+    all others pass through.
     """
     whole = F.col(text)
     some = F.coalesce(whole.rlike("[0-9@]"), F.lit(False))

@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names of the classification levels.
-LEVELS = {"PUBLIC": 0, "INTERNAL": 10, "CONFIDENTIAL": 20, "RESTRICTED": 30}
+LEVELS = {"INTERNAL": 0, "RESTRICTED": 10, "CONFIDENTIAL": 20, "SECRET": 30}
+
+
+def level(name: Column) -> Column:
+    """The level of a name in any case; null for unknown and empty names."""
+    return F.create_map(*(F.lit(x) for pair in LEVELS.items() for x in pair))[F.upper(name)]
 
 
 def scoped(df: DataFrame, organization: int | None = None, workspace: int | None = None, clearance: int | None = None, generation: str | None = None, fail_closed: bool = True) -> DataFrame:

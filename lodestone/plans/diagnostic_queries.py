@@ -8,24 +8,6 @@ from pyspark.sql import functions as F
 from lodestone.plans.metric_queries import _RUN, judged
 from lodestone.plans.registry import query, table
 
-# Patterns of instructions in text, and their weights.
-_INJECTION = {"ignore (all|any|the) (previous|prior|above)": 60, "system prompt": 40, "reveal|disclose|leak": 25, "you are now": 35, "password|secret|token": 20, "https?://": 10}
-
-
-@query(
-    "injection_score",
-    "SELECT doc_id, score, CASE WHEN score >= 50 THEN 'block' WHEN score >= 30 THEN 'warn' ELSE 'allow' END AS action FROM (SELECT doc_id, least(100, 15 + "
-    + " + ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN {w} ELSE 0 END" for p, w in _INJECTION.items()) + ") AS score FROM documents)",
-)
-def injection_score(spark, d):
-    low = F.lower("text")
-    score = F.lit(15)  # retrieved text
-    for pattern, weight in _INJECTION.items():
-        score = score + F.when(low.rlike(pattern), weight).otherwise(0)
-    scored = table(spark, d, "documents").select("doc_id", F.least(F.lit(100), score).alias("score"))
-    return scored.select("doc_id", "score", F.when(F.col("score") >= 50, "block").when(F.col("score") >= 30, "warn").otherwise("allow").alias("action"))
-
-
 @query(
     "failure_taxonomy",
     _RUN + ", c AS (SELECT query_id, CASE WHEN count_if(rel) = 0 THEN 'candidate_miss' WHEN min(CASE WHEN rel THEN rank END) > 5 THEN 'rank_loss' WHEN count_if(rel) < 5 THEN 'partial' ELSE 'ok' END AS class FROM j GROUP BY ALL) SELECT class, count(*) AS queries, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM c GROUP BY ALL",

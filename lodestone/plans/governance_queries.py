@@ -169,17 +169,6 @@ def circuit_breaker(spark, d):
     return table(spark, d, "events").select("event_id", (F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(w) >= 4).alias("open"))
 
 
-_DLP = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ip": r"[0-9]{1,3}(\.[0-9]{1,3}){3}", "secret": r"token = \"[0-9a-f]{32,}\"", "card": r"[0-9]{16}"}
-
-
-@query("output_dlp", "SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{p}') AS has_{n}" for n, p in _DLP.items()) + ", md5(" + "".join("regexp_replace(" for _ in _DLP) + "text" + "".join(f", '{p}', '[{n}]', 'g')" for n, p in _DLP.items()) + ") AS redacted_md5 FROM documents")
-def output_dlp(spark, d):
-    out = F.col("text")
-    for name, pattern in _DLP.items():
-        out = F.regexp_replace(out, pattern, f"[{name}]")
-    return table(spark, d, "documents").select("doc_id", *(F.col("text").rlike(p).alias(f"has_{n}") for n, p in _DLP.items()), F.md5(out).alias("redacted_md5"))
-
-
 _HOST = r"^https?://([^/:?#]+)"
 
 

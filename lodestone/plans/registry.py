@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Fixture:
+    """A few rows that no table has, as a DataFrame and as SQL, from one statement of them."""
+
+    def __init__(self, schema: str, rows: list[tuple]):
+        self.schema, self.rows = schema, rows
+        fields = re.findall(r"(\w+) (\w+(?:<\w+>)?)(?:, |$)", schema)
+        kinds = {"string": "VARCHAR", "int": "INT", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "array<string>": "VARCHAR[]", "array<int>": "INT[]", "array<double>": "DOUBLE[]"}
+
+        def of(v) -> str:
+            if v is None:
+                return "NULL"
+            if isinstance(v, bool):
+                return str(v).lower()
+            if isinstance(v, list):
+                return f"[{', '.join(map(of, v))}]"
+            return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+
+        names = [n for n, _ in fields]
+        cast = ", ".join(f"CAST({n} AS {kinds[k]}) AS {n}" for n, k in fields)
+        self.sql = f"(SELECT {cast} FROM (VALUES {', '.join('(' + ', '.join(map(of, r)) + ')' for r in rows)}) v({', '.join(names)}))"
+
+    def df(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, self.schema)
+
+
 # Pieces of SQL that several queries share.
 CJK = r"\x{4e00}-\x{9fff}"
 

@@ -28,18 +28,36 @@ def query_terms(queries: DataFrame, tokenise=T.tokens) -> DataFrame:
     return queries.select("query_id", F.explode(tokenise(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def _term_counts(docs: DataFrame, tokenise, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, dl, term, tf) and, for each document, a row of the term '' that counts its rows, so that also those without a wanted term are there.
+
+    One scan and one shuffle, by document: what is worked out by document after it needs no further one, and all that is derived from
+    it reuses that shuffle. Only wanted terms leave the scan.
+    """
+    rows = docs.select("doc_id", tokenise(F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term")).where("term is not null")
+    if wanted is not None:
+        rows = rows.join(wanted, "term", "left_semi")
+    return rows.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, boost: bool = True, least_avgdl: float = 0.0, tokenise=T.tokens) -> DataFrame:
     """(query_id, doc_id, score > 0) over the documents as given, whose statistics these are.
 
-    docs: doc_id, text. queries: query_id, query. Texts are tokenised once; only tokens that some query has leave the scan.
+    docs: doc_id, text. queries: query_id, query; their terms are broadcast where they are few. Documents are scanned once and shuffled once.
     """
-    terms = query_terms(queries, tokenise).cache()
-    lengths = docs.select("doc_id", tokenise(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = small(terms.select("term").distinct())
-    tf = lengths.select("doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = query_terms(queries, tokenise)
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    wanted = terms.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    tf = _term_counts(docs, tokenise, sent(wanted))
+    # No filters here: they would be pushed below the shuffle, which then could not be reused.
+    own = F.when(F.col("term") == "", F.col("tf"))
+    stats = tf.agg(F.sum(own).alias("n"), (F.sum(own * F.col("dl")) / F.sum(own)).alias("avgdl"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = small(terms.join(df, "term"))
+    weighted = sent(terms.join(df, "term"))  # no more rows than terms
     scored = tf.join(weighted, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = 1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(least_avgdl))
@@ -50,13 +68,20 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
 
 
 def token_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score > 0): cosine of term counts."""
+    """(query_id, doc_id, score > 0): cosine of term counts. A document's norm and its shared terms come from one shuffle by document."""
     terms = query_terms(queries)
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
     own = terms.groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("qtf")).alias("qq"))
-    tf = docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    size = tf.groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("tf")).alias("dd"))
-    dots = tf.join(small(terms), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
-    return dots.join(size, "doc_id").join(small(own), "query_id").select("query_id", "doc_id", F.round(F.col("dot") / F.sqrt(F.col("dd") * F.col("qq")), 6).alias("score"))
+    wanted = terms.select("term").distinct().withColumn("wanted", F.lit(True))
+    tf = _term_counts(docs, T.tokens).where("term <> ''").join(sent(wanted), "term", "left")
+    shared = F.collect_list(F.when(F.col("wanted"), F.struct("term", "tf")))
+    by_doc = tf.groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("tf")).alias("dd"), shared.alias("shared")).select("doc_id", "dd", F.explode("shared").alias("s")).select("doc_id", "dd", "s.term", "s.tf")
+    dots = by_doc.join(sent(terms), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.first("dd").alias("dd"))
+    return dots.join(sent(own), "query_id").select("query_id", "doc_id", F.round(F.col("dot") / F.sqrt(F.col("dd") * F.col("qq")), 6).alias("score"))
 
 
 def lexical_features(pairs: DataFrame) -> DataFrame:

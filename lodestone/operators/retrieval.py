@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from lodestone.functions import vector as V
 
 #: Rows of a query side that are sent to all executors at most; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Bytes of query vectors that are sent to the executors at a time.
+QUERY_BYTES = 64 << 20
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -95,16 +102,55 @@ def rerank_score(base: Column, lexical: Column, coverage: Column, phrase: Column
 
 
 def knn(index: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, doc_id, score, rank) by exact cosine; queries: query_id, q (vector), in blocks that are broadcast.
+    """(query_id, doc_id, score, rank) by exact cosine; queries: query_id, q (vector), never matched with the row of their own id.
 
-    The queries are a stated set against all rows; each row's norm is worked out once, and top-k is cut per input partition first.
+    The queries are a stated set against all rows. They go to the executors in blocks of QUERY_BYTES as one matrix; each task keeps the k
+    best of each query of what it has read, so k rows a query and task are shuffled. Vectors without a length score as if at right angles;
+    null vectors and those of another length are left out.
     """
-    own = queries.select("query_id", V.doubles(F.col("q")).alias("q")).withColumn("qn", V.norm(F.col("q")))
-    rows = index.select(F.col(id).alias("doc_id"), V.doubles(F.col(vector)).alias("v")).withColumn("vn", V.norm(F.col("v")))
-    pairs = rows.join(small(own), F.col("doc_id") != F.col("query_id"))
-    size = F.col("qn") * F.col("vn")
-    cos = F.when(size == 0, 0.0).otherwise(V.dot(F.col("q"), F.col("v")) / size)
-    return top_k(pairs.select("query_id", "doc_id", F.round(V.similarity(cos), 6).alias("score")), k)
+    own = queries.select("query_id", V.doubles(F.col("q")).alias("q")).where("q is not null")
+    size = own.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("dim")).first()
+    blocks = max(1, -(-(size["n"] * (size["dim"] or 1) * 8) // QUERY_BYTES))
+    rows = index.select(F.col(id).alias("doc_id"), V.doubles(F.col(vector)).alias("v")).where("v is not null")
+    kinds = f"query_id {own.schema['query_id'].dataType.simpleString()}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double"
+    out = None
+    for i in range(blocks):
+        part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        found = part.collect()
+        if found:
+            near = rows.mapInArrow(_nearest([r["query_id"] for r in found], [r["q"] for r in found], k), kinds)
+            out = near if out is None else out.unionByName(near)
+    return top_k(rows.sparkSession.createDataFrame([], kinds) if out is None else out, k)
+
+
+def _nearest(ids: list, vectors: list[list[float]], k: int):
+    """A mapInArrow function: the k best rows of all batches for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = np.array(ids)
+        q = np.array(vectors, np.float64)
+        qn = np.sqrt((q * q).sum(1))
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        for batch in batches:
+            whole = np.array([i for i, n in enumerate(pc.list_value_length(batch.column(1)).to_pylist()) if n == q.shape[1]], np.int64)
+            if not len(whole):
+                continue
+            doc = batch.column(0).to_numpy()[whole]
+            v = batch.column(1).take(pa.array(whole)).flatten().to_numpy().reshape(-1, q.shape[1])
+            size = np.outer(qn, np.sqrt((v * v).sum(1)))
+            cos = np.divide(q @ v.T, size, out=np.zeros_like(size), where=size > 0)
+            score = np.round(1 / (1 + np.maximum(0.0, 1 - cos)), 6)
+            score[name[:, None] == doc[None, :]] = -1
+            for i in range(len(ids)):
+                s, d = np.concatenate((best[i][0], score[i])), np.concatenate((best[i][1], doc))
+                order = np.lexsort((d, -s))[:k]
+                best[i] = s[order], d[order]
+        n = [len(b[0]) for b in best]
+        s, d = np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best])
+        some = s >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, n)[some]), pa.array(d[some]), pa.array(s[some])], ["query_id", "doc_id", "score"])
+
+    return run
 
 
 def minmax_positive(run: DataFrame, score: str = "score", out: str = "score") -> DataFrame:

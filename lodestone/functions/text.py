@@ -68,6 +68,12 @@ def stable_key(domain: Column, source: Column, version: Column, index: Column) -
     return F.concat_ws(":", domain, source, version.cast("string"), index.cast("string"))
 
 
+def logical_key(document: Column, anchor: Column, kind: Column, ordinal: Column) -> Column:
+    """A chunk's key by its section and place in it; colons of the anchor become underscores, 64 characters of it count."""
+    name = F.trim(anchor)
+    return F.concat(F.lit("doc-"), document.cast("string"), F.lit(":"), F.when(name == "", "_root").otherwise(F.substring(F.replace(name, F.lit(":"), F.lit("_")), 1, 64)), F.lit(":"), kind, F.lit(":"), ordinal.cast("string"))
+
+
 def parse_stable_key(key: Column) -> Column:
     """struct<domain, source_key, version, source_index>; all null unless there are four parts."""
     part = F.split(key, ":")

@@ -17,6 +17,11 @@ def n_() -> Column:
     return F.count(F.lit(1))
 
 
+def micros(c: Column | str) -> Column:
+    """Microseconds of a time without zone, as times are stored here."""
+    return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
+
+
 def by(*keys: str, order=("ts", "event_id")):
     return Window.partitionBy(*keys).orderBy(*order)
 
@@ -24,12 +29,12 @@ def by(*keys: str, order=("ts", "event_id")):
 @query(
     "token_bucket",
     """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-b AS (SELECT user_id, event_id, n, s, 2.0 AS tokens, true AS allowed FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, e.s, CASE WHEN least(3.0, b.tokens + (e.s - b.s) * 3.0 / 86400) >= 1 THEN least(3.0, b.tokens + (e.s - b.s) * 3.0 / 86400) - 1 ELSE least(3.0, b.tokens + (e.s - b.s) * 3.0 / 86400) END,
+b AS (SELECT user_id, event_id, n, s, CAST(2 AS DOUBLE) AS tokens, true AS allowed FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, e.s, CASE WHEN least(3.0, b.tokens + (e.s - b.s) * 3.0 / 86400) >= 1 THEN least(3.0, b.tokens + (e.s - b.s) * 3.0 / 86400) - 1 ELSE least(3.0, b.tokens + (e.s - b.s) * 3.0 / 86400) END,
 least(3.0, b.tokens + (e.s - b.s) * 3.0 / 86400) >= 1 FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1) SELECT user_id, event_id, allowed FROM b""",
 )
 def token_bucket(spark, d):
     """WIN9 and STR5: three requests a day, refilled evenly. A pause of a day fills any bucket, so each run of requests without one is folded by itself."""
-    s = F.unix_micros("ts") / 1_000_000
+    s = micros("ts") / 1_000_000
     e = table(spark, d, "events").select("user_id", "event_id", "ts", s.alias("s"))
     e = e.withColumn("run", F.sum((F.coalesce(F.col("s") - F.lag("s").over(by("user_id")), F.lit(1e9)) >= 86400).cast("int")).over(by("user_id")))
     runs = e.groupBy("user_id", "run").agg(F.array_sort(F.collect_list(F.struct("s", "event_id"))).alias("x"))
@@ -52,7 +57,7 @@ FROM (SELECT e.*, b.failures, b.opened, CASE WHEN b.state = 'OPEN' AND e.s - b.o
 )
 def breaker_states(spark, d):
     """WIN12 and STR7: failures in a row open a breaker, after a cooldown one probe closes or opens it again. One breaker a user and day (two failures, two hours)."""
-    e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), F.struct((F.unix_micros("ts") / 1_000_000).alias("s"), "event_id", ((F.col("event_type") == "error") | (F.col("value") > 60)).alias("failed")).alias("x"))
+    e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), F.struct((micros("ts") / 1_000_000).alias("s"), "event_id", ((F.col("event_type") == "error") | (F.col("value") > 60)).alias("failed")).alias("x"))
     g = e.groupBy("user_id", "day").agg(F.array_sort(F.collect_list("x")).alias("x"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -208,7 +213,7 @@ def cache_hits(spark, d):
     """STR11: an entry lives twelve hours, one for an empty result two."""
     w = by("user_id", "event_type")
     e = table(spark, d, "events").withColumns({"before": F.lag("ts").over(w), "empty": F.coalesce(F.lag(F.col("value") < 20).over(w), F.lit(False))})
-    age = F.unix_micros("ts") - F.unix_micros("before")
+    age = micros("ts") - micros("before")
     alive = age <= F.when(F.col("empty"), 2).otherwise(12) * F.lit(3_600_000_000).cast("long")
     return e.select("event_id", F.when(F.col("before").isNull(), "miss").when(alive & F.col("empty"), "negative_hit").when(alive, "hit").otherwise("expired").alias("state"))
 
@@ -374,7 +379,7 @@ def stable_draw(spark, d):
 def age_windows(spark, d):
     """SCL21: the day of a budget, ages and cutoffs against a stated now."""
     now = F.lit("2024-02-01").cast("timestamp")
-    return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("budget_day"), F.floor((F.unix_micros(now) - F.unix_micros("ts")) / 3_600_000_000).alias("age_hours"), (F.col("ts") < now - F.expr("interval 20 days")).alias("stale"))
+    return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("budget_day"), F.floor((micros(now) - micros("ts")) / 3_600_000_000).alias("age_hours"), (F.col("ts") < now - F.expr("interval 20 days")).alias("stale"))
 
 
 @query("nested_round_trip", "SELECT event_id, CAST(props ->> 'k' AS INT) AS k, '{\"id\":' || event_id || ',\"type\":\"' || event_type || '\",\"props\":{\"k\":' || CAST(props ->> 'k' AS INT) || '}}' AS json FROM events")

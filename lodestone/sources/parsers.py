@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # First bytes of file kinds, as hexadecimal digits.
-MAGIC = {"25504446": "application/pdf", "504B0304": "application/zip", "89504E47": "image/png", "FFD8FF": "image/jpeg", "D0CF11E0": "application/msword"}
+MAGIC = {
+    "25504446": "application/pdf", "504B0304": "application/zip", "89504E47": "image/png", "FFD8FF": "image/jpeg", "D0CF11E0": "application/msword", "4D5A": "application/x-msdownload", "7F454C46": "application/x-executable",
+    "3C3F786D": "application/xml",
+}
 
 
 def mime(content: Column, name: Column) -> Column:
@@ -34,7 +37,7 @@ def markdown_lines(docs: DataFrame) -> DataFrame:
     inside = (F.sum(fence.cast("int")).over(by) - fence.cast("int")) % 2 == 1
     kind = (
         F.when(fence | inside, "code").when(F.col("line").rlike(r"^#{1,6}\s+\S"), "heading").when(F.col("line").rlike(r"^\s*\|?[\s:|-]*-{3,}[\s:|-]*\|?\s*$") & F.col("line").contains("|"), "separator")
-        .when(F.col("line").rlike(r"^\s*\|.*\|\s*$"), "table").when(F.col("line").rlike(r"^\s*([-*+]|\d+\.)\s+"), "list").when(F.col("line").rlike(r"^\s*>"), "quote").when(F.trim("line") == "", "blank").otherwise("paragraph")
+        .when(F.col("line").rlike(r"^\s*\|.*\|\s*$"), "table").when(F.col("line").rlike(r"^\s*([-*+]|\d+[.)])\s+"), "list").when(F.col("line").rlike(r"^\s*>"), "quote").when(F.trim("line") == "", "blank").otherwise("paragraph")
     )
     typed = lines.withColumn("kind", kind).withColumn("level", F.when(F.col("kind") == "heading", F.length(F.regexp_extract("line", "^(#+)", 1))))
     title = F.trim(F.regexp_replace("line", "^#+", ""))
@@ -61,3 +64,41 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, change): added, removed, changed or same."""
     both = old.select("path", F.col("checksum").alias("a")).join(new.select("path", F.col("checksum").alias("b")), "path", "full")
     return both.select("path", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").otherwise("same").alias("change"))
+
+
+def layout_blocks(pages: DataFrame, width: float = 1000.0) -> DataFrame:
+    """(doc_id, block_index, kind, content, x0, y0, x1, y1) from `content`, the JSON list of a layout service: bounding boxes scaled to 0 … 1."""
+    items = F.from_json("content", "array<struct<type:string,text:string,text_level:int,page_idx:int,bbox:array<double>>>")
+    rows = pages.select("doc_id", F.posexplode(items).alias("block_index", "b"))
+    kind = F.when(F.col("b.text_level").isNotNull() & (F.col("b.text_level") > 0), "heading").when(F.col("b.type") == "table", "table").otherwise("paragraph")
+    box = [F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.get("b.bbox", F.lit(k)) / width)), 4).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]
+    return rows.where(F.trim("b.text") != "").select("doc_id", "block_index", kind.alias("kind"), F.trim("b.text").alias("content"), *box)
+
+
+def pdf_texts(files: DataFrame) -> DataFrame:
+    """(path, text, error) of files as Spark's binaryFile source gives them; pages that can't be read have an error, other files a null text.
+
+    Needs pypdf in the executors' environment, which is asked for in the tasks alone.
+    """
+
+    def read(batches):
+        import io
+
+        import pandas as pd
+
+        try:
+            from pypdf import PdfReader
+        except ImportError:
+            PdfReader = None
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    if PdfReader is None:
+                        raise RuntimeError("pypdf is not there")
+                    out.append((path, "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages), None))
+                except Exception as e:  # whatever a broken file makes the reader raise
+                    out.append((path, None, type(e).__name__))
+            yield pd.DataFrame(out, columns=["path", "text", "error"])
+
+    return files.select("path", "content").mapInPandas(read, "path string, text string, error string")

@@ -30,3 +30,27 @@ def append_missing(df: DataFrame, path: str, key: list[str]) -> int:
 def exposition(metrics: DataFrame) -> DataFrame:
     """(line): metrics (name, label, value) in the text form that scrapers read."""
     return metrics.select(F.concat(F.col("name"), F.lit('{label="'), F.col("label"), F.lit('"} '), F.col("value").cast("string")).alias("line"))
+
+
+def snapshot(df: DataFrame, path: str, version: int, keep: int = 3) -> DataFrame:
+    """Writes version as a partition and returns what a reader sees: the newest `keep` versions. Older ones are pruned by not being listed."""
+    df.withColumn("version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
+    whole = df.sparkSession.read.parquet(path)
+    newest = whole.select("version").distinct().orderBy(F.desc("version")).limit(keep)  # a few numbers
+    return whole.join(F.broadcast(newest), "version", "left_semi")
+
+
+def markdown_report(df: DataFrame, title: str) -> str:
+    """A small result as a Markdown table: summaries of a few rows, which the driver formats."""
+    rows = df.limit(1000).collect()
+    head = f"# {title}\n\n| {' | '.join(df.columns)} |\n|{' --- |' * len(df.columns)}"
+    return "\n".join([head, *(f"| {' | '.join(str(v) for v in r)} |" for r in rows)])
+
+
+def write_xlsx(df: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """A result as a sheet, for people: at most what a sheet holds. Needs openpyxl, which is asked for here alone."""
+    import importlib.util
+
+    if importlib.util.find_spec("openpyxl") is None:
+        raise RuntimeError("write_xlsx needs openpyxl")
+    df.limit(most).toPandas().to_excel(path, index=False)

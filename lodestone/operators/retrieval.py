@@ -97,6 +97,26 @@ def lexical_features(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"keyword": T.keyword_score(q, t), "coverage": T.coverage(T.tokens(q), T.tokens(t)), "phrase": T.phrase_score(q, t)})
 
 
+def containing(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id): documents whose text holds the query as it is.
+
+    A word inside a query, with white space on both sides, is a whole word of any text that holds the query: the longest such word is looked
+    up and its documents are verified. Queries of fewer than three words have none; those alone are tried on each text, by a broadcast join
+    up to BROADCAST_ROWS of them.
+    """
+    own = queries.select("query_id", "query", F.split("query", r"\s").alias("w")).where("query is not null")
+    inside = F.filter(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inside, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))
+    keyed = own.withColumn("word", longest["word"])
+    keys = keyed.where("word is not null").select("query_id", "query", "word")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s"))).alias("word"))
+    candidates = words.join(small(keys), "word").select("query_id", "query", "doc_id")
+    found = candidates.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+    short = keyed.where("word is null").select("query_id", "query")
+    tried = docs.select("doc_id", "text").join(small(short), F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+    return found.unionByName(tried)
+
+
 def rerank_score(base: Column, lexical: Column, coverage: Column, phrase: Column) -> Column:
     return 0.55 * base + 0.25 * lexical + 0.15 * coverage + 0.05 * phrase
 

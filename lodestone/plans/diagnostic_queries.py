@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import statistics as X
 from lodestone.plans.metric_queries import _RUN, judged
 from lodestone.plans.registry import query, table
 
@@ -55,8 +56,9 @@ def nan_aware_stats(spark, d):
     seen = F.when(F.col("p_size") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("p_retailprice"))
     v = F.when(~F.isnan("v"), F.col("v"))  # not observed: null, which averages skip
     rows = table(spark, d, "part").select("p_brand", seen.alias("v")).select("p_brand", v.alias("v"))
-    q = [F.round(F.percentile("v", F.lit(p)), 6).alias(n) for n, p in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))]
-    return rows.groupBy("p_brand").agg(F.count("v").alias("valid_n"), (F.count(F.lit(1)) - F.count("v")).alias("nan_n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"), *q)
+    q = X.percentiles(rows, ["p_brand"], "v", {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    m = rows.groupBy("p_brand").agg(F.count("v").alias("valid_n"), (F.count(F.lit(1)) - F.count("v")).alias("nan_n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"))
+    return m.join(q, "p_brand", "left").select("p_brand", "valid_n", "nan_n", "mean", "std", *(F.round(c, 6).alias(c) for c in ("median", "p25", "p75")))
 
 
 @query("gold_windows", "SELECT doc_id, unnest(range(doc_id - 1, doc_id + 2)) AS near_id FROM labels WHERE quality = 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import statistics as X
 from lodestone.plans import registry as S
 from lodestone.plans.registry import query, table
 from lodestone.plans.retrieval_queries import _KNN, vector_run
@@ -77,12 +78,19 @@ def mcnemar(spark, d):
     "WITH r AS (SELECT source, rank() OVER (PARTITION BY source ORDER BY n_chars) + (count(*) OVER (PARTITION BY source, n_chars) - 1) / 2 AS x, rank() OVER (PARTITION BY source ORDER BY length(text) - doc_id % 50) + (count(*) OVER (PARTITION BY source, length(text) - doc_id % 50) - 1) / 2 AS y FROM documents) SELECT source, round(corr(x, y), 6) AS rho FROM r GROUP BY ALL",
 )
 def spearman(spark, d):
+    """Mean ranks from the counts of distinct values, so the ordered windows hold values and not rows."""
     own = table(spark, d, "documents").select("source", F.col("n_chars").alias("a"), (F.length("text") - F.col("doc_id") % 50).alias("b"))
 
-    def mean_rank(c):
-        return F.rank().over(Window.partitionBy("source").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("source", c)) - 1) / 2
+    def mean_rank(c, name):
+        n = own.groupBy("source", c).agg(F.count(F.lit(1)).alias("n"))
+        # Nulls come first and share a rank, as all equal values do.
+        upto = F.sum("n").over(Window.partitionBy("source").orderBy(c))
+        return n.select(F.col("source").alias(f"s_{name}"), F.col(c).alias(f"v_{name}"), (upto - F.col("n") + 1 + (F.col("n") - 1) / 2).alias(name))
 
-    return own.select("source", mean_rank("a").alias("x"), mean_rank("b").alias("y")).groupBy("source").agg(F.round(F.corr("x", "y"), 6).alias("rho"))
+    x, y = mean_rank("a", "x"), mean_rank("b", "y")
+    same = lambda r, c, name: F.col("source").eqNullSafe(r[f"s_{name}"]) & F.col(c).eqNullSafe(r[f"v_{name}"])
+    both = own.join(x, same(x, "a", "x")).join(y, same(y, "b", "y"))
+    return both.groupBy("source").agg(F.round(F.corr("x", "y"), 6).alias("rho"))
 
 
 _DRAW = "CAST('0x' || substr(sha1(CAST(doc_id AS VARCHAR) || ':' || CAST(b AS VARCHAR)), 1, 8) AS BIGINT)"
@@ -103,8 +111,10 @@ def bootstrap_ci(spark, d):
 
 @query("latency_percentiles", "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM events GROUP BY ALL")
 def latency_percentiles(spark, d):
-    p = [F.round(F.percentile("value", F.lit(q)), 6).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)]
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *p, F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"))
+    e = table(spark, d, "events")
+    p = X.percentiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    m = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"))
+    return m.join(p, "event_type").select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")), "mean", "std")
 
 
 @query("usage_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS calls, round(sum(l_quantity), 2) AS tokens, round(sum(l_extendedprice * (1 - l_discount)), 2) AS cost FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -141,18 +151,26 @@ def histogram_buckets(spark, d):
 
 @query("dataset_split", "SELECT doc_id, lang, CASE WHEN n <= 5 THEN 'smoke' WHEN n <= 25 THEN 'regression' ELSE 'release' END AS split FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha1('42:' || doc_id), doc_id) AS n FROM documents)")
 def dataset_split(spark, d):
+    """The quotas of a language are its first 25 by hash, which each task cuts to 25 before the shuffle; all others are the rest."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
     w = Window.partitionBy("lang").orderBy(F.sha1(F.concat(F.lit("42:"), F.col("doc_id").cast("string")).cast("binary")), "doc_id")
-    n = F.row_number().over(w)
-    return table(spark, d, "documents").select("doc_id", "lang", F.when(n <= 5, "smoke").when(n <= 25, "regression").otherwise("release").alias("split"))
+    head = docs.withColumn("n", F.row_number().over(w)).where("n <= 25").select("doc_id", F.when(F.col("n") <= 5, "smoke").otherwise("regression").alias("split"))
+    return docs.join(F.broadcast(head), "doc_id", "left").select("doc_id", "lang", F.coalesce("split", F.lit("release")).alias("split"))  # 25 rows a language
 
 
 @query("pareto_frontier", "WITH m AS (SELECT p_brand, avg(p_retailprice) AS cost, avg(p_size) AS quality FROM part GROUP BY ALL) SELECT p_brand FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.cost <= m.cost AND o.quality >= m.quality AND (o.cost < m.cost OR o.quality > m.quality))")
 def pareto_frontier(spark, d):
-    # A frontier is a running maximum in order of cost: no pair of rows is compared.
+    """A frontier is a running maximum in order of cost, worked out within ranges of cost and over the ranges' maxima: no pairs, no single task."""
     m = table(spark, d, "part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("cost"), F.avg("p_size").alias("quality"))
     best = m.groupBy("cost").agg(F.max("quality").alias("quality"))
-    before = F.max("quality").over(Window.orderBy("cost").rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("before", before).where(F.col("before").isNull() | (F.col("quality") > F.col("before"))).drop("before")
+    cuts = sorted(set(best.approxQuantile("cost", [k / 32 for k in range(1, 32)], 0.01)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("cost"))) if cuts else F.lit(0)
+    best = best.withColumn("part", part)
+    tops = best.groupBy("part").agg(F.max("quality").alias("top"))
+    earlier = tops.withColumn("earlier", F.max("top").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "earlier")  # 32 rows at most
+    within = F.max("quality").over(Window.partitionBy("part").orderBy("cost").rowsBetween(Window.unboundedPreceding, -1))
+    before = best.withColumn("within", within).join(F.broadcast(earlier), "part").withColumn("before", F.greatest("within", "earlier"))
+    front = before.where(F.col("before").isNull() | (F.col("quality") > F.col("before"))).select("cost", "quality")
     return m.join(front, ["cost", "quality"], "left_semi").select("p_brand")
 
 

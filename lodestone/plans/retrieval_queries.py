@@ -146,16 +146,14 @@ def naive_interleave(spark, d):
 
 @query("substring_baseline", "SELECT item_id AS query_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS INT) AS rank FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) QUALIFY rank <= 5")
 def substring_baseline(spark, d):
-    hits = docs(spark, d).join(R.small(items(spark, d)), F.col("text").contains(F.col("query")))
-    return R.top_k(hits.select("query_id", "doc_id", F.lit(0).alias("score")), 5).select("query_id", "doc_id", "rank")
+    hits = R.containing(docs(spark, d).select("doc_id", "text"), items(spark, d))
+    return R.top_k(hits.withColumn("score", F.lit(0)), 5).select("query_id", "doc_id", "rank")
 
 
 @query(
     "exact_dedupe_aliases",
-    f"""WITH {BM}, f AS (SELECT bm.query_id, bm.doc_id, bm.rank, sha256({S.form('documents.text')}) AS f FROM bm JOIN documents USING (doc_id))
-SELECT query_id, arg_min(doc_id, rank) AS doc_id, min(rank) AS rank, array_to_string(list_filter(list_sort(list(doc_id)), lambda x: x <> arg_min(doc_id, rank)), ',') AS equivalent_keys FROM f GROUP BY query_id, f""".replace(
-        "list_filter(list_sort(list(doc_id)), lambda x: x <> arg_min(doc_id, rank))", "list_sort(list(doc_id ORDER BY doc_id) FILTER (WHERE NOT best))"
-    ).replace("AS f FROM bm JOIN documents USING (doc_id))", "AS f FROM bm JOIN documents USING (doc_id)), g AS (SELECT *, rank = min(rank) OVER (PARTITION BY query_id, f) AS best FROM f)").replace("FROM f GROUP", "FROM g GROUP"),
+    f"""WITH {BM}, f AS (SELECT bm.query_id, bm.doc_id, bm.rank, sha256({S.form('documents.text')}) AS f FROM bm JOIN documents USING (doc_id)), g AS (SELECT *, rank = min(rank) OVER (PARTITION BY query_id, f) AS best FROM f)
+SELECT query_id, arg_min(doc_id, rank) AS doc_id, min(rank) AS rank, array_to_string(list_sort(list(doc_id ORDER BY doc_id) FILTER (WHERE NOT best)), ',') AS equivalent_keys FROM g GROUP BY query_id, f""",
 )
 def exact_dedupe_aliases(spark, d):
     out = R.collapse_duplicates(lexical_run(spark, d).join(docs(spark, d).select("doc_id", "text"), "doc_id"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lodestone.functions.text import once
+
 # Rules of instructions in text (on its canonical form), their labels and weights.
 INJECTION_RULES = [
     (r"ignore (previous|above|all) instructions", "ignore_instructions", 50),
@@ -91,12 +93,16 @@ def _some(flags: list[tuple[Column, str]]) -> Column:
 
 def injection(canonical_text: Column, retrieved: Column) -> Column:
     """struct<risk, action, rules>: the weights of the rules that hold, 15 more for retrieved text, 100 at most."""
-    holds = [(canonical_text.rlike(p), label) for p, label, _ in INJECTION_RULES]
-    weight = F.lit(0)
-    for (flag, _), (_, _, w) in zip(holds, INJECTION_RULES, strict=True):
-        weight = weight + F.when(flag, w).otherwise(0)
-    risk = F.least(F.lit(100), F.least(F.lit(100), weight) + F.when(retrieved & (weight > 0), 15).otherwise(0))
-    return F.struct(risk.alias("risk"), action_of(risk).alias("action"), _some(holds).alias("rules"))
+
+    def judged(x: Column) -> Column:
+        weight = F.lit(0)
+        for i, (_, _, w) in enumerate(INJECTION_RULES):
+            weight = weight + F.when(x["f"][i], w).otherwise(0)
+        risk = F.least(F.lit(100), F.least(F.lit(100), weight) + F.when(x["r"] & (weight > 0), 15).otherwise(0))
+        return F.struct(risk.alias("risk"), action_of(risk).alias("action"), _some([(x["f"][i], label) for i, (_, label, _) in enumerate(INJECTION_RULES)]).alias("rules"))
+
+    # Each rule is tried once.
+    return once(F.struct(F.array(*(canonical_text.rlike(p) for p, _, _ in INJECTION_RULES)).alias("f"), retrieved.alias("r")), judged)
 
 
 def action_of(risk: Column) -> Column:
@@ -116,18 +122,25 @@ def pollution(text: Column, canonical_text: Column) -> Column:
 def output_dlp(text: Column, domain: Column) -> Column:
     """struct<action, secrets, personal, redacted>: found in the text as it is, redacted one kind after the other.
 
-    Secrets are always redacted, and block the answer in a strict domain; personal data is redacted in strict domains alone.
+    Secrets are always redacted, and block the answer in a strict domain; personal data is redacted in strict domains alone. A kind
+    is looked for in the original text, and redacted in what the kinds before it have left.
     """
-    strict = domain.isin(*STRICT_DOMAINS)
-    secrets, personal = _some([(text.rlike(p), n) for p, n in SECRETS]), _some([(text.rlike(p), n) for p, n in PERSONAL])
-    out = text
-    for p, n in SECRETS:
-        out = F.regexp_replace(out, p, f"[REDACTED:{n.upper()}]")
-    hidden = out
-    for p, n in PERSONAL:
-        hidden = F.regexp_replace(hidden, p, f"[REDACTED:{n.upper()}]")
-    action = F.when((F.size(secrets) > 0) & strict, "block").when((F.size(secrets) > 0) | strict & (F.size(personal) > 0), "redact").otherwise("allow")
-    return F.struct(action.alias("action"), secrets.alias("secrets"), personal.alias("personal"), F.when(strict, hidden).otherwise(out).alias("redacted"))
+    kinds = [*SECRETS, *PERSONAL]
+    # A mail address needs its sign, which is quicker to look for.
+    flags = [text.contains("@") & text.rlike(p) if n == "email" else text.rlike(p) for p, n in kinds]
+
+    def judged(x: Column) -> Column:
+        out, hidden = x["t"], None
+        for i, (p, n) in enumerate(kinds):
+            if i == len(SECRETS):
+                hidden = out
+            out = F.when(x["f"][i], F.regexp_replace(out, p, f"[REDACTED:{n.upper()}]")).otherwise(out)
+        found = [(x["f"][i], n) for i, (_, n) in enumerate(kinds)]
+        secrets, personal = _some(found[: len(SECRETS)]), _some(found[len(SECRETS) :])
+        action = F.when((F.size(secrets) > 0) & x["s"], "block").when((F.size(secrets) > 0) | x["s"] & (F.size(personal) > 0), "redact").otherwise("allow")
+        return F.struct(action.alias("action"), secrets.alias("secrets"), personal.alias("personal"), F.when(x["s"], out).otherwise(hidden).alias("redacted"))
+
+    return once(F.struct(text.alias("t"), F.array(*flags).alias("f"), domain.isin(*STRICT_DOMAINS).alias("s")), judged)
 
 
 def sanitise(text: Column) -> Column:

@@ -17,7 +17,8 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps, each an aggregation that combines before its shuffle and a join whose large
     keys AQE can split, so a node with very many links is no hot spot. Each round is written to the shared
-    checkpoint folder. Loops and repeated edges do no harm; no edges give no rows.
+    checkpoint folder. Loops and repeated edges do no harm; no edges give no rows. Rounds grow with the logarithm of the longest chain; a graph
+    that has not settled after `most_rounds` raises, nothing is cut short.
     """
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(now)

@@ -22,7 +22,7 @@ from lodestone.llm.arrow import map_batches, table
 LENGTH = 2048
 END_ID = 0
 #: Pieces that one partition packs together; more are packed in several such blocks, in bounded memory. Every piece is placed; a
-#: block's last sequences may stay part empty, which costs one sequence in some 100,000 (pieces of 200 tokens).
+#: block's last sequences may stay part empty (measured on 400,000 pieces: 38,454 sequences in one block, 38,456 in eight, 38,452.98 at least).
 PACK_BLOCK = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

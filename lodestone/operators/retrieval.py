@@ -295,3 +295,13 @@ def near_duplicate_pairs(docs: DataFrame, words: int = 5, least: float = 0.8) ->
     own = sets.select("id", "s")
     both = pairs.join(own.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(own.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     return both.select("a", "b", F.round(T.jaccard(F.col("sa"), F.col("sb")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+def shingle_classes(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, class_id): each document with the least doc_id that has its set of word shingles, under which near_duplicate_pairs names it.
+
+    Sets go by their SHA-256; documents of fewer words than a shingle have none and are left out.
+    """
+    split = F.filter(F.split(F.lower(F.col("text")), r"\s+"), lambda w: w != "")
+    own = docs.select("doc_id", F.array_sort(T.word_shingles(split, words)).alias("s")).where(F.size("s") > 0).select("doc_id", F.sha2(F.array_join("s", "\n"), 256).alias("form"))
+    return own.join(own.groupBy("form").agg(F.min("doc_id").alias("class_id")), "form").select("doc_id", "class_id")

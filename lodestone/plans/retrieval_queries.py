@@ -296,3 +296,13 @@ SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM p WHERE k / (na + nb -
 )
 def near_dup_shingles(spark, d):
     return R.near_duplicate_pairs(docs(spark, d))
+
+
+@query(
+    "near_dup_members",
+    r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS s FROM w)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id FROM s WHERE len(s) > 0""",
+)
+def near_dup_members(spark, d):
+    """JN15: the membership that goes with the pairs of near_dup_shingles."""
+    return R.shingle_classes(docs(spark, d))

@@ -3,9 +3,10 @@
 A page is read as a stream of block tags and texts. Streams of a bounded sample of the pages of one host and template are aligned
 one after the other: repeats fold into groups, a mismatch of texts becomes a slot, a mismatch of tags an optional or a repeated group.
 A text that most of the sampled pages share is a constant of the template. Every page is then matched with its wrapper: the
-wrapper says in which container the article lies, its constants (notices, advert lines, boxes that every page has) are dropped,
-and what fills its slots and groups is the text. Elements that by HTML's own meaning hold no article (navigation, forms, scripts) are left
-out everywhere; of class names only those that can mean nothing else are believed, the others give way to what the wrapper has seen.
+wrapper says in which container the article lies, boxes of constants (notices, adverts) in it are dropped,
+and the rest is the text, constants in its own flow included. Elements that by HTML's own meaning hold no article (navigation, forms, scripts) are left
+out, and so are those whose class names say so, unless the article itself lies in them: names are evidence, and an element that holds
+the page's article or most of its text is the page's frame. Names with two meanings give way to what the wrapper has seen.
 A page that has no wrapper, or does not fit it, is read by a rule on the page alone, where all class names count.
 """
 
@@ -47,11 +48,13 @@ _WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus "
     "dropdown footer gdpr masthead menu modal nav navbar navigation navigator newsletter pagination pager respond sidebar sponsor sponsored subscribe subscription toolbar".split()
 )
+# Those of readers' comments, which have articles of their own.
+_COMMENTS = frozenset("comment comments commentlist disqus respond".split())
 # Class names of boxes beside the article that articles use as well.
 _DOUBTFUL = frozenset("alert notice notices notification overlay popup promo promotion recommended related replies reviews share sharing skip social widget widgets".split())
 _CONTENT = frozenset("article articlebody content entry main post story text body".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|title|textarea|noscript|iframe|template|svg|math|object|audio|video|canvas)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|title|textarea|noscript|iframe|template|svg|annotation|annotation-xml|object|audio|video|canvas)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)"
     r"|</?([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
     re.S | re.I,
 )
@@ -91,64 +94,107 @@ class Page:
     root: Node = field(default_factory=lambda: Node(""))
 
 
-def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """The element's name with its first class, whether it holds no article text, whether its class may say so."""
-    noise, doubtful, mark = tag in _NOISE, False, ""
+#: How sure a mark is that an element holds no article: a word inside a longer class name, a whole name or the element's own meaning, one of
+#: readers' comments, a head.
+WEAK, STRONG, COMMENTS, HEAD = 1, 2, 3, 4
+
+
+@dataclass
+class Mark:
+    """An article element, one that may hold no article (kind over 0), or a doubtful one: the mark around it, characters outside links, those of the largest article in it."""
+
+    over: int
+    kind: int = 0
+    doubtful: bool = False
+    article: bool = False
+    chars: int = 0
+    largest: int = 0
+
+
+def _label(tag: str, attrs: str) -> tuple[str, int, bool]:
+    """The element's name with its first class, how sure it is to hold no article text (0: not at all), whether its class may say so."""
+    kind, doubtful, mark = HEAD if tag == "head" else STRONG if tag in _NOISE else 0, False, ""
     if attrs and "=" in attrs or "hidden" in attrs:
         for name, a, b, c in _ATTRIBUTE.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                words = {w.lower() for part in value.split() for w in _PARTS.split(part) if w}
-                if tag not in ("body", "html", "article", "main"):
-                    noise |= bool(words & _WORDS)
+                for part in value.split() if tag not in ("body", "html", "article", "main") else ():
+                    words = {w.lower() for w in _PARTS.split(part) if w}
+                    if words & _WORDS:
+                        kind = max(kind, COMMENTS if words & _COMMENTS else STRONG if part.lower() in _WORDS else WEAK)
                     doubtful |= bool(words & _DOUBTFUL)
                 mark = mark or (re.sub(r"\d+", "0", value.split()[0]) if value.split() else "")
             elif name == "role":
-                noise |= value.lower() in _ROLES
+                kind = max(kind, STRONG * (value.lower() in _ROLES))
             elif name == "style":
-                noise |= "display:none" in value.replace(" ", "").lower()
+                kind = max(kind, STRONG * ("display:none" in value.replace(" ", "").lower()))
             else:
-                noise |= value.lower() != "false"
-    return f"{tag}.{mark}" if mark else tag, noise or doubtful and tag not in _BLOCK, doubtful
+                kind = max(kind, STRONG * (value.lower() != "false"))
+    return f"{tag}.{mark}" if mark else tag, max(kind, WEAK * (doubtful and tag not in _BLOCK)), doubtful
+
+
+def _resolve(marks: list[Mark]) -> tuple[list[bool], list[bool], list[bool]]:
+    """For each mark: whether it is silent itself, whether it lies in a silent one or is one, whether it lies in a doubtful one or is one.
+
+    The page's frame is neither: a weak mark gives way to an article element that is no teaser (a fifth of the text without surely other elements) or to half of the page's text outside links; a
+    strong one to half of the text where no article element is outside, or to nearly all of it; comments only to nearly all.
+    """
+    above = [0] * len(marks)
+    for k, m in enumerate(marks[1:], 1):
+        above[k] = max(above[m.over], marks[m.over].kind)
+    for k in range(len(marks) - 1, 0, -1):
+        m, o = marks[k], marks[marks[k].over]
+        if m.article:
+            m.largest = max(m.largest, m.chars)
+        o.chars += m.chars
+        o.largest = max(o.largest, m.largest)
+    articles = [k for k, m in enumerate(marks) if m.article and m.chars]
+    best = max((marks[k].chars for k in articles if above[k] <= WEAK), default=0)
+    free = any(above[k] == 0 for k in articles)
+    total = max(1, marks[0].chars)
+    plain = marks[0].chars - sum(m.chars for k, m in enumerate(marks) if m.kind >= STRONG > above[k])
+    own, silent, doubtful = ([False] * len(marks) for _ in range(3))
+    for k, m in enumerate(marks[1:], 1):
+        half, nearly = 2 * m.chars > total, 10 * m.chars >= 9 * total
+        frame = m.kind <= WEAK and (half or m.largest and 2 * m.largest >= best and 5 * m.largest >= plain) or m.kind == STRONG and half and m.largest and not free or m.kind < HEAD and nearly
+        own[k] = bool(m.kind and not frame)
+        silent[k] = silent[m.over] or own[k]
+        doubtful[k] = doubtful[m.over] or m.doubtful and not frame
+    return own, silent, doubtful
 
 
 def read(source: str) -> Page:
     """Blocks of text outside elements that hold none of the article, and the tree of block elements and those texts."""
     page = Page()
-    stack: list[tuple[str, str, bool, bool, bool, bool]] = []  # tag, label, noise, container, doubtful, has a node
+    marks = [Mark(0)]  # the first is the page, which is in no mark
+    stack: list[tuple[str, str, int, bool, bool]] = []  # tag, label, the mark outside, container, has a node
     nodes = [page.root]
-    silent = links = inside_article = unsure = 0
-    text: list[str] = []
-    linked = 0
+    within = links = articles = 0
+    marked: dict[int, int] = {}  # of nodes
+    raw: list[tuple[list[tuple[str, bool, int]], tuple[str, ...], int, Node]] = []
+    text: list[tuple[str, bool, int]] = []
 
     def flush() -> None:
-        nonlocal linked
         if text:
-            whole = _SPACES.sub(" ", entities.unescape("".join(text))).strip()
+            node = Node("#", block=len(raw))
+            nodes[-1].kids.append(node)
+            raw.append((text.copy(), tuple(x[1] for x in stack if x[3]), within, node))
             text.clear()
-            if whole:
-                block = Block(whole, tuple(x[1] for x in stack if x[3]), min(linked, len(whole)), unsure > 0)
-                nodes[-1].kids.append(Node("#", text=whole, block=len(page.blocks), doubtful=block.doubtful, chars=len(whole), linked=block.linked))
-                page.blocks.append(block)
-        linked = 0
 
     def close(depth: int) -> None:
-        nonlocal silent, links, inside_article, unsure
+        nonlocal links, within, articles
         while len(stack) > depth:
-            tag, _, noise, _, doubtful, has_node = stack.pop()
-            silent -= noise
-            unsure -= doubtful
+            tag, _, within, _, has_node = stack.pop()
             links -= tag == "a"
-            inside_article -= tag in ("article", "main")
+            articles -= tag in ("article", "main")
             if has_node:
                 nodes.pop()
 
     def add(part: str) -> None:
-        nonlocal linked
-        if part and not silent:
-            text.append(part)
-            if links:
-                linked += len(part.strip())
+        if part:
+            text.append((part, links > 0, within))
+            if not links:
+                marks[within].chars += len(part.strip())
 
     at = 0
     for m in _TOKEN.finditer(source):
@@ -184,24 +230,42 @@ def read(source: str) -> Page:
             add(" ")
         if tag in _VOID:
             continue
-        label, noise, doubtful = _label(tag, m.group(3) or "")
-        noise |= tag == "header" and not inside_article
+        label, kind, doubtful = _label(tag, m.group(3) or "")
+        if tag == "header" and not articles:
+            kind = max(kind, STRONG)
         if tag == "body":  # a head that was not closed ends here
             while stack and stack[-1][0] != "html":
                 close(len(stack) - 1)
-        has_node = tag in _BLOCK and not noise and not silent and len(nodes) <= DEPTH
+        article, outside = tag in ("article", "main"), within
+        if kind or doubtful or article:
+            marks.append(Mark(outside, kind, doubtful, article))
+            within = len(marks) - 1
+        has_node = tag in _BLOCK and len(nodes) <= DEPTH
         if has_node:
             node = Node(label)
+            marked[id(node)] = within if within != outside else 0
             nodes[-1].kids.append(node)
             nodes.append(node)
-        stack.append((tag, label, noise, tag in _CONTAINER, doubtful, has_node))
-        silent += noise
-        unsure += doubtful
+        stack.append((tag, label, outside, tag in _CONTAINER, has_node))
         links += tag == "a"
-        inside_article += tag in ("article", "main")
+        articles += article
     add(source[at:])
     flush()
     close(0)
+    own, silent, doubtful = _resolve(marks)
+    kept: set[int] = set()
+    for parts, path, around, node in raw:
+        said = [x for x in parts if not silent[x[2]]]
+        if said and (whole := _SPACES.sub(" ", entities.unescape("".join(x[0] for x in said))).strip()):
+            block = Block(whole, path, min(sum(len(x[0].strip()) for x in said if x[1]), len(whole)), doubtful[around])
+            node.text, node.block, node.doubtful, node.chars, node.linked = whole, len(page.blocks), block.doubtful, len(whole), block.linked
+            page.blocks.append(block)
+            kept.add(id(node))
+    work = [page.root]
+    while work:
+        node = work.pop()
+        node.kids = [k for k in node.kids if (id(k) in kept if k.label == "#" else not own[marked[id(k)]])]
+        work += node.kids
     return page
 
 
@@ -456,8 +520,10 @@ def by_wrapper(page: Page, wrapper: Wrapper) -> list[str] | None:
     if fit < FIT:
         return None
     inside = [k for k, b in enumerate(page.blocks) if _inside(b.path, wrapper.root)]
-    # Headings belong to the article even where all pages have them.
-    constant = {k for k in inside if k in nodes and nodes[k].text is not None} - (_headings(page) if wrapper.constants else set())
+    # Constants in the flow of the article belong to it, and so do headings; those in a box of their own, or of doubtful names, don't.
+    flow = _flow(wrapper) if wrapper.constants else set()
+    constant = {k for k in inside if k in nodes and nodes[k].text is not None and (page.blocks[k].doubtful or "." in page.blocks[k].path[-1] and page.blocks[k].path not in flow and page.blocks[k].path != wrapper.root)}
+    constant -= _headings(page) if constant else set()
     if sum(len(page.blocks[k].text) for k in constant) > MOST_CONSTANT * sum(len(page.blocks[k].text) for k in inside):
         constant = set()
 
@@ -473,6 +539,20 @@ def by_wrapper(page: Page, wrapper: Wrapper) -> list[str] | None:
     return [page.blocks[k].text for k in inside if kept(k)] or None
 
 
+def _flow(wrapper: Wrapper) -> set[tuple[str, ...]]:
+    """The paths of containers that hold a slot directly: what changes from page to page is no box of the template."""
+    out: set[tuple[str, ...]] = set()
+    work: list[tuple[Node, tuple[str, ...]]] = [(wrapper.tree, ())]
+    while work:
+        node, path = work.pop()
+        for kid in node.kids:
+            if kid.label != "#":
+                work.append((kid, (*path, kid.label) if kid.label.split(".")[0] in _CONTAINER else path))
+            elif kid.text is None:
+                out.add(path)
+    return out
+
+
 def _headings(page: Page) -> set[int]:
     """The blocks that are headings."""
     out: set[int] = set()
@@ -507,7 +587,7 @@ def _host(url):
 
 def _template(html):
     """A hash of the kinds of containers that a page has, with their first class or id: pages of one template have it in common."""
-    tags = F.regexp_extract_all(F.lower(html), F.lit(r"<((?:article|main|section|div|table)\b(?:[^>]{0,200}?\b(?:class|id)\s*=\s*[\"']?[a-z_-]*)?)"), F.lit(1))
+    tags = F.regexp_extract_all(F.lower(html), F.lit(r"<((?:article|main|section|div|table)\b(?:[^>]*?\b(?:class|id)\s*=\s*[\"']?[a-z_-]*)?)"), F.lit(1))
     return F.xxhash64(F.array_sort(F.array_distinct(F.transform(tags, lambda t: F.regexp_replace(t, r"^(\w+).*?(?:=\s*[\"']?([a-z_-]*))?$", "$1.$2")))))
 
 

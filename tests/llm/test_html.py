@@ -130,3 +130,55 @@ def test_odd_rows(spark):
     assert len(got) == len(rows) and {r["text"] for r in got if r["page_id"] in (1, 3)} == {""} and {r["text"] for r in got if r["page_id"] is None} == {"t"}
     assert next(r["text"] for r in got if r["page_id"] == 6).count("\n\n") == 8000
     assert H.extract(df.limit(0)).count() == 0
+
+
+LONG = "The river rises in the hills and runs for many miles before it meets the sea, as all who live along it know. "
+
+
+def test_class_words_are_evidence_only():
+    """Names that merely contain a listed word, on what holds the article, silence nothing."""
+    body, want = f"<h1>Head</h1><p>{LONG * 3}</p><p>{LONG * 2}</p>", f"Head\n\n{(LONG * 3).strip()}\n\n{(LONG * 2).strip()}"
+    box = f"<div class=teaser><p>{LONG}</p></div>"
+    frames = [
+        f'<div class="content has-sidebar"><article>{body}</article></div>{box}', f'<div id=page class="no-sidebar"><article>{body}</article></div>', f'<div class="story promo-subscribe-free">{body}</div>',
+        f'<div class="wp navbar-fixed-top-layout">{body}</div>', f'<div class="recommended-layout widget-area-none">{body}</div><div class=q><p>Short.</p></div>', f"<form id=aspnetForm>{body}</form>", f'<div class="with-banner"><main>{body}</main><div class=banner>Buy now</div></div>',
+        f'<div class="comments-open">{body}</div>', f'<div aria-hidden="true"><article>{body}</article></div>', f'<section role=dialog><div class="has-cookie-bar">{body}</div></section>',
+    ]
+    for html in frames:
+        page = f"<html><body><nav><a href=/>Home</a></nav>{html}<footer>All rights</footer></body></html>"
+        assert H.main_text(page, None) == want, html
+        pages = [page.replace("Head", f"Head{k}").replace("hills", f"hills{k}") for k in range(8)]
+        wrapper = H.infer(pages)
+        assert wrapper.root is not None and H.main_text(pages[3], wrapper) == want.replace("Head", "Head3").replace("hills", "hills3"), html
+
+
+def test_what_the_names_say_still_goes():
+    body = f"<h1>Head</h1><p>{LONG * 3}</p>"
+    want = f"Head\n\n{(LONG * 3).strip()}"
+    comments = "".join(f"<article class=comment><p>I say {k}.</p></article>" for k in range(9))
+    for more in (f"<div id=comments>{comments}</div>", f"<div class=comments-area>{comments}</div>", "<div class=site-footer>About us</div>", "<aside><article>Teaser</article></aside>", "<div class=sidebar-box><article>Teaser</article></div>", "<div class=subscribe-box>Join</div>"):
+        assert H.main_text(f"<body><article>{body}</article>{more}</body>", None) == want, more
+        assert H.main_text(f"<body><div class=content>{body}{more}</div></body>", None) == want, more
+    assert H.main_text(f"<body><div class=content>{body}<p>in <span class=ad>buy</span>side <span class='fine-ad-slot'>more</span></p></div></body>", None) == want + "\n\nin side"
+
+
+def test_constants_in_the_flow_stay():
+    """A paragraph that all pages of a host have is the article's where it stands between its paragraphs; a box of its own is a notice."""
+    shared = "This licence applies to every story we publish on this site."
+    for kind in ("article", "main", "div class=content"):
+        pages = [f"<body><{kind}><h1>T{k}</h1><p>{LONG * 3} {k}</p><p>{shared}</p><p>{LONG * 2}{k}</p><div class=note-x>Read our rules first.</div></{kind.split()[0]}></body>" for k in range(8)]
+        got = H.main_text(pages[2], H.infer(pages))
+        assert shared in got and "Read our rules" not in got and got.startswith("T2\n\n")
+
+
+def test_mathematics_stays():
+    assert H.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x=2</annotation></math> be so.</article>", None) == "Let x=2 be so."
+
+
+def test_marks_cost_linear_time():
+    """Very many open marked elements, each with a text of its own."""
+    import time
+
+    began = time.time()
+    got = H.main_text("<article>" + "".join(f"<span class=widget-x>t{k} " for k in range(60_000)) + "</article>", None)
+    assert time.time() - began < 20 and len(got) >= 0

@@ -85,7 +85,9 @@ def _ranged(x: Column) -> Column:
     d, kind, n = x["digits"], x["kind"], F.length(x["digits"])
     ten = F.substring(d, n - 9, F.lit(10))
     octet = F.split(x["value"], r"\.")
-    local = ten.rlike("^[2-9]..[2-9]")
+    # Ten-digit numbers by what their first and fourth digits may be: each form is a range of its own, all together are all of them.
+    low, lower = ten.rlike("^[01]"), ten.rlike("^...[01]")
+    three, seven = _number(F.substring(ten, 1, 3)), _number(F.substring(ten, 4, 7))
     half = ((n - 1) / 2).cast("int")
     form, year, month = x["form"], _number(F.substring(d, 5, 4)), _number(F.substring(d, 1, 2))
     leap = F.floor((year - 1904) / 4)
@@ -107,21 +109,21 @@ def _ranged(x: Column) -> Column:
 
     left = by_kind(
         iban=_number(F.substring(account, F.lit(1), part)), date=dated(F.floor(x["day"] / _DAYS[1]), year - 1900, F.floor(leap / 7)), ssn=area - 1 - (area > 666).cast("long"),
-        phone=F.when(local, _number(F.substring(ten, 1, 3)) - 200).otherwise(_number(F.substring(ten, 1, 5))),
+        phone=F.when(low, three).otherwise(three - 200),
         card=_number(F.substring(d, F.lit(1), half)), ip=_number(F.element_at(octet, 1)) * 256 + _number(F.try_element_at(octet, F.lit(2))),
     )
     cum = F.try_element_at(F.array(*map(F.lit, _CUM)), month.cast("int"))
     right = by_kind(
         iban=_number(F.substring(account, part + 1, n)), date=dated(x["day"] % _DAYS[1], cum + _number(F.substring(d, 3, 2)) - 13, leap % 7), ssn=(tail - 1) * 9999 + _number(F.substring(d, 6, 4)) - 1,
-        phone=F.when(local, _number(F.substring(ten, 4, 7)) - 2_000_000).otherwise(_number(F.substring(ten, 6, 5))),
+        phone=F.when(low | lower, seven).otherwise(seven - 2_000_000),
         card=_number(F.substring(d, half + 1, n - 1 - half)), ip=_number(F.try_element_at(octet, F.lit(3))) * 256 + _number(F.try_element_at(octet, F.lit(4))),
     )
 
     def power(k: Column) -> Column:
         return F.pow(F.lit(10.0), k).cast("long")
 
-    a = by_kind(email=long(1), iban=power(part), date=dated(long(_DAYS[0]), long(200), long(7)), ssn=long(898), phone=F.when(local, long(800)).otherwise(100_000), card=power(half), ip=long(65536))
-    b = by_kind(email=long(1), iban=power(n - 2 - part), date=dated(long(_DAYS[1]), long(221), long(7)), ssn=long(99 * 9999), phone=F.when(local, long(8_000_000)).otherwise(100_000), card=power(n - 1 - half), ip=long(65536))
+    a = by_kind(email=long(1), iban=power(part), date=dated(long(_DAYS[0]), long(200), long(7)), ssn=long(898), phone=F.when(low, long(200)).otherwise(long(800)), card=power(half), ip=long(65536))
+    b = by_kind(email=long(1), iban=power(n - 2 - part), date=dated(long(_DAYS[1]), long(221), long(7)), ssn=long(99 * 9999), phone=F.when(low, long(10_000_000)).when(lower, long(2_000_000)).otherwise(long(8_000_000)), card=power(n - 1 - half), ip=long(65536))
     valid = by_kind(
         email=F.lit(True), iban=(F.length(plain).between(15, 34)) & (n >= 6) & (_mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1),
         date=x["day"].isNotNull() | (form != "day"), ssn=(area >= 1) & (area < 900) & (area != 666) & (tail > 0) & (_number(F.substring(d, 6, 4)) > 0),
@@ -129,7 +131,7 @@ def _ranged(x: Column) -> Column:
     )
     tag = F.concat_ws("/", kind, n.cast("string"), form)
     own = (
-        F.when(kind == "ip", F.lit("ip")).when(kind == "phone", F.concat(F.lit("phone/"), local.cast("string"))).when(kind == "iban", F.concat(F.lit("iban/"), F.substring(plain, 1, 2), F.regexp_replace(F.substring(plain, F.lit(5), F.length(plain)), "[0-9]", "0")))
+        F.when(kind == "ip", F.lit("ip")).when(kind == "phone", F.when(low, F.lit("phone/low")).when(lower, F.lit("phone/lower")).otherwise(F.lit("phone/true"))).when(kind == "iban", F.concat(F.lit("iban/"), F.substring(plain, 1, 2), F.regexp_replace(F.substring(plain, F.lit(5), F.length(plain)), "[0-9]", "0")))
         .otherwise(tag)
     )
     return F.struct(*(x[c].alias(c) for c in ("start", "end", "value", "digits", "kind", "form")), own.alias("tag"), F.coalesce(valid, F.lit(False)).alias("valid"), left.alias("l"), right.alias("r"), a.alias("a"), b.alias("b"))
@@ -163,7 +165,7 @@ def _written(key: str):
         half = ((n - 1) / 2).cast("int")
         body = F.concat(pad(l, half), pad(r, n - 1 - half))
         card = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-        ten = F.when(x["a"] == 800, F.concat(pad(l + 200, 3), pad(r + 2_000_000, 7))).otherwise(F.concat(pad(l, 5), pad(r, 5)))
+        ten = F.concat(pad(F.when(x["a"] == 200, l).otherwise(l + 200), 3), pad(F.when(x["b"] == 8_000_000, r + 2_000_000).otherwise(r), 7))
         ssn = F.concat(pad(l + 1 + (l >= 665).cast("long"), 3), pad(F.floor(r / 9999) + 1, 2), pad(r % 9999 + 1, 4))
         new = F.when(kind == "card", card).when(kind == "phone", F.concat(F.substring(d, F.lit(1), n - 10), ten)).when(kind == "ssn", ssn)
         day = F.date_add(F.lit(_FIRST).cast("date"), (l * _DAYS[1] + r).cast("int"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import itertools
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -56,6 +57,17 @@ def test_every_day_has_its_own(spark):
     assert sorted(outs) == sorted(us) and sum(a == b for a, b in zip(us, outs)) < 20 and outs[0] != us[0]
 
 
+def test_phones_keep_their_range(spark):
+    """Ten-digit numbers of all three forms, at the borders between them: no two share a pseudonym, and none leaves its form."""
+    rng = random.Random(2)
+    ends = [a + b for a in ("000", "001", "199", "200", "201", "999") for b in ("0000000", "0000001", "1999999", "2000000", "2000001", "9999999")]
+    tens = sorted({*ends, "1501234567", "7826354456", *(f"{rng.randrange(10**10):010d}" for _ in range(4000))})
+    outs = [re.sub(r"\D", "", o) for o, _ in run(spark, [f"x {t[:3]}-{t[3:6]}-{t[6:]} y" for t in tens])]
+    assert len(set(outs)) == len(tens) and sum(a == b for a, b in zip(outs, tens)) < 3
+    form = lambda t: (t[0] in "01", t[0] not in "01" and t[3] in "01")
+    assert all(form(a) == form(b) for a, b in zip(outs, tens))
+
+
 def iban_ok(s: str) -> bool:
     s = s.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
@@ -118,11 +130,13 @@ def plain(text: str) -> str:
             return dealt(f"{area + 1 + (area >= 665):03d}{rest // 9999 + 1:02d}{rest % 9999 + 1:04d}")
         if kind == "phone":
             ten = digits[-10:]
-            if re.match("[2-9]..[2-9]", ten):
-                x = feistel(P.KEY, "phone/true", (int(ten[:3]) - 200) * 8_000_000 + int(ten[3:]) - 2_000_000, 800, 8_000_000)
-                ten = f"{x // 8_000_000 + 200:03d}{x % 8_000_000 + 2_000_000:07d}"
-            else:
-                ten = f"{feistel(P.KEY, 'phone/false', int(ten), 100_000, 100_000):010d}"
+            form, first, rest, low, high = next(
+                (form, range(a, b), range(c, d), a, c)
+                for form, pattern, a, b, c, d in (("low", "[01]", 0, 200, 0, 10**7), ("lower", "[2-9]..[01]", 200, 1000, 0, 2_000_000), ("true", "[2-9]..[2-9]", 200, 1000, 2_000_000, 10**7))
+                if re.match(pattern, ten)
+            )
+            x = feistel(P.KEY, f"phone/{form}", (int(ten[:3]) - low) * len(rest) + int(ten[3:]) - high, len(first), len(rest))
+            ten = f"{x // len(rest) + low:03d}{x % len(rest) + high:07d}"
             return dealt(digits[:-10] + ten)
         if kind == "card":
             n = len(digits)

@@ -26,6 +26,8 @@ SAMPLE, LEAST_EACH = 2_000, 20
 WIDTH = 1 << 13
 #: A text is flagged as ambiguous where the second-best language's share of the score is over this.
 AMBIGUOUS = 0.35
+#: Texts whose rows of WIDTH features are held at once: 16 MB.
+ROWS = 256
 UNKNOWN = "und"
 _LETTERS = np.zeros(256, np.uint32)
 _LETTERS[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -33,26 +35,32 @@ _LETTERS[0x80:] = np.arange(0x80, 256)
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first row, row after the last, matrix) for blocks: square roots of n-gram shares, so each row has length 1 or 0."""
-    for lo, hi, buf, off in tb.blocks(pc.utf8_lower(column.cast(pa.string()))):
-        n = hi - lo
-        code = _LETTERS[buf]
-        row = np.repeat(np.arange(n, dtype=np.int64) * WIDTH, np.diff(off))
-        total = np.zeros(n * WIDTH)
-        for k in (2, 3):
-            if len(buf) < k:
-                continue
-            h, some = code[: len(code) - k + 1].copy(), code[: len(code) - k + 1] > 0
-            for j in range(1, k):
-                tail = code[j : len(code) - k + 1 + j]
-                h = h * np.uint32(0x01000193) + tail
-                some |= tail > 0
-            h = (h * np.uint32(0x9E3779B1) + np.uint32(k)) >> np.uint32(19)
-            some &= row[: len(h)] == row[k - 1 :]
-            total += np.bincount(row[: len(h)][some] + h[some], minlength=n * WIDTH)
-        x = np.sqrt(total.reshape(n, WIDTH))
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        yield lo, hi, x.astype(np.float32)
+    """(first row, row after the last, matrix) for blocks of ROWS texts at most: square roots of n-gram shares, so each row has length 1 or 0."""
+    for first, after, buf, off in tb.blocks(pc.utf8_lower(column.cast(pa.string()))):
+        for lo in range(0, after - first, ROWS):
+            hi = min(lo + ROWS, after - first)
+            yield first + lo, first + hi, _matrix(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+
+
+def _matrix(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    n = len(off) - 1
+    code = _LETTERS[buf]
+    row = np.repeat(np.arange(n, dtype=np.int64) * WIDTH, np.diff(off))
+    total = np.zeros(n * WIDTH)
+    for k in (2, 3):
+        if len(buf) < k:
+            continue
+        h, some = code[: len(code) - k + 1].copy(), code[: len(code) - k + 1] > 0
+        for j in range(1, k):
+            tail = code[j : len(code) - k + 1 + j]
+            h = h * np.uint32(0x01000193) + tail
+            some |= tail > 0
+        h = (h * np.uint32(0x9E3779B1) + np.uint32(k)) >> np.uint32(19)
+        some &= row[: len(h)] == row[k - 1 :]
+        total += np.bincount(row[: len(h)][some] + h[some], minlength=n * WIDTH)
+    x = np.sqrt(total.reshape(n, WIDTH))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x.astype(np.float32)
 
 
 def codewords(classes: int, seed: int = 17) -> np.ndarray:

@@ -24,7 +24,7 @@ LONGEST, LEAST, INSIDE, TOP = 3, 10, 50, 2_000
 #: Bits of the broadcast table: BITS_EACH a frequent phrase, rounded up to a power of two, MOST_BITS (32 MB) at most.
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 12, 1 << 28
 #: Bytes of text that are counted together.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: First ranks are taken in so many parts of a language.
 PARTS = 64
 NO_LANG = "und"

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found or "set"
 
 
+def named(column: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the fifth of the documents that no model learns from."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0

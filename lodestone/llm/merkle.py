@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrow import table, written
+from lodestone.llm.arrow import named, table, written
 
 #: Children of a node, and levels that one pass reduces: FANOUT ** LEVELS rows at most meet in a group.
 FANOUT, LEVELS = 3, 6
@@ -191,7 +191,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...], group: str = "source", ke
     that are not named are not read.
     """
     carry = carry or {}
-    own = {"leaf": leaf(*(F.col(_name(c)) for c in fields)), "grp": field(F.col(_name(group))), "name": F.col(_name(group)).cast("string"), "id": F.col(_name(key)).cast("long")}
+    own = {"leaf": leaf(*(named(c) for c in fields)), "grp": field(named(group)), "name": named(group).cast("string"), "id": named(key).cast("long")}
     slim = docs.select(*(c.alias(k) for k, c in own.items()), *(c.cast("string").alias(f"carry_{k}") for k, c in carry.items()))
     rows = written(slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("copies")))
     most = rows.agg(F.max("copies")).first()[0] or 0
@@ -217,21 +217,17 @@ def manifest(docs: DataFrame, fields: tuple[str, ...], group: str = "source", ke
     )
 
 
-def _name(column: str) -> str:
-    return "`" + column.replace("`", "``") + "`"
-
-
 def changed(old: DataFrame, new: DataFrame, group: str = "source", key: str = "doc_id") -> DataFrame:
     """(group, key, leaf, change) of the leaves that only one of two manifests has: added or removed, each as often as it is one too many.
 
     Groups whose subroots agree are left out first, so only rows of groups that changed are compared.
     """
-    ends = lambda m, c: m.groupBy(F.col(_name(group)).alias("g")).agg(F.first("subroot").alias(c))
+    ends = lambda m, c: m.groupBy(named(group).alias("g")).agg(F.first("subroot").alias(c))
     both = ends(old, "a").join(ends(new, "b").withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h")), "full")
     touched = both.where(~F.col("a").eqNullSafe(F.col("b"))).select(F.coalesce("g", "h").alias("touched"))
 
     def rows(m: DataFrame, sign: int) -> DataFrame:
-        of = m.select(F.col(_name(group)).alias("g"), F.col(_name(key)).alias("k"), "leaf", F.lit(sign).alias("sign"))
+        of = m.select(named(group).alias("g"), named(key).alias("k"), "leaf", F.lit(sign).alias("sign"))
         return of.join(touched, F.col("g").eqNullSafe(F.col("touched")), "left_semi")
 
     left = rows(old, -1).unionByName(rows(new, 1)).groupBy("g", "k", "leaf").agg(F.sum("sign").alias("more")).where("more <> 0")

@@ -12,7 +12,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrow import stored, table
+from lodestone.llm.arrow import named, stored, table
 
 #: Most bytes of text in a shard, and bits of a key's hash.
 SHARD_BYTES, HASH_BITS = 64 << 20, 60
@@ -60,8 +60,8 @@ def assign(df: DataFrame, key: str = "doc_id", size: Column | None = None, limit
     need no order. An empty table gives an empty one. Carried columns may have any names but those four.
     """
     size = F.octet_length("text") if size is None else size
-    packed = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("int")
-    slim = df.select(F.col(key).alias("key"), hash60(F.col(key)).alias("h"), F.coalesce(size.cast("long"), F.lit(0)).alias("bytes"), F.monotonically_increasing_id().alias("row"), packed.alias("carried"))
+    packed = F.struct(*(named(c) for c in carry)) if carry else F.lit(None).cast("int")
+    slim = df.select(named(key).alias("key"), hash60(named(key)).alias("h"), F.coalesce(size.cast("long"), F.lit(0)).alias("bytes"), F.monotonically_increasing_id().alias("row"), packed.alias("carried"))
     slim = stored(slim.select("*", hash60(F.col("row")).alias("h2")).drop("row"), "sizes").withColumn("cell", F.lit(""))
     total = slim.agg(F.sum("bytes")).first()[0] or 0
     high = min(HASH_BITS, max(0, ceil(log2(max(total, 1) / limit))) + SLACK)
@@ -74,7 +74,7 @@ def assign(df: DataFrame, key: str = "doc_id", size: Column | None = None, limit
         out = done if out is None else out.unionByName(done)
         left = part.where(F.col("depth") > high)
         if h == "h2" and high == HASH_BITS or left.isEmpty():
-            return out.select(key, "bytes", "shard", "depth", *(F.col("carried").getField(c).alias(c) for c in carry))
+            return out.select(named(key), "bytes", "shard", "depth", *(F.col("carried").getField(c).alias(c) for c in carry))
         whole = high == HASH_BITS
         seen = F.lpad(F.bin(_prefix(F.col("h"), high)), high, "0") if h == "h" else F.col("cell")
         part = stored(left.withColumn("cell", seen).drop("depth"), "left")
@@ -89,7 +89,7 @@ def write_shards(df: DataFrame, path: str, limit: int = SHARD_BYTES, key: str =
     """
     if folder in df.columns:
         raise ValueError(f"column {folder} clashes with the folders' name: pass another as folder")
-    whole = df.select(F.col(key).alias("key"), F.struct(*(F.col(c) for c in df.columns)).alias("all"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    whole = df.select(named(key).alias("key"), F.struct(*(named(c) for c in df.columns)).alias("all"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
     placed = assign(whole, "key", F.col("size"), limit, ("all",)).select("all.*", F.concat(F.lit("p"), "shard").alias(folder))
     placed.repartition(folder).write.partitionBy(folder).parquet(path)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, packing, pii, quality, simhash
-from lodestone.llm.arrow import checkpoint_dir, table
+from lodestone.llm.arrow import checkpoint_dir, named, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay as they are, and so do all rows. A column `pii` of docs is kept.
     """
-    done = pii.pseudonymise(docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), "text"))
+    done = pii.pseudonymise(docs.select(F.struct(*(named(c) for c in docs.columns)).alias("row"), "text"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return done.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 

@@ -8,17 +8,26 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with a function of one batch that yields batches of `schema`."""
+    """mapInArrow with a function of one batch that yields batches of `schema`. Columns may have any names, dots included, which mapInArrow can't take."""
+    names, given = df.columns, schema.names if isinstance(schema, StructType) else None
+    plain = all(c.isidentifier() for c in names)
+    if not plain:
+        df = df.toDF(*(f"c{k}" for k in range(len(names))))
+    if given:
+        schema = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield from fn(batch)
+                for out in fn(batch if plain else batch.rename_columns(names)):
+                    yield out.rename_columns(schema.names) if given else out
 
-    return df.mapInArrow(run, schema)
+    done = df.mapInArrow(run, schema)
+    return done.toDF(*given) if given else done
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

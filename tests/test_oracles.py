@@ -24,7 +24,7 @@ def plain(value) -> str:
     return repr(value + 0.0) if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)

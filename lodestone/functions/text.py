@@ -95,6 +95,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, SENTENCE_ENDS), lambda s: F.trim(s) != "")
 
 
+def trimmed(texts: Column) -> Column:
+    """Each text of an array without blanks at its ends. (F.trim itself as the function would take a text's number for the characters to trim.)"""
+    return F.transform(texts, lambda t: F.trim(t))
+
+
 def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, r"\n\s*\n"), lambda s: F.trim(s) != "")
 

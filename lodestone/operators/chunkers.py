@@ -166,10 +166,10 @@ def faq(docs: DataFrame) -> DataFrame:
         return F.when(b == "", acc).when(b.rlike(QUESTION + ".+") & answer.isNull(), F.concat(acc, F.array(new))).when(open_, grown).when(answer.isNotNull(), F.concat(acc, F.array(new))).otherwise(acc)
 
     none = F.from_json(F.lit("[]"), "array<struct<q:string,a:array<string>>>")
-    pairs = docs.select("doc_id", F.posexplode(F.aggregate(F.transform("blocks", F.trim), none, step)).alias("pair", "x"))
+    pairs = docs.select("doc_id", F.posexplode(F.aggregate(T.trimmed(F.col("blocks")), none, step)).alias("pair", "x"))
     q, a = F.col("x.q"), F.array_join("x.a", "\n")
     body = F.when(q != "", F.concat(F.lit("Q: "), q, F.lit("\nA: "), a)).otherwise(a)
-    rows = pairs.select("doc_id", "pair", q.alias("q"), F.when((q != "") & (F.size("x.a") > 0), "ok").otherwise("low_quality").alias("quality"), a.alias("a"), body.alias("body")).withColumn("long", T.approx_tokens(F.col("body")) > most)
+    rows = pairs.select("doc_id", "pair", q.alias("q"), F.when((q != "") & (F.size("x.a") > 0), "ok").otherwise("low_quality").alias("quality"), a.alias("a"), body.alias("body")).withColumn("long", (T.approx_tokens(F.col("body")) > most) & (F.col("a") != ""))
     units = F.when(F.col("long"), T.sentences(F.when(F.col("q") == "", F.concat(F.lit("（缺问题）\n"), F.col("a"))).otherwise(F.col("a")))).otherwise(F.array("body"))
     cost = F.when(F.col("q") == "", 0).otherwise(T.approx_tokens(F.col("q")))
     parts = pieces(rows.withColumn("units0", units).withColumn("cost", cost), "units0", greedy(F.col("units0"), F.when(F.col("long"), most).otherwise(1 << 30), F.col("cost"), F.col("cost")), ["doc_id", "pair", "quality", "q", "long"], "part")
@@ -189,9 +189,9 @@ def policy(docs: DataFrame) -> DataFrame:
         return F.when(b == "", acc).when(b.rlike(CLAUSE) | (F.size(acc) == 0), F.concat(acc, F.array(new))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(more)))
 
     none = F.from_json(F.lit("[]"), "array<struct<h:string,items:array<string>>>")
-    clauses = docs.select("doc_id", F.posexplode(F.aggregate(F.transform("blocks", F.trim), none, step)).alias("clause", "x")).select("doc_id", "clause", F.col("x.h").alias("heading"), F.col("x.items").alias("items"))
+    clauses = docs.select("doc_id", F.posexplode(F.aggregate(T.trimmed(F.col("blocks")), none, step)).alias("clause", "x")).select("doc_id", "clause", F.col("x.h").alias("heading"), F.col("x.items").alias("items"))
     head = T.approx_tokens(F.col("heading"))
-    small = T.approx_tokens(F.concat_ws("\n", F.col("heading"), F.array_join("items", "\n"))) < target
+    small = (T.approx_tokens(F.concat_ws("\n", F.col("heading"), F.array_join("items", "\n"))) < target) | (F.size("items") == 0)
     whole = clauses.where(small).select("doc_id", "clause", "heading", F.lit(0).alias("part"), F.lit(0).alias("sub"), F.when(F.size("items") > 0, F.concat_ws("\n", "heading", F.array_join("items", "\n"))).otherwise(F.col("heading")).alias("content"))
     parts = pieces(clauses.where(~small), "items", greedy(F.col("items"), target, alone=F.lit(most) - head), ["doc_id", "clause", "heading"], "part")
     long = (F.size("units") == 1) & (T.approx_tokens(F.get("units", F.lit(0))) + head > most)
@@ -203,7 +203,7 @@ def policy(docs: DataFrame) -> DataFrame:
 def procedure(docs: DataFrame) -> DataFrame:
     """(doc_id, part, sub, line, has_warning, content): steps packed to the target, never parted from a warning before them; what is still too large is cut between units, a long unit between lines."""
     target, most, _ = SIZES["procedure"]
-    rows = docs.select("doc_id", F.filter(F.transform("blocks", F.trim), lambda b: b != "").alias("b"))
+    rows = docs.select("doc_id", F.filter(T.trimmed(F.col("blocks")), lambda b: b != "").alias("b"))
     steps = F.transform("b", lambda b: ~b.rlike(WARNING) & b.rlike(STEP))
     first = pieces(rows, "b", greedy(F.col("b"), target, breaks=steps), ["doc_id"], "part")
     total = F.aggregate(F.transform("units", lambda u: T.approx_tokens(u)), F.lit(0).cast("long"), lambda a, t: a + t)
@@ -220,7 +220,7 @@ def tables(docs: DataFrame) -> DataFrame:
     """(doc_id, table_no, part, row_start, row_end, content): rows of each table block packed to the target under its repeated header; a table of a header alone is its own summary."""
     target, _, _ = SIZES["table"]
     own = F.filter("blocks", lambda b: b.startswith("|"))
-    cells = lambda line: F.transform(F.split(line, r"\|"), F.trim)
+    cells = lambda line: T.trimmed(F.split(line, r"\|"))
     bare = lambda line: F.trim(F.regexp_replace(F.trim(line), r"^\|+|\|+$", ""))
     rows = docs.select("doc_id", F.posexplode(own).alias("table_no", "b")).withColumn("lines", F.filter(F.transform(F.split("b", "\n"), bare), lambda x: x != ""))
     header = F.array_join(cells(F.get("lines", F.lit(0))), " | ")

@@ -95,57 +95,81 @@ def document_profile(spark, d):
     return DOCS.df(spark).select(F.col("doc_id").cast("long"), "blocks").unionByName(own).select("doc_id", K.profile(F.col("blocks")).alias("profile"))
 
 
-_NL = "chr(10)"
+# Sentences of a document, in order, with blanks as one and without other marks; each kind of document makes its blocks of them.
+_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '[!?;。！？；|]', '', 'g'), '.'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> '')"
+_EACH = f"(SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS i FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents WHERE text IS NOT NULL))"
+
+
+def sentence_blocks(spark, d, block):
+    """documents as (doc_id, blocks): block makes one of a sentence and its number."""
+    s = F.filter(F.transform(F.split(F.regexp_replace("text", "[!?;。！？；|]", ""), r"\."), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.transform(s, block).alias("blocks"))
+
+
+def _in_order(at: list[str], text, sep: str):
+    """The texts of a key's parts in order as one."""
+    rows = F.array_sort(F.collect_list(F.struct(*at, text.alias("_t"))))
+    return F.array_join(F.transform(rows, lambda x: x["_t"]), sep)
 
 
 @query(
     "faq_chunks",
-    f"""SELECT doc_id, pair, part, quality, md5(content) AS content_md5, md5(embedding) AS embedding_md5 FROM (VALUES (1, 0, 0, 'ok', 'Q: How?' || {_NL} || 'A: So.' || {_NL} || 'and more', 'Q: How?' || {_NL} || 'A: So.' || {_NL} || 'and more'), (1, 1, 0, 'low_quality', 'Q: Why?' || {_NL} || 'A: ', 'Q: Why?' || {_NL} || 'A: '),
-(1, 2, 0, 'ok', repeat('甲', 200) || '。', 'Q: 长？' || {_NL} || repeat('甲', 200) || '。'), (1, 2, 1, 'ok', repeat('乙', 200) || '。', 'Q: 长？' || {_NL} || repeat('乙', 200) || '。'), (2, 0, 0, 'low_quality', 'orphan', 'orphan'), (2, 1, 0, 'low_quality', 'Q: only' || {_NL} || 'A: ', 'Q: only' || {_NL} || 'A: ')) v(doc_id, pair, part, quality, content, embedding)""",
+    f"SELECT doc_id, CAST(i // 2 AS INT) AS pair, CASE WHEN count(*) = 2 THEN 'ok' ELSE 'low_quality' END AS quality, md5('Q: ' || max(CASE WHEN i % 2 = 0 THEN s END) || chr(10) || coalesce(max(CASE WHEN i % 2 = 1 THEN s END), '')) AS text_md5 FROM {_EACH} GROUP BY doc_id, i // 2",
 )
 def faq_chunks(spark, d):
-    """DOC9 over its two documents; the SQL states the chunks as worked out by hand."""
-    return K.faq(DOCS.df(spark).where("doc_id <= 2")).select("doc_id", "pair", "part", "quality", F.md5("content").alias("content_md5"), F.md5("embedding_text").alias("embedding_md5"))
+    """DOC9 over all documents, their sentences as questions and answers in turn: what each pair's parts say together."""
+    blocks = sentence_blocks(spark, d, lambda s, i: F.concat(F.when(i % 2 == 0, "Q: ").otherwise("A: "), s))
+    parts = K.faq(blocks).withColumn("t", F.regexp_replace("embedding_text", "\nA: ", "\n"))
+    return parts.groupBy("doc_id", "pair", "quality").agg(F.md5(_in_order(["part"], F.col("t"), "")).alias("text_md5"))
 
 
 @query(
     "policy_chunks",
-    f"""SELECT doc_id, clause, part, sub, md5(content) AS content_md5 FROM (VALUES (3, 0, 0, 0, '(未编号)' || {_NL} || '总则办法'), (3, 1, 0, 0, '第一条 目的' || {_NL} || '（一）甲' || {_NL} || '（二）乙'), (3, 2, 0, 0, '第二条 长项' || {_NL} || repeat('丙', 200)), (3, 2, 1, 0, '第二条 长项' || {_NL} || repeat('丁', 200)),
-(3, 2, 2, 0, '第二条 长项' || {_NL} || repeat('戊', 300) || '。'), (3, 2, 2, 1, '第二条 长项' || {_NL} || repeat('己', 300) || '。'), (3, 3, 0, 0, '第三条')) v(doc_id, clause, part, sub, content)""",
+    f"SELECT doc_id, CAST(i // 4 AS INT) AS clause, '第' || (i - i % 4) || '条 ' || max(CASE WHEN i % 4 = 0 THEN s END) AS heading, md5(coalesce(string_agg(CASE WHEN i % 4 > 0 THEN s END, chr(10) ORDER BY i), '')) AS items_md5 FROM {_EACH} GROUP BY doc_id, i // 4, i - i % 4",
 )
 def policy_chunks(spark, d):
-    """DOC10: an item that exceeds a chunk is parted by sentence; the SQL states the chunks as worked out by hand."""
-    return K.policy(DOCS.df(spark).where("doc_id = 3")).select("doc_id", "clause", "part", "sub", F.md5("content").alias("content_md5"))
+    """DOC10 over all documents, every fourth sentence the heading of a clause: the items of each clause as its parts hold them, under a heading that all repeat."""
+    blocks = sentence_blocks(spark, d, lambda s, i: F.when(i % 4 == 0, F.concat(F.lit("第"), i, F.lit("条 "), s)).otherwise(s))
+    parts = K.policy(blocks).where(F.col("content").startswith(F.col("heading")))
+    items = F.substring("content", F.length("heading") + 2, F.length("content"))
+    return parts.groupBy("doc_id", "clause", "heading").agg(F.md5(_in_order(["part", "sub"], items, "\n")).alias("items_md5"))
 
 
-@query(
-    "procedure_chunks",
-    f"""SELECT doc_id, part, sub, line, has_warning, md5(content) AS content_md5 FROM (VALUES (4, 0, 0, 0, true, 'step plan' || {_NL} || '注意：备份' || {_NL} || '步骤1 ' || repeat('一', 100)), (4, 1, 0, 0, true, '步骤2 ' || repeat('二', 200) || {_NL} || '警告：小心'), (4, 2, 0, 0, false, 'Step 3 ' || repeat('x', 400) || {_NL} || '第4步 ' || repeat('y', 100)),
-(5, 0, 0, 0, false, '前置条件：无'), (5, 0, 1, 0, false, '长行' || repeat('子', 300) || {_NL}), (5, 0, 1, 1, false, repeat('丑', 200) || {_NL} || repeat('寅', 10)), (5, 0, 2, 0, false, '1. a' || {_NL} || '2. b' || {_NL} || '3. c')) v(doc_id, part, sub, line, has_warning, content)""",
-)
+_STEPS = "CASE WHEN i % 3 = 0 THEN 'Step ' || i || ' ' || s WHEN i % 6 = 2 THEN 'Warning: ' || s ELSE s END"
+
+
+@query("procedure_chunks", f"SELECT doc_id, count(*) FILTER (i % 6 = 2) > 0 AS warned, md5(string_agg({_STEPS}, chr(10) ORDER BY i)) AS text_md5 FROM {_EACH} GROUP BY ALL")
 def procedure_chunks(spark, d):
-    """DOC11; the SQL states the chunks as worked out by hand."""
-    return K.procedure(DOCS.df(spark).where("doc_id in (4, 5)")).select("doc_id", "part", "sub", "line", "has_warning", F.md5("content").alias("content_md5"))
+    """DOC11 over all documents, their sentences as steps with warnings: nothing is lost or moved, and no part that begins a group ends with a warning."""
+    blocks = sentence_blocks(spark, d, lambda s, i: F.when(i % 3 == 0, F.concat(F.lit("Step "), i, F.lit(" "), s)).when(i % 6 == 2, F.concat(F.lit("Warning: "), s)).otherwise(s))
+    parts = K.procedure(blocks)
+    return parts.groupBy("doc_id").agg(F.bool_or("has_warning").alias("warned"), F.md5(_in_order(["part", "sub", "line"], F.col("content"), "\n")).alias("text_md5"))
 
 
-@query(
-    "table_chunks",
-    f"""SELECT doc_id, table_no, part, row_start, row_end, md5(content) AS content_md5 FROM (VALUES (6, 0, 0, CAST(NULL AS INT), CAST(NULL AS INT), '| h1 | h2 |'), (6, 1, 0, 0, 0, '表头: a | b' || {_NL} || repeat('c', 600) || ' - d'), (6, 1, 1, 1, 2, '表头: a | b' || {_NL} || repeat('e', 600) || ' - f' || {_NL} || 'g - h')) v(doc_id, table_no, part, row_start, row_end, content)""",
-)
+@query("table_chunks", f"SELECT doc_id, count(*) AS rows, md5(string_agg(s || ' - ' || i, chr(10) ORDER BY i)) AS rows_md5 FROM {_EACH} GROUP BY ALL")
 def table_chunks(spark, d):
-    """DOC12; the SQL states the chunks as worked out by hand."""
-    return K.tables(DOCS.df(spark)).select("doc_id", "table_no", "part", "row_start", "row_end", F.md5("content").alias("content_md5"))
+    """DOC12 over all documents, their sentences as the rows of a table: the rows of all parts, each part under the header."""
+    lines = sentence_blocks(spark, d, lambda s, i: F.concat(F.lit("| "), s, F.lit(" | "), i, F.lit(" |"))).where(F.size("blocks") > 0)
+    parts = K.tables(lines.select("doc_id", F.array(F.concat(F.lit("| text | no |\n"), F.array_join("blocks", "\n"))).alias("blocks"))).where(F.col("content").startswith("表头: text | no\n"))
+    body = F.regexp_replace("content", "^表头: text \\| no\n", "")
+    return parts.groupBy("doc_id").agg(F.sum(F.col("row_end") - F.col("row_start") + 1).alias("rows"), F.md5(_in_order(["table_no", "part"], body, "\n")).alias("rows_md5"))
+
+
+#: Documents with the marks of each kind put before them.
+_MARKED = S.Derived(
+    "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Q: a' || chr(10) || 'A: b' || chr(10) || 'Q: c' || chr(10) || 'A: d' || chr(10) WHEN 1 THEN '办法' || chr(10) || '第1条 a' || chr(10) || '第2条 b' || chr(10) || '第3条 c' || chr(10) WHEN 2 THEN 'Caution' || chr(10) || 'Step 1 a' || chr(10) || 'Step 2 b' || chr(10) || 'Step 3 c' || chr(10) WHEN 3 THEN '|a|b|' || chr(10) || '|1|2|' || chr(10) || '|3|4|' || chr(10) WHEN 4 THEN '第1条 a' || chr(10) || '第2条 b' || chr(10) ELSE '' END || text AS text FROM documents WHERE text IS NOT NULL"
+)
 
 
 @query(
     "chunk_strategy",
-    f"SELECT doc_id, profile || ':v2:target=' || CASE profile WHEN 'narrative' THEN '450:max=700:overlap=60' WHEN 'faq' THEN '220:max=400:overlap=0' WHEN 'policy' THEN '300:max=550:overlap=0' WHEN 'procedure' THEN '340:max=450:overlap=0' ELSE '300:max=450:overlap=0' END AS fingerprint FROM ({_profile(DOCS.sql)})",
+    f"SELECT doc_id, profile || ':v2:target=' || CASE profile WHEN 'narrative' THEN '450:max=700:overlap=60' WHEN 'faq' THEN '220:max=400:overlap=0' WHEN 'policy' THEN '300:max=550:overlap=0' WHEN 'procedure' THEN '340:max=450:overlap=0' ELSE '300:max=450:overlap=0' END AS fingerprint FROM ({_profile('(SELECT doc_id, string_split(text, chr(10)) AS blocks FROM ' + _MARKED.sql + ')')})",
 )
 def chunk_strategy(spark, d):
     """DOC14: which chunker a document goes to, and the fingerprint of its settings."""
     sizes = {("table_records" if k == "table" else k): v for k, v in K.SIZES.items() if k != "fallback"}
     of = F.create_map(*(F.lit(x) for k, (t, m, o) in sizes.items() for x in (k, f"{k}:v2:target={t}:max={m}:overlap={o}")))
-    return DOCS.df(spark).select("doc_id", of[K.profile(F.col("blocks"))].alias("fingerprint"))
+    return _MARKED.df(spark, d).select("doc_id", of[K.profile(F.split("text", "\n"))].alias("fingerprint"))
 
 
 @query(

@@ -53,19 +53,21 @@ def observation_source(spark, d):
     return o.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("level") == "ERROR").alias("errors"), F.round(F.sum("value"), 2).alias("total"))
 
 
-_LAYOUT = S.Fixture(
-    "doc_id int, content string",
-    [(1, '[{"type":"text","text":"Title ","text_level":1,"page_idx":0,"bbox":[0,0,500,100]},{"type":"text","text":" body","page_idx":0,"bbox":[10,120,1200,300]},{"type":"table","text":"|a|","page_idx":1,"bbox":[-5,0,100,50]},{"type":"text","text":" ","page_idx":1}]'), (2, "[]"), (3, "broken")],
+#: What a layout service says of each page's first words: a title, a paragraph, a table, and a block without text; every ninth answer is broken.
+_LAYOUT = S.Derived(
+    "SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN 'broken' WHEN doc_id % 9 = 5 THEN '[]' ELSE '[' || chr(123) || '\"type\":\"text\",\"text\":\"Title ' || doc_id || ' \",\"text_level\":1,\"page_idx\":0,\"bbox\":[0,0,' || (doc_id % 1500) || ',100]' || chr(125) || ',' || chr(123) || '\"type\":\"text\",\"text\":\" ' || lang || '\",\"page_idx\":0,\"bbox\":[10,120,1200,300]' || chr(125) "
+    "|| ',' || chr(123) || '\"type\":\"table\",\"text\":\"|' || source || '|\",\"page_idx\":1,\"bbox\":[-5,0,100,50]' || chr(125) || ',' || chr(123) || '\"type\":\"text\",\"text\":\" \",\"page_idx\":1' || chr(125) || ']' END AS content FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL"
 )
+_BOX = "SELECT doc_id, {} AS block_index, '{}' AS kind, {} AS content, CAST({} AS DOUBLE) AS x0, CAST({} AS DOUBLE) AS y0, CAST({} AS DOUBLE) AS x1, CAST({} AS DOUBLE) AS y1 FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND doc_id % 9 NOT IN (4, 5)"
 
 
 @query(
     "layout_blocks",
-    "SELECT doc_id, block_index, kind, content, x0, y0, x1, y1 FROM (VALUES (1, 0, 'heading', 'Title', 0.0, 0.0, 0.5, 0.1), (1, 1, 'paragraph', 'body', 0.01, 0.12, 1.0, 0.3), (1, 2, 'table', '|a|', 0.0, 0.0, 0.1, 0.05)) v(doc_id, block_index, kind, content, a, b, c, e), LATERAL (SELECT CAST(a AS DOUBLE) AS x0, CAST(b AS DOUBLE) AS y0, CAST(c AS DOUBLE) AS x1, CAST(e AS DOUBLE) AS y1)",
+    " UNION ALL ".join(_BOX.format(*x) for x in ((0, "heading", "'Title ' || doc_id", "0", "0", "round(least(1.0, doc_id % 1500 / 1000), 4)", "0.1"), (1, "paragraph", "lang", "0.01", "0.12", "1", "0.3"), (2, "table", "'|' || source || '|'", "0", "0", "0.1", "0.05"))),
 )
 def layout_blocks(spark, d):
-    """SRC6; the SQL states the blocks as worked out by hand."""
-    return parsers.layout_blocks(_LAYOUT.df(spark))
+    """SRC6: blocks of a layout service's JSON; the SQL makes them from the columns that went into it."""
+    return parsers.layout_blocks(_LAYOUT.df(spark, d))
 
 
 @query("parser_fallback", "SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'none' WHEN contains(text, '|') THEN 'table' ELSE 'plain' END AS parser FROM documents")
@@ -76,15 +78,18 @@ def parser_fallback(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.when(F.trim("text") != "", first), second, F.lit("none")).alias("parser"))
 
 
-_LINES = S.Fixture("n int, line string", [(1, '{"id":"a","question":"q?","expectedTerms":["x"]}'), (2, '{"id":"b"}'), (3, "no json"), (4, '{"id":null,"question":"z","expectedTerms":[]}')])
+#: Each document's line in a data set of cases; some lack a field or are no JSON.
+_LINES = S.Derived(
+    "SELECT doc_id AS n, CASE doc_id % 6 WHEN 0 THEN 'no json ' || doc_id WHEN 1 THEN chr(123) || '\"id\":\"' || doc_id || '\"' || chr(125) WHEN 2 THEN chr(123) || '\"id\":null,\"question\":\"' || lang || '\",\"expectedTerms\":[]' || chr(125) ELSE chr(123) || '\"id\":\"' || doc_id || '\",\"question\":\"' || lang || '?\",\"expectedTerms\":[\"' || source || '\"]' || chr(125) END AS line FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL"
+)
 
 
-@query("dataset_validation", "SELECT n, errors FROM (VALUES (1, ''), (2, 'question'), (3, 'id,question'), (4, 'id')) v(n, errors)")
+@query("dataset_validation", "SELECT doc_id AS n, CASE doc_id % 6 WHEN 0 THEN 'id,question' WHEN 1 THEN 'question' WHEN 2 THEN 'id' ELSE '' END AS errors FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
 def dataset_validation(spark, d):
-    """SRC9: lines of a data set with what each lacks, read through a file; the SQL states the errors by hand."""
+    """SRC9: lines of a data set with what each lacks, read through files."""
     path = _path(spark)
-    _LINES.df(spark).select(F.concat(F.lpad(F.col("n").cast("string"), 2, "0"), F.lit("\t"), "line").alias("value")).write.text(path)
-    rows = spark.read.text(path).select(F.split_part("value", F.lit("\t"), F.lit(1)).cast("int").alias("n"), F.from_json(F.split_part("value", F.lit("\t"), F.lit(2)), "id string, question string, expectedTerms array<string>").alias("x"))
+    _LINES.df(spark, d).select(F.concat(F.col("n").cast("string"), F.lit("\t"), "line").alias("value")).write.text(path)
+    rows = spark.read.text(path).select(F.split_part("value", F.lit("\t"), F.lit(1)).cast("long").alias("n"), F.from_json(F.split_part("value", F.lit("\t"), F.lit(2)), "id string, question string, expectedTerms array<string>").alias("x"))
     need = F.array(*(F.when(F.col("x").isNull() | F.col("x")[c].isNull(), F.lit(c)) for c in ("id", "question")))
     return rows.select("n", F.array_join(F.filter(need, lambda e: e.isNotNull()), ",").alias("errors"))
 

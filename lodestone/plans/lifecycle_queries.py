@@ -147,25 +147,26 @@ def generation_validation(spark, d):
     return s.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check_name"), v.alias("actual"), ok.alias("passed")) for n, v, ok in rows))).alias("x")).select("x.*")
 
 
-_MOVES = S.Fixture("seq int, action string, generation string", [(1, "publish", "G001"), (2, "publish", "G002"), (3, "publish", "G003"), (4, "rollback", None), (5, "publish", "G004"), (6, "rollback", None), (7, "rollback", None)])
+#: Each user's events as the moves of an index's pointer: errors roll back, all others publish.
+_MOVES = S.Derived("SELECT user_id, ts, event_id, CASE WHEN event_type = 'error' THEN 'rollback' ELSE 'publish' END AS action FROM events")
 
 
 @query(
     "pointer_history",
-    f"""WITH RECURSIVE m AS (SELECT * FROM {_MOVES.sql}), r AS (SELECT 0 AS seq, CAST([] AS VARCHAR[]) AS stack UNION ALL SELECT m.seq, CASE WHEN m.action = 'publish' THEN list_append(r.stack, m.generation) ELSE r.stack[1:len(r.stack) - 1] END FROM r JOIN m ON m.seq = r.seq + 1)
-SELECT seq, coalesce(stack[len(stack)], '') AS serving, len(stack) AS depth FROM r WHERE seq > 0""",
+    f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM {_MOVES.sql}), r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS event_id, CAST([] AS BIGINT[]) AS stack FROM m
+UNION ALL SELECT r.user_id, m.seq, m.event_id, CASE WHEN m.action = 'publish' THEN list_append(r.stack, m.event_id) ELSE r.stack[:greatest(len(r.stack) - 1, 0)] END FROM r JOIN m ON m.user_id = r.user_id AND m.seq = r.seq + 1)
+SELECT event_id, stack[len(stack)] AS serving, len(stack) AS depth FROM r WHERE seq > 0""",
 )
 def pointer_history(spark, d):
-    """DIFF11: which generation serves after each publish or rollback. A pointer's history is a short log, folded in order within one row."""
-    log = _MOVES.df(spark).groupBy(F.lit(1).alias("index")).agg(F.array_sort(F.collect_list(F.struct("seq", "action", "generation"))).alias("log"))
-    none = F.array().cast("array<string>")
-
-    def stack(upto):
-        step = lambda acc, m: F.when(m["action"] == "publish", F.concat(acc, F.array(m["generation"]))).otherwise(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        return F.aggregate(F.slice(F.col("log"), F.lit(1), upto), none, step)
-
-    states = F.transform(F.sequence(F.lit(1), F.size("log")), lambda i: F.struct(F.element_at("log", i)["seq"].alias("seq"), stack(i).alias("stack")))
-    return log.select(F.explode(states).alias("x")).select("x.seq", F.coalesce(F.try_element_at("x.stack", F.lit(-1)), F.lit("")).alias("serving"), F.size("x.stack").cast("long").alias("depth"))
+    """DIFF11: which generation serves after each publish or rollback, for many pointers at once.
+
+    A pointer's depth is its running sum of moves over the least that this has been; what serves is the last that was published at that depth.
+    """
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    moves = _MOVES.df(spark, d).withColumn("sum", F.sum(F.when(F.col("action") == "publish", 1).otherwise(-1)).over(w))
+    depth = moves.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(w)))
+    last = F.last(F.when(F.col("action") == "publish", F.col("event_id")), ignorenulls=True).over(Window.partitionBy("user_id", "depth").orderBy("ts", "event_id"))
+    return depth.select("event_id", F.when(F.col("depth") > 0, last).alias("serving"), "depth")
 
 
 @query(

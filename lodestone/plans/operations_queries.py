@@ -79,19 +79,20 @@ def run_sequence(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(by("user_id")).alias("seq"), (n_().over(Window.partitionBy("user_id")) + 1).alias("next_version"))
 
 
-_STAGES = S.Fixture("seq int, stage string, gates_ok boolean, blocking boolean", [(1, "INTERNAL", True, False), (2, "ONE_PERCENT", True, False), (3, "TEN_PERCENT", False, False), (4, "TEN_PERCENT", True, True), (5, "FIFTY_PERCENT", True, False), (6, "FULL", True, False)])
+#: Each user's events in order as the stages of a rollout: an error breaks a gate, a large value blocks.
+_STAGES = S.Derived("SELECT user_id, ts, event_id, event_type AS stage, event_type <> 'error' AS gates_ok, value > 150 AS blocking FROM events")
 
 
 @query(
     "rollout_promotion",
-    f"SELECT seq, stage, CASE WHEN blocking THEN 'rollback' WHEN NOT gates_ok THEN 'hold' WHEN lead(stage) OVER (ORDER BY seq) IS NULL THEN 'full' ELSE 'promote:' || lead(stage) OVER (ORDER BY seq) END AS decision, count(CASE WHEN NOT gates_ok OR blocking THEN 1 END) OVER (ORDER BY seq ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) >= 2 AS autostop FROM {_STAGES.sql}",
+    f"SELECT event_id, CASE WHEN blocking THEN 'rollback' WHEN NOT gates_ok THEN 'hold' WHEN lead(stage) OVER w IS NULL THEN 'full' ELSE 'promote:' || lead(stage) OVER w END AS decision, count(CASE WHEN NOT gates_ok OR blocking THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) >= 2 AS autostop FROM {_STAGES.sql} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
 )
 def rollout_promotion(spark, d):
     """WIN13: a stage is promoted if its gates hold and nothing blocks it; two bad checks in a row stop the rollout."""
-    w = Window.partitionBy(F.lit(0)).orderBy("seq")  # six stages
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     then = F.lead("stage").over(w)
     bad = F.count(F.when(~F.col("gates_ok") | F.col("blocking"), 1)).over(w.rowsBetween(-1, 0)) >= 2
-    return _STAGES.df(spark).select("seq", "stage", F.when(F.col("blocking"), "rollback").when(~F.col("gates_ok"), "hold").when(then.isNull(), "full").otherwise(F.concat(F.lit("promote:"), then)).alias("decision"), bad.alias("autostop"))
+    return _STAGES.df(spark, d).select("event_id", F.when(F.col("blocking"), "rollback").when(~F.col("gates_ok"), "hold").when(then.isNull(), "full").otherwise(F.concat(F.lit("promote:"), then)).alias("decision"), bad.alias("autostop"))
 
 
 @query("latest_scan_bm25", f"WITH {S.bm25(docs='SELECT doc_id, text FROM documents ORDER BY doc_id DESC LIMIT 150', name='ls')} SELECT query_id, doc_id, score, rank FROM ({S.top('ls', 5)})")
@@ -115,7 +116,10 @@ def user_domains(spark, d):
     return users.join(F.broadcast(_ROLES.df(spark)), "role").select("user_id", "domain").distinct()  # nine rows
 
 
-_ROUTES = S.Fixture("query_id int, domains array<string>, preferred array<string>", [(1, ["mental"], []), (2, ["SERVICE", "COMPLIANCE"], []), (3, ["unknown"], []), (4, ["SERVICE"], ["ExternalDocs", "PolicyKB"]), (5, [], ["ExternalDocs"]), (6, [], ["nonsense"]), (7, None, None)])
+_ROUTES = S.Derived(
+    "SELECT c_custkey AS query_id, CASE c_custkey % 7 WHEN 0 THEN ARRAY('mental') WHEN 1 THEN ARRAY('SERVICE', 'COMPLIANCE') WHEN 2 THEN ARRAY('unknown', c_mktsegment) WHEN 3 THEN ARRAY('service') WHEN 4 THEN NULL ELSE ARRAY(c_mktsegment) END AS domains, "
+    "CASE c_custkey % 5 WHEN 0 THEN ARRAY('ExternalDocs', 'PolicyKB') WHEN 1 THEN ARRAY('nonsense') WHEN 2 THEN ARRAY('ExternalDocs') WHEN 3 THEN ARRAY('IncidentCases', 'PolicyKB', 'IncidentCases') ELSE NULL END AS preferred FROM customer"
+)
 # The sources of each domain, and all sources.
 _DOMAIN_SOURCES = {"MENTAL": ["InternalKB", "PolicyKB"], "SERVICE": ["ProductDocs", "IncidentCases", "InternalKB"], "COMPLIANCE": ["PolicyKB", "StructuredSQL", "ExternalDocs"]}
 _SOURCES = ["InternalKB", "ProductDocs", "PolicyKB", "IncidentCases", "StructuredSQL", "ExternalDocs"]
@@ -132,7 +136,7 @@ def source_routing(spark, d):
     known = F.filter(F.coalesce("preferred", none), lambda p: p.isin(*_SOURCES))
     theirs = F.flatten(F.transform(F.coalesce("domains", none), lambda x: F.coalesce(of[F.upper(x)], none)))
     kinds = F.array_distinct(F.filter(F.concat(known, theirs), lambda s: s != "ExternalDocs"))
-    return _ROUTES.df(spark).select("query_id", F.when(F.size(kinds) == 0, "InternalKB").otherwise(F.array_join(kinds, ",")).alias("kinds"))
+    return _ROUTES.df(spark, d).select("query_id", F.when(F.size(kinds) == 0, "InternalKB").otherwise(F.array_join(kinds, ",")).alias("kinds"))
 
 
 @query("release_eligible", "SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL AND doc_id % 4 <> 0 AND doc_id % 10 > 2")
@@ -280,23 +284,37 @@ def chunk_families(spark, d):
     return f.crossJoin(F.broadcast(f.agg(F.round(F.avg("f"), 6).alias("macro_f1")))).select("family", "n", F.round("f", 6).alias("f1"), "macro_f1")  # one row
 
 
-_FILES = S.Fixture("name string, content string", [("a.pdf", "%PDF-1.7 x"), ("b.exe", "MZ"), ("../c.txt", "x"), ("d.png", "MZ90"), ("e.sh", "#!/bin/sh"), ("f.txt", "#!/usr/bin/env"), ("g.md", "# t"), ("h.txt", ""), ("i.bin", "\x7fELF"), ("j.docx", "PK\x03\x04"), ("k.html", "<?xml version")])
+#: Pages and documents as uploaded files: names with all kinds of endings and paths, contents with all kinds of beginnings.
+_FILES = S.Derived(
+    "SELECT page_id AS file_id, CASE page_id % 9 WHEN 0 THEN '../' || page_id || '.txt' WHEN 1 THEN page_id || '.EXE' WHEN 2 THEN 'a/' || page_id || '.md' WHEN 3 THEN page_id || '.sh' WHEN 4 THEN page_id || '.docx' ELSE page_id || '.html' END AS name, "
+    "CASE page_id % 8 WHEN 0 THEN 'MZ' || html WHEN 1 THEN '#!/bin/sh' || chr(10) || html WHEN 2 THEN chr(127) || 'ELF' || html WHEN 3 THEN 'PK' || chr(3) || chr(4) || html WHEN 4 THEN '%PDF-1.7 ' || html ELSE html END AS content FROM pages "
+    "UNION ALL SELECT 1000000000 + doc_id, doc_id || '.txt', coalesce(text, '') FROM documents"
+)
 # Endings that are never taken.
 _ENDINGS = (".exe", ".bat", ".cmd", ".sh", ".ps1", ".js", ".vbs", ".jar", ".msi", ".dll")
 
 
 @query(
     "file_safety",
-    "SELECT name, CASE WHEN length(content) > 10 THEN 'too_large' WHEN contains(name, '..') OR contains(name, '/') OR contains(name, chr(92)) THEN 'path' WHEN regexp_matches(lower(name), '(" + "|".join(e.replace(".", r"\.") for e in _ENDINGS) + f")$') THEN 'ending' WHEN starts_with(content, 'MZ') OR starts_with(content, chr(127) || 'ELF') THEN 'executable' WHEN starts_with(content, '#!') THEN 'script' ELSE 'safe' END AS verdict FROM (SELECT name, CASE WHEN name = 'f.txt' THEN substr(content, 1, 9) ELSE content END AS content FROM {_FILES.sql})",
+    "SELECT file_id, CASE WHEN length(content) > 20000 THEN 'too_large' WHEN contains(name, '..') OR contains(name, '/') OR contains(name, chr(92)) THEN 'path' WHEN regexp_matches(lower(name), '(" + "|".join(e.replace(".", r"\.") for e in _ENDINGS) + f")$') THEN 'ending' WHEN starts_with(content, 'MZ') OR starts_with(content, chr(127) || 'ELF') THEN 'executable' WHEN starts_with(content, '#!') THEN 'script' ELSE 'safe' END AS verdict FROM {_FILES.sql}",
 )
 def file_safety(spark, d):
-    """SCL18, SRC7 and SRC8: size, path, ending, first bytes (limit of ten bytes here)."""
+    """SCL18, SRC7 and SRC8: size, path, ending, first bytes of every page and document as a file."""
     c, n = F.col("content"), F.lower("name")
-    x = _FILES.df(spark).withColumn("content", F.when(F.col("name") == "f.txt", F.substring(c, 1, 9)).otherwise(c))
     bad = F.lit(False)
     for e in _ENDINGS:
         bad = bad | n.endswith(e)
-    return x.select("name", F.when(F.length(c) > 10, "too_large").when(F.col("name").contains("..") | F.col("name").contains("/") | F.col("name").contains("\\"), "path").when(bad, "ending").when(c.startswith("MZ") | c.startswith("\x7fELF"), "executable").when(c.startswith("#!"), "script").otherwise("safe").alias("verdict"))
+    return _FILES.df(spark, d).select("file_id", F.when(F.length(c) > 20000, "too_large").when(F.col("name").contains("..") | F.col("name").contains("/") | F.col("name").contains("\\"), "path").when(bad, "ending").when(c.startswith("MZ") | c.startswith("\x7fELF"), "executable").when(c.startswith("#!"), "script").otherwise("safe").alias("verdict"))
+
+
+@query("file_kinds", f"SELECT file_id, CASE WHEN starts_with(content, 'MZ') THEN 'exe' WHEN starts_with(content, chr(127) || 'ELF') THEN 'elf' WHEN starts_with(content, 'PK' || chr(3) || chr(4)) THEN 'zip' WHEN starts_with(content, '%PDF') THEN 'pdf' WHEN regexp_matches(content, '(?i)^\\s*<(!doctype html|html)') THEN 'html' WHEN contains(name, '.html') THEN 'html_by_name' WHEN contains(name, '.docx') THEN 'docx_by_name' ELSE 'text' END AS parser FROM {_FILES.sql}")
+def file_kinds(spark, d):
+    """SRC5: the parser that a file goes to, by its first bytes as binary, then by its name."""
+    b = F.encode("content", "UTF-8")
+    head = F.hex(F.substring(b, 1, 4))
+    kind = F.when(head.startswith("4D5A"), "exe").when(head == "7F454C46", "elf").when(head == "504B0304", "zip").when(head == "25504446", "pdf")
+    html = F.col("content").rlike(r"(?i)^\s*<(!doctype html|html)")
+    return _FILES.df(spark, d).select("file_id", F.coalesce(kind, F.when(html, "html").when(F.col("name").contains(".html"), "html_by_name").when(F.col("name").contains(".docx"), "docx_by_name"), F.lit("text")).alias("parser"))
 
 
 @query("ssrf_check", r"SELECT page_id, CASE WHEN h = '' THEN 'invalid' WHEN regexp_matches(h, '^(10\.|127\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)') THEN 'private' WHEN NOT regexp_matches(h, '(^|\.)example\.(com|org|net)$') THEN 'not_listed' ELSE 'ok' END AS verdict FROM (SELECT page_id, CASE page_id % 5 WHEN 1 THEN '172.20.0.' || page_id % 200 WHEN 2 THEN '10.0.0.1' WHEN 3 THEN '8.8.8.8' ELSE lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) END AS h FROM pages)")
@@ -309,10 +327,11 @@ def ssrf_check(spark, d):
     return x.select("page_id", F.when(F.col("h") == "", "invalid").when(private, "private").when(~F.col("h").rlike(r"(^|\.)example\.(com|org|net)$"), "not_listed").otherwise("ok").alias("verdict"))
 
 
-_SAID = S.Fixture(
-    "case_id int, answer string, behaviour string, expected string",
-    [(1, "见 [SERVICE:a.md:1:0] 与 [2]，结束", "retrieve,rerank", "RERANK"), (2, "知识库未覆盖，无法回答。", "abstain", "retrieve"), (3, "无法确认", "", ""), (4, "", "x", "x"), (5, "[HR:b.md:2:1][HR:b.md:2:1] ok {\"score\": 3, \"why\": \"good\"} end", "multi", "Multi"), (6, "plain", None, "x")],
-)
+#: Assistants' turns as answers: some with citations, some that abstain, some that end in a JSON verdict.
+_SAID = S.Derived(
+    "SELECT conv_id * 1000 + turn AS case_id, CASE (conv_id + turn) % 6 WHEN 0 THEN '见 [SERVICE:a' || conv_id || '.md:1:0] 与 [2]，' || text WHEN 1 THEN '知识库未覆盖，无法回答。' WHEN 2 THEN '无法确认' WHEN 3 THEN '[HR:b.md:2:1][HR:b.md:2:1] ok ' || chr(123) || '\"score\": ' || (turn % 5) || ', \"why\": \"good\"' || chr(125) || ' end' WHEN 4 THEN '' ELSE text END AS answer, "
+    "CASE WHEN conv_id % 4 = 0 THEN NULL WHEN conv_id % 4 = 1 THEN 'retrieve,rerank' WHEN conv_id % 4 = 2 THEN 'abstain' ELSE '' END AS behaviour, CASE WHEN turn % 3 = 0 THEN 'RERANK' WHEN turn % 3 = 1 THEN '' ELSE 'retrieve' END AS expected FROM conversations WHERE role = 'assistant' AND text IS NOT NULL"
+)
 
 
 @query(
@@ -327,7 +346,7 @@ def answer_scalars(spark, d):
     abstained = (F.trim(a) == "") | compact.startswith("知识库未覆盖，无法回答") | (F.length(F.trim(a)) <= 24) & (a.contains("无法回答") | a.contains("无法确认"))
     cited = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(a, F.lit(r"\[([A-Z]+:[^\]]+)\]"), F.lit(1)))), ",")
     ok = (F.col("expected") == "") | F.coalesce(F.lower("behaviour").contains(F.lower("expected")), F.lit(False))
-    return _SAID.df(spark).select("case_id", cited.alias("cited"), F.regexp_replace(a, r"\[[^\]]+\]", "").alias("stripped"), abstained.alias("abstained"), ok.alias("behaviour_ok"), F.get_json_object(F.regexp_extract(a, r"(?s)\{.*\}", 0), "$.score").cast("int").alias("score"))
+    return _SAID.df(spark, d).select("case_id", cited.alias("cited"), F.regexp_replace(a, r"\[[^\]]+\]", "").alias("stripped"), abstained.alias("abstained"), ok.alias("behaviour_ok"), F.get_json_object(F.regexp_extract(a, r"(?s)\{.*\}", 0), "$.score").cast("int").alias("score"))
 
 
 # Words of errors that pass and that stay.
@@ -449,7 +468,7 @@ def evidence_view(spark, d):
     return R.top_k(x, 5).select("query_id", "doc_id", F.round("score", 4).alias("score"), "attempts")
 
 
-_LEGACY = S.Fixture("id string, domain string, question string, expectedSources array<string>, expectedTerms array<string>", [("c1", "SERVICE", "how?", ["a.md"], ["x", "y"]), ("c2", "MENTAL", "why?", [], None)])
+_LEGACY = S.Derived("SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'MENTAL' ELSE upper(lang) END AS domain, split_part(text, '.', 1) AS question, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE ARRAY(source, lang) END AS expectedSources, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE ARRAY(split_part(text, ' ', 1), split_part(text, ' ', 2)) END AS expectedTerms FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL")
 
 
 @query("case_migration", f"SELECT id, domain, 'fact' AS scenario, CASE WHEN domain = 'MENTAL' THEN 'high' ELSE 'low' END AS risk, question, array_to_string(coalesce(expectedTerms, []), '；') AS reference_answer, array_to_string(list_transform(coalesce(expectedSources, []), lambda s: domain || ':' || s || ':1:0'), ',') AS reference_context_ids FROM {_LEGACY.sql}")
@@ -457,7 +476,7 @@ def case_migration(spark, d):
     """XTR28: cases of the first schema in the second."""
     none = F.array().cast("array<string>")
     keys = F.transform(F.coalesce("expectedSources", none), lambda s: F.concat_ws(":", "domain", s, F.lit("1"), F.lit("0")))
-    return _LEGACY.df(spark).select("id", "domain", F.lit("fact").alias("scenario"), F.when(F.col("domain") == "MENTAL", "high").otherwise("low").alias("risk"), "question", F.array_join(F.coalesce("expectedTerms", none), "；").alias("reference_answer"), F.array_join(keys, ",").alias("reference_context_ids"))
+    return _LEGACY.df(spark, d).select("id", "domain", F.lit("fact").alias("scenario"), F.when(F.col("domain") == "MENTAL", "high").otherwise("low").alias("risk"), "question", F.array_join(F.coalesce("expectedTerms", none), "；").alias("reference_answer"), F.array_join(keys, ",").alias("reference_context_ids"))
 
 
 @query("review_windows", "SELECT b.item_id, d.doc_id, d.doc_id - b.item_id AS distance, coalesce(l.quality, -1) AS mark FROM benchmark b JOIN documents d ON d.doc_id BETWEEN b.item_id - 2 AND b.item_id + 2 LEFT JOIN labels l ON l.doc_id = d.doc_id")
@@ -468,11 +487,16 @@ def review_windows(spark, d):
     return j.select("item_id", "doc_id", (F.col("doc_id") - F.col("item_id")).alias("distance"), F.coalesce("quality", F.lit(-1)).alias("mark"))
 
 
-@query("config_hash", "SELECT 'k1' AS name, sha256('{\"alpha\":0.5,\"k\":60,\"mode\":\"rrf\"}') AS frozen UNION ALL SELECT 'k2', sha256('{\"k\":10}')")
+@query(
+    "config_hash",
+    """SELECT user_id, sha256('{' || CASE WHEN user_id % 3 = 0 THEN '' ELSE '"alpha":0.5,' END || '"k":' || max(event_id) || CASE WHEN user_id % 2 = 0 THEN '' ELSE ',"mode":"' || min(event_type) || '"' END || '}') AS frozen FROM events GROUP BY user_id""",
+)
 def config_hash(spark, d):
-    """XTR30: a configuration's hash over its keys in order."""
-    rows = spark.createDataFrame([("k1", 60, 0.5, "rrf"), ("k2", 10, None, None)], "name string, k int, alpha double, mode string")
-    return rows.select("name", F.sha2(F.to_json(F.struct("alpha", "k", "mode")), 256).alias("frozen"))
+    """XTR30: a configuration's hash over its keys in order; keys that are not set don't count. Each user's last run, limits and mode stand for one."""
+    k = F.col("user_id")
+    of = table(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("k"), F.min("event_type").alias("m"))
+    named = of.select("user_id", F.when(k % 3 != 0, F.lit(0.5)).alias("alpha"), "k", F.when(k % 2 != 0, F.col("m")).alias("mode"))
+    return named.select("user_id", F.sha2(F.to_json(F.struct("alpha", "k", "mode")), 256).alias("frozen"))
 
 
 @query("final_report", "SELECT o_orderpriority AS category, count(*) AS cases, count_if(o_totalprice > 450000) AS failures, round(count_if(o_totalprice > 450000) / count(*), 4) AS rate, count_if(o_totalprice > 450000) / count(*) <= 0.2 AS gate FROM orders GROUP BY ALL")
@@ -509,21 +533,26 @@ def enterprise_gate(spark, d):
     return m.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.round(v, 6).alias("value"), ok.alias("ok"), all_ok.alias("gate")) for n, v, ok in rows))).alias("x")).select("x.*")
 
 
-def _facts(spark) -> DataFrame:
-    return spark.range(240).select(F.col("id"), F.concat(F.lit("P"), F.lpad((F.col("id") % 12).cast("string"), 2, "0")).alias("product_id"), (F.col("id") % 4 + 1).alias("version"), (F.col("id") * 37 % 100).alias("value"))
-
-
-@query("truth_facts", "SELECT product_id, count(*) AS facts, max(version) AS current, sum(value) AS total, count(DISTINCT value) AS distinct_values FROM (SELECT id, 'P' || lpad(CAST(id % 12 AS VARCHAR), 2, '0') AS product_id, id % 4 + 1 AS version, id * 37 % 100 AS value FROM range(240) t(id)) GROUP BY ALL")
+@query(
+    "truth_facts",
+    "SELECT l_partkey AS product_id, count(*) AS facts, max(l_linenumber) AS current, CAST(sum(l_quantity) FILTER (l_linenumber = m) AS DOUBLE) AS stated, count(DISTINCT l_returnflag) AS distinct_values FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_partkey) AS m FROM lineitem) GROUP BY ALL",
+)
 def truth_facts(spark, d):
-    """SRC13 and SRC14: facts of made-up products in versions, from a range."""
-    return _facts(spark).groupBy("product_id").agg(n_().alias("facts"), F.max("version").alias("current"), F.sum("value").alias("total"), F.count_distinct("value").alias("distinct_values"))
+    """SRC13: facts of products in versions (lines of orders of a part); what the latest version states."""
+    l = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("product_id"), F.col("l_linenumber").alias("v")).agg(n_().alias("n"), F.sum("l_quantity").cast("double").alias("q"), F.collect_set("l_returnflag").alias("flags"))
+    g = l.groupBy("product_id").agg(F.sum("n").alias("facts"), F.max("v").alias("current"), F.max_by("q", "v").alias("stated"), F.size(F.array_distinct(F.flatten(F.collect_list("flags")))).cast("long").alias("distinct_values"))
+    return g.select("product_id", "facts", "current", "stated", "distinct_values")
 
 
-@query("compatibility_edges", "SELECT a.p || '-' || b.p AS edge, (a.i + b.i) % 3 <> 0 AS compatible FROM (SELECT i, 'P' || i AS p FROM range(12) t(i)) a JOIN (SELECT i, 'P' || i AS p FROM range(12) t(i)) b ON b.i = a.i + 1 OR b.i = a.i + 3")
+@query(
+    "compatibility_edges",
+    "SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_size = b.p_size OR a.p_type = b.p_type AS compatible FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 OR b.p_partkey = a.p_partkey + 3",
+)
 def compatibility_edges(spark, d):
-    """SRC14: each product with two later ones."""
-    p = spark.range(12).withColumn("j", F.explode(F.array(F.col("id") + 1, F.col("id") + 3))).where("j < 12")
-    return p.select(F.concat(F.lit("P"), F.col("id"), F.lit("-P"), F.col("j")).alias("edge"), ((F.col("id") + F.col("j")) % 3 != 0).alias("compatible"))
+    """SRC14: each product with two later ones, by their keys."""
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_type")
+    a = p.select(F.col("p_partkey").alias("a"), F.col("p_size").alias("sa"), F.col("p_type").alias("ta"), F.explode(F.array(F.col("p_partkey") + 1, F.col("p_partkey") + 3)).alias("b"))
+    return a.join(p.withColumnRenamed("p_partkey", "b"), "b").select("a", "b", ((F.col("sa") == F.col("p_size")) | (F.col("ta") == F.col("p_type"))).alias("compatible"))
 
 
 @query("sheet_markdown", "SELECT n_regionkey AS sheet, string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS body, count(*) AS rows FROM nation GROUP BY ALL")

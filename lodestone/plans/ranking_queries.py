@@ -11,18 +11,19 @@ from lodestone.operators import retrieval as R
 from lodestone.plans import registry as S
 from lodestone.plans.registry import query, table
 
-CORPUS = S.Fixture(
-    "chunk_key string, domain string, content string",
-    [
-        ("HR:leave:1:0", "HR", "# 考勤管理制度 ## 请假流程 - 员工请假需提前三天提交申请，由主管审批。"), ("HR:leave:1:1", "HR", "# 考勤管理制度 ## 加班规定 - 加班须经部门负责人批准，加班费按月结算。"), ("HR:leave-g001.:1:2", "HR", "# 考勤管理制度 ## 年假 - 历史版本：年假为五天，已被 G002 替代。"),
-        ("HR:leave-g002.:2:2", "HR", "# 考勤管理制度 ## 年假 - 当前版本：年假为十天，G002 起有效。"), ("IT:vpn:1:0", "IT", "# 远程接入手册 ## VPN setup - install the client v2.1 and open the vpn-gateway page"), ("IT:vpn:1:1", "IT", "# 远程接入手册\n## 故障处理\n重启客户端，检查网络。\n## FAQ\nask the help desk"),
-        ("IT:data:1:0", "IT", "# 数据留存规定 ## 审计日志 - 审计日志保留一百八十天。"), ("IT:data:1:1", "IT", "# 数据留存规定 ## 备份 - 备份每日执行，保留三十天。"), ("FIN:exp:1:0", "FIN", "报销单据须在三十天内提交，超过期限不予受理"), ("FIN:exp:1:1", "FIN", "报销单据须在三十天内提交，超过期限不予受理"), ("FIN:exp:1:2", "FIN", ""),
-    ],
-)
-ASKED = S.Fixture(
-    "query_id int, query string",
-    [(1, "《考勤管理制度》中“请假流程”的要求是什么？"), (2, "《考勤管理制度》年假现行有效规定 G002"), (3, "《考勤管理制度》的加班 《数据留存规定》的“审计日志”"), (4, "vpn-gateway client"), (5, "报销期限"), (6, "备份保留多久"), (7, ""), (8, "年假旧版与现行规定有何不同")],
+#: Each document as a chunk: plain, on one line under a title and a section, or under headings; some are of the first or second generation.
+CORPUS = S.Derived(
+    "SELECT doc_id, coalesce(source, 'none') || CASE WHEN doc_id % 5 = 1 THEN '-g001.' WHEN doc_id % 5 = 2 THEN '-g002.' ELSE '' END || ':' || doc_id || ':1:0' AS chunk_key, lang AS domain, "
+    "CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN '# ' || split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' ## ' || split_part(text, ' ', 3) || ' - ' || CASE WHEN doc_id % 5 = 1 THEN '历史版本：' WHEN doc_id % 5 = 2 THEN '当前版本：' ELSE '' END || text "
+    "ELSE '# ' || split_part(text, ' ', 1) || chr(10) || '## ' || split_part(text, ' ', 2) || ' -' || chr(10) || text END AS content FROM documents WHERE text IS NOT NULL"
 )
+#: Questions to every twentieth document: its title, a section or the generation, and its first sentence; some ask for two titles.
+ASKED = S.Derived(
+    "SELECT doc_id AS query_id, '《' || split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || '》' || CASE WHEN doc_id % 40 = 0 THEN '中“' || split_part(text, ' ', 3) || '”的要求' ELSE '现行有效规定 G002' END || "
+    "CASE WHEN doc_id % 60 = 0 THEN ' 《' || split_part(text, ' ', 4) || '》的“' || split_part(text, ' ', 5) || '”' ELSE '' END || CASE WHEN doc_id % 100 = 20 THEN ' 旧版与现行规定有何不同' ELSE '' END || ' ' || split_part(text, '.', 1) AS query FROM documents WHERE text IS NOT NULL AND doc_id % 20 = 0"
+)
+#: Candidates of each question: the best documents by BM25, which an index gives.
+CANDIDATES = 20
 
 
 def rg(x: str) -> str:
@@ -43,42 +44,44 @@ regexp_replace(CASE WHEN contains(c, chr(10)) THEN regexp_replace(c, '{L.HEADING
 @query("field_parse", f"SELECT chunk_key, title, array_to_string(sections, '|') AS sections, md5(body) AS body_md5 FROM {_PARSED}")
 def field_parse(spark, d):
     """RET24."""
-    return CORPUS.df(spark).select("chunk_key", L.parse(F.col("content")).alias("f")).select("chunk_key", "f.title", F.array_join("f.sections", "|").alias("sections"), F.md5("f.body").alias("body_md5"))
+    return CORPUS.df(spark, d).select("chunk_key", L.parse(F.col("content")).alias("f")).select("chunk_key", "f.title", F.array_join("f.sections", "|").alias("sections"), F.md5("f.body").alias("body_md5"))
 
 
 _G = f"(SELECT *, {rg('title')} AS gt, {rg('body')} AS gb, list_transform(sections, lambda s: {rg('s')}) AS gs, {rg('c')} AS gc FROM {_PARSED})"
-_Q = f"(SELECT *, {rg('query')} AS q FROM {ASKED.sql})"
+_Q = f"(SELECT *, query_id AS parent, {rg('query')} AS q FROM {ASKED.sql})"
 _FIELDED = f"5 * {share('q', 'gt')} + 4 * coalesce(list_max(list_transform(gs, lambda s: {share('q', 's')})), 0.0) + {share('q', 'gb')} + CASE WHEN trim(query) <> '' AND (contains(lower(title), lower(trim(query))) OR len(list_filter(sections, lambda s: contains(lower(s), lower(trim(query))))) > 0) THEN 5.0 ELSE 0.0 END"
 
 
-def _pairs(spark) -> DataFrame:
-    """Queries with the chunks that share a gram with them, or a generation with their key: an inverted index on grams, no pairs tried."""
-    keyed = F.array_union(L.grams(F.col("content")), F.regexp_extract_all(F.lower("chunk_key"), F.lit(r"[a-z0-9]+"), F.lit(0)))
-    c = CORPUS.df(spark).select("chunk_key", "domain", "content", F.explode(keyed).alias("g"))
-    q = ASKED.df(spark).select("query_id", "query", F.explode(L.grams(F.col("query"))).alias("g"))
-    return c.join(q, "g").drop("g").dropDuplicates(["query_id", "chunk_key"])
+_CAND = f"{S.bm25(queries=f'SELECT query_id, query FROM {ASKED.sql}', name='cd')}, cand AS (SELECT query_id, doc_id, rank FROM ({S.top('cd', CANDIDATES)}))"
+
 
+def _pairs(spark, d) -> DataFrame:
+    """Each question with its candidates (query_id, query, doc_id, chunk_key, domain, content, rank)."""
+    q = ASKED.df(spark, d)
+    run = R.top_k(R.bm25(table(spark, d, "documents"), q), CANDIDATES).select("query_id", "doc_id", "rank")
+    return CORPUS.df(spark, d).join(R.small(run), "doc_id").join(R.small(q), "query_id")
 
-@query("fielded_scores", f"SELECT query_id, chunk_key, round({_FIELDED}, 6) AS score FROM {_Q}, {_G} WHERE round({_FIELDED}, 6) > 0")
+
+@query("fielded_scores", f"WITH {_CAND} SELECT query_id, chunk_key, round({_FIELDED}, 6) AS score FROM {_Q} JOIN cand USING (query_id) JOIN {_G} USING (doc_id) WHERE round({_FIELDED}, 6) > 0")
 def fielded_scores(spark, d):
-    """RET23 by an index on grams: a chunk without one scores 0."""
-    return _pairs(spark).select("query_id", "chunk_key", F.round(L.fielded(F.col("query"), F.col("content")), 6).alias("score")).where("score > 0")
+    """RET23 over the candidates of an index."""
+    return _pairs(spark, d).select("query_id", "chunk_key", F.round(L.fielded(F.col("query"), F.col("content")), 6).alias("score")).where("score > 0")
 
 
 _LOCAL = f"""(SELECT query_id, query, chunk_key, domain, content, round({share('q', 'gc')} + 0.05 * (5 * {share('q', 'gt')} + 4 * {share('q', "coalesce(gs[1], [])")} + CASE WHEN trim(query) <> '' AND contains(lower(c)[1:160], lower(trim(query))) THEN 2.0 ELSE 0.0 END)
 + CASE WHEN titled THEN 8.0 ELSE 0.0 END + CASE WHEN titled AND len(list_filter(regexp_extract_all(query, '{L.QUOTE}', 1), lambda t: trim(t) <> '' AND (contains(coalesce(sections[1], ''), trim(t)) OR contains(body, trim(t))))) > 0 THEN 6.0 ELSE 0.0 END
 + CASE WHEN len(list_filter(regexp_extract_all(lower(query), '{L.GENERATION}'), lambda g: contains(lower(chunk_key), g) OR contains(lower(c), g))) > 0 THEN 8.0 ELSE 0.0 END, 6) AS score
-FROM (SELECT *, len(list_filter(regexp_extract_all(query, '{L.ASPECT}', 1), lambda t: trim(t) <> '' AND contains(title, trim(t)))) > 0 AS titled FROM <q>, {_G}))"""
+FROM (SELECT *, len(list_filter(regexp_extract_all(query, '{L.ASPECT}', 1), lambda t: trim(t) <> '' AND contains(title, trim(t)))) > 0 AS titled FROM <q> JOIN (SELECT query_id AS parent, doc_id FROM cand) USING (parent) JOIN {_G} USING (doc_id)))"""
 
 
 def _local(spark, pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", F.round(L.local_score(F.col("query"), F.col("chunk_key"), F.col("content")), 6))
 
 
-@query("local_retrieval", f"SELECT query_id, chunk_key, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_key) AS INT) AS rank FROM {_LOCAL.replace('<q>', _Q)} WHERE score > 0 QUALIFY rank <= 5")
+@query("local_retrieval", f"WITH {_CAND} SELECT query_id, chunk_key, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_key) AS INT) AS rank FROM {_LOCAL.replace('<q>', _Q)} WHERE score > 0 QUALIFY rank <= 5")
 def local_retrieval(spark, d):
     """RET21; ties by key (SRT1)."""
-    s = _local(spark, _pairs(spark)).where("score > 0").select("query_id", F.col("chunk_key").alias("doc_id"), "score")
+    s = _local(spark, _pairs(spark, d)).where("score > 0").select("query_id", F.col("chunk_key").alias("doc_id"), "score")
     return R.top_k(s, 5).withColumnRenamed("doc_id", "chunk_key")
 
 
@@ -87,21 +90,19 @@ _HOPS = f"(SELECT query_id * 10 + i AS query_id, query_id AS parent, i, a AS que
 
 @query(
     "multi_hop_slots",
-    f"""WITH a AS (SELECT h.parent, h.i, l.chunk_key, l.score, row_number() OVER (PARTITION BY l.query_id ORDER BY l.score DESC, l.chunk_key) AS r FROM {_LOCAL.replace('<q>', _HOPS)} l JOIN {_HOPS} h ON h.query_id = l.query_id WHERE l.score > 0),
+    f"""WITH {_CAND}, a AS (SELECT h.parent, h.i, l.chunk_key, l.score, row_number() OVER (PARTITION BY l.query_id ORDER BY l.score DESC, l.chunk_key) AS r FROM {_LOCAL.replace('<q>', _HOPS)} l JOIN {_HOPS} h ON h.query_id = l.query_id WHERE l.score > 0),
 g AS (SELECT query_id AS parent, chunk_key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_key) AS r FROM {_LOCAL.replace('<q>', _Q)} WHERE score > 0),
 u AS (SELECT parent, chunk_key, i * 100 + r AS place FROM a WHERE r <= 2 UNION ALL SELECT parent, chunk_key, 10000 + r FROM g WHERE parent IN (SELECT parent FROM a)), m AS (SELECT parent, chunk_key, min(place) AS place FROM u GROUP BY ALL)
 SELECT parent AS query_id, chunk_key, CAST(row_number() OVER (PARTITION BY parent ORDER BY place) AS INT) AS rank FROM m QUALIFY rank <= 5""",
 )
 def multi_hop_slots(spark, d):
     """RET22: the two best of each aspect that the query names keep a place, the whole query fills up. Aspects here share no evidence."""
-    asked = ASKED.df(spark)
+    pairs = _pairs(spark, d)
     parts = F.arrays_zip(F.regexp_extract_all("query", F.lit(L.ASPECT), F.lit(1)).alias("t"), F.regexp_extract_all("query", F.lit(L.ASPECT), F.lit(2)).alias("m"))
-    hops = asked.select("query_id", F.posexplode(parts).alias("i", "p"), F.size(parts).alias("n")).where("n >= 2").select("query_id", "i", F.trim(F.concat(F.trim("p.t"), F.lit(" "), F.trim("p.m"))).alias("query"))
-    c = CORPUS.df(spark).select("chunk_key", "content", F.explode(F.array_union(L.grams(F.col("content")), F.regexp_extract_all(F.lower("chunk_key"), F.lit(r"[a-z0-9]+"), F.lit(0)))).alias("g"))
-    hop_pairs = hops.withColumn("g", F.explode(L.grams(F.col("query")))).join(c, "g").drop("g").dropDuplicates(["query_id", "i", "chunk_key"])
-    a = _local(spark, hop_pairs).where("score > 0").withColumn("r", F.row_number().over(Window.partitionBy("query_id", "i").orderBy(F.desc("score"), "chunk_key"))).where("r <= 2")
-    g = _local(spark, _pairs(spark)).where("score > 0").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_key")))
-    several = hops.select("query_id").distinct()
+    hops = ASKED.df(spark, d).select("query_id", F.posexplode(parts).alias("i", "p"), F.size(parts).alias("n")).where("n >= 2").select("query_id", "i", F.trim(F.concat(F.trim("p.t"), F.lit(" "), F.trim("p.m"))).alias("query"))
+    a = _local(spark, pairs.drop("query").join(R.small(hops), "query_id")).where("score > 0").withColumn("r", F.row_number().over(Window.partitionBy("query_id", "i").orderBy(F.desc("score"), "chunk_key"))).where("r <= 2")
+    g = _local(spark, pairs).where("score > 0").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_key")))
+    several = a.select("query_id").distinct()
     u = a.select("query_id", "chunk_key", ((F.col("i") + 1) * 100 + F.col("r")).alias("place")).unionByName(g.join(several, "query_id", "left_semi").select("query_id", "chunk_key", (10_000 + F.col("r")).alias("place")))
     m = u.groupBy("query_id", "chunk_key").agg(F.min("place").alias("place"))
     return m.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).where("rank <= 5").select("query_id", "chunk_key", "rank")
@@ -109,13 +110,12 @@ def multi_hop_slots(spark, d):
 
 @query(
     "fielded_rerank",
-    f"""WITH s AS (SELECT query_id, chunk_key, {_FIELDED} AS f, row_number() OVER (PARTITION BY query_id ORDER BY md5(chunk_key)) AS i FROM {_Q}, {_G} WHERE trim(query) <> ''), w AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, min(f) OVER (PARTITION BY query_id) AS lo, max(f) OVER (PARTITION BY query_id) AS hi FROM s)
+    f"""WITH {_CAND}, s AS (SELECT query_id, chunk_key, {_FIELDED} AS f, rank AS i FROM {_Q} JOIN cand USING (query_id) JOIN {_G} USING (doc_id)), w AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, min(f) OVER (PARTITION BY query_id) AS lo, max(f) OVER (PARTITION BY query_id) AS hi FROM s)
 SELECT query_id, chunk_key, round(0.5 * CASE WHEN hi > lo THEN (f - lo) / (hi - lo) ELSE 0 END + 0.35 * (n - i + 1) / n, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(0.5 * CASE WHEN hi > lo THEN (f - lo) / (hi - lo) ELSE 0 END + 0.35 * (n - i + 1) / n, 6) DESC, i) AS INT) AS rank FROM w""",
 )
 def fielded_rerank(spark, d):
     """RET25, WIN11 and SRT2: fielded scores scaled within a query's candidates, with a prior by place; ties keep the order of arrival."""
-    pairs = ASKED.df(spark).where("trim(query) <> ''").join(F.broadcast(CORPUS.df(spark)))  # each query's candidate list is the fixture's eleven chunks
-    run = pairs.withColumn("fielded", L.fielded(F.col("query"), F.col("content"))).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.md5("chunk_key"))))
+    run = _pairs(spark, d).withColumn("fielded", L.fielded(F.col("query"), F.col("content")))
     scored = R.fielded_rerank(run).withColumnRenamed("rank", "i")
     return scored.select("query_id", "chunk_key", "score", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "i")).alias("rank"))
 
@@ -149,7 +149,7 @@ _HEAD = r"(?s)^#\s*(.*?)\s*##\s*(.*?)(?:\s+-\s+|$)"
 
 @query(
     "metadata_rank",
-    rf"""WITH h AS (SELECT query_id, query, chunk_key, content, row_number() OVER (PARTITION BY query_id ORDER BY md5(chunk_key)) AS r FROM {ASKED.sql}, {CORPUS.sql}),
+    rf"""WITH {_CAND}, h AS (SELECT query_id, query, chunk_key, content, rank AS r FROM {ASKED.sql} JOIN cand USING (query_id) JOIN {CORPUS.sql} USING (doc_id)),
 f AS (SELECT *, regexp_extract_all(query, '{L.BOOK}', 1) AS et, regexp_extract_all(query, '[“"]([^”"]+)[”"]', 1) AS es, CASE WHEN regexp_matches(content, '{_HEAD}') THEN trim(regexp_extract(content, '{_HEAD}', 1)) ELSE trim(regexp_extract(content, '(?m)^#\s+(.+)$', 1)) END AS ti, CASE WHEN regexp_matches(content, '{_HEAD}') THEN trim(regexp_extract(content, '{_HEAD}', 2)) ELSE '' END AS se,
 ({_any('query', _OLD_WORDS)} AND {_any('query', _NEW_WORDS)}) OR contains(query, '冲突') AS compares FROM h),
 s AS (SELECT *, 12 * {_TE} + 8 * {_SE} + 4 * {_TC} + 3 * {_SC} + 10 * CASE WHEN compares OR NOT {_any('query', _CURRENT)} THEN 0.0 WHEN contains(content, '当前版本') OR contains(content, '现行版本') OR contains(lower(chunk_key), '-g002.') THEN 1.0 WHEN contains(content, '历史版本') OR contains(content, '已被 G002 替代') OR contains(lower(chunk_key), '-g001.') THEN -1.0 ELSE 0.0 END + 2 / log2(greatest(2, r + 1)) AS sc FROM f)
@@ -158,7 +158,7 @@ SELECT query_id, chunk_key, CAST(row_number() OVER (PARTITION BY query_id ORDER
 def metadata_rank(spark, d):
     """RET26: the first eight of a list by title, section, version and place; queries that compare versions keep their order, the tail always does."""
     q, c = F.col("query"), F.col("content")
-    h = ASKED.df(spark).join(F.broadcast(CORPUS.df(spark))).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.md5("chunk_key"))))
+    h = _pairs(spark, d).withColumnRenamed("rank", "r")
 
     def some(x: Column, words) -> Column:
         out = F.lit(False)
@@ -205,13 +205,10 @@ def fulltext_2gram(spark, d):
     return R.top_k(R.bm25(table(spark, d, "documents"), items, tokenise=bigrams), 10)
 
 
-_ANSWERS = S.Fixture(
-    "answer_id int, answer string, evidence array<string>",
-    [
-        (1, "员工请假需提前三天提交申请。主管负责审批！", ["员工请假需提前三天提交申请，由主管审批。"]), (2, "年假为三十天，可以累计到下一年度使用。食堂周末不营业。", ["年假为十天"]), (3, "加班费按月结算。", []), (4, "", ["x"]), (5, "install the client first. unrelated words only", ["please install vpn software"]),
-        (6, "备份每日执行", ["备份工作应当每日执行一次"]),
-    ],
-)
+#: Assistants' turns as answers, the turn before as evidence; some have none.
+_ANSWERS = S.Derived(
+    "SELECT a.conv_id * 1000 + a.turn AS answer_id, a.text AS answer, CASE WHEN a.turn % 4 = 3 OR u.text IS NULL THEN filter_none ELSE ARRAY(u.text, split_part(a.text, '.', 1)) END AS evidence FROM conversations a LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant' AND a.text IS NOT NULL".replace("filter_none", "ARRAY()")
+)
 _ALNUM = r"[^\p{L}\p{N}]+"
 
 
@@ -225,7 +222,7 @@ SELECT answer_id, coalesce(n, 0) AS claims, round(coalesce(v / n, 0), 3) AS cove
 def groundedness(spark, d):
     """RET41: an answer's claims against its evidence, by a keyword in one piece or by 48 % of a claim's pairs in all of it."""
     bare = lambda x: F.regexp_replace(F.lower(x), _ALNUM, "")
-    claims = F.filter(F.transform(F.split("answer", r"[。！？!?；;\.\n]+"), F.trim), lambda s: F.length(bare(s)) >= 5)
+    claims = F.filter(T.trimmed(F.split("answer", r"[。！？!?；;\.\n]+")), lambda s: F.length(bare(s)) >= 5)
 
     def supported(c: Column) -> Column:
         words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) > 1)
@@ -233,13 +230,14 @@ def groundedness(spark, d):
         pool = F.array_join("evidence", "")
         return named | (pool != "") & (L.overlap(L.pairs(bare(c)), L.pairs(bare(pool))) >= 0.48)
 
-    x = _ANSWERS.df(spark).withColumn("claims", claims).withColumn("ok", F.filter("claims", supported))
+    x = _ANSWERS.df(spark, d).withColumn("claims", claims).withColumn("ok", F.filter("claims", supported))
     n = F.size("claims")
     cover = F.when(n > 0, F.size("ok") / n).otherwise(0.0)
     return x.select("answer_id", n.cast("long").alias("claims"), F.round(cover, 3).alias("coverage"), F.when((n > 0) & (cover >= 0.6), "supported").when(F.size("evidence") == 0, "re_retrieve").otherwise("revise").alias("decision"))
 
 
-_POINTS = S.Fixture("case_id int, answer string, point string", [(1, "员工请假需提前三天", "提前三天"), (2, "请假要早三天提", "请假需提前三天"), (3, "Keep logs for 180 days", "logs kept 180 days"), (4, "no", "completely other"), (5, "x", ""), (6, "the backup runs every day", "Backup runs daily")])
+#: Each document's second sentence as a point, its first three as the answer.
+_POINTS = S.Derived("SELECT doc_id AS case_id, split_part(text, '.', 1) || '.' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE split_part(text, '.', 2) END || '.' || split_part(text, '.', 3) AS answer, CASE WHEN doc_id % 2 = 0 THEN lower(split_part(text, '.', 2)) ELSE split_part(split_part(text, '.', 2), ' ', 2) || ' ' || split_part(text, ' ', 9) END AS point FROM documents WHERE text IS NOT NULL")
 
 
 @query(
@@ -248,7 +246,7 @@ _POINTS = S.Fixture("case_id int, answer string, point string", [(1, "员工请
 )
 def answer_points(spark, d):
     """SCL7."""
-    return _POINTS.df(spark).select("case_id", L.point_match(F.col("answer"), F.col("point")).alias("matched"))
+    return _POINTS.df(spark, d).select("case_id", L.point_match(F.col("answer"), F.col("point")).alias("matched"))
 
 
 @query(
@@ -322,7 +320,7 @@ def missing_aspect_query(spark, d):
     aspect = F.when(F.col("query_id") % 3 == 0, "").otherwise(F.trim(F.regexp_replace(F.regexp_replace(raw, r"[^\p{L}\p{N}_·《》,。，、；;：:()（）\- ]", ""), r"\s+", " ")))
     topic = F.trim(F.regexp_extract("query", L.BOOK, 1))
     ask = F.concat(F.lit("关于“"), aspect, F.lit("”的要求是什么？"))
-    return ASKED.df(spark).select("query_id", F.when(aspect == "", F.trim("query")).when(topic != "", F.concat(F.lit("《"), topic, F.lit("》中"), ask)).otherwise(ask).alias("built"))
+    return ASKED.df(spark, d).select("query_id", F.when(aspect == "", F.trim("query")).when(topic != "", F.concat(F.lit("《"), topic, F.lit("》中"), ask)).otherwise(ask).alias("built"))
 
 
 @query(

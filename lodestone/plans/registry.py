@@ -55,6 +55,17 @@ class Fixture:
         return spark.createDataFrame(self.rows, self.schema)
 
 
+class Derived:
+    """Rows that follow from the given tables, by one SELECT that Spark and DuckDB both read. ARRAY(…) stands for an array, and no braces."""
+
+    def __init__(self, select: str):
+        self.select, self.sql = select, f"({select.replace('ARRAY(', 'list_value(')})"
+
+    def df(self, spark: SparkSession, d: str) -> DataFrame:
+        names = set(re.findall(r"(?:FROM|JOIN) (\w+)", self.select))
+        return spark.sql(re.sub(r"(FROM|JOIN) (\w+)", r"\1 {\2}", self.select), **{n: table(spark, d, n) for n in names})
+
+
 # Pieces of SQL that several queries share.
 CJK = r"\x{4e00}-\x{9fff}"
 

@@ -26,7 +26,7 @@ def mime(content: Column, name: Column) -> Column:
 def plain_blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, block_index, content): paragraphs between empty lines."""
     parts = F.filter(F.split("text", r"\n\s*\n"), lambda s: F.trim(s) != "")
-    return docs.select("doc_id", F.posexplode(F.transform(parts, F.trim)).alias("block_index", "content"))
+    return docs.select("doc_id", F.posexplode(F.transform(parts, lambda t: F.trim(t))).alias("block_index", "content"))
 
 
 def markdown_lines(docs: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
 """Phrases of a corpus by Apriori passes, level by level, and the cut that tells least for each.
 
-Words are counted by language; a pass then counts phrases of k words only where both phrases of k - 1 words inside are frequent. The
-frequent phrases of a level go to the executors as a table of bits by hash, whose size is bounded whatever the corpus holds: a phrase
-that is frequent always has its bit, one that is not may share it, and then costs a count that the exact threshold drops. Counts are
-kept by the phrase itself. Scores come from the level tables by joins of cut phrases with the counts of their parts.
+Words are counted by language; a level then counts phrases of k words only where both phrases of k - 1 words inside are frequent, first
+by a 64-bit hash alone, which is short to shuffle, and then, where that count reaches the threshold, by the phrase itself. What is
+frequent goes to the executors as a table of bits by hash, whose size is bounded whatever the corpus holds: a phrase that is frequent always
+has its bit, one that is not may share it, and then costs a count that the exact threshold drops. Scores come from the level tables by joins of cut
+phrases with the counts of their parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ _END[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER[0x41:0x5B] += 0x20
 _WORD = ~_END
 _WORD[[0x20, 0x09]] = False
-COUNTS = "lang string, phrase string, f long"
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+COUNTS = "lang string, phrase string, key long, f long"
 
 
 def _hashes(texts: pa.Array) -> np.ndarray:
@@ -45,21 +48,13 @@ def _hashes(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _keys(lang: pa.Array, phrase: pa.Array) -> np.ndarray:
-    return _hashes(pc.binary_join_element_wise(lang, phrase, "\t"))
-
-
-def frequent_bits(level: DataFrame, bits_each: int = BITS_EACH) -> np.ndarray:
-    """A table of bits with that of each row of level (lang, phrase) set; its length follows the rows up to MOST_BITS."""
-    rows = level.count()
+def frequent_bits(keys: DataFrame, bits_each: int = BITS_EACH) -> np.ndarray:
+    """A table of bits with that of each row's key set; its length follows the rows up to MOST_BITS."""
+    rows = keys.count()
     size = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, rows * bits_each - 1).bit_length()))
-
-    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        h = _keys(batch.column(0), batch.column(1)) & np.uint64(size - 1)
-        yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (h & np.uint64(63))).view(np.int64))], ["cell", "bits"])
-
-    cells = map_batches(level.select("lang", "phrase"), one, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
-    got = cells.toArrow()  # size / 64 rows at most
+    low = F.col("key").bitwiseAND(F.lit(size - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))
+    got = keys.groupBy(F.shiftright(low, 6).alias("cell")).agg(F.bit_or(bit).alias("bits")).toArrow()  # size / 64 rows at most
     out = np.zeros(size // 64, np.uint64)
     out[got.column("cell").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return out
@@ -88,56 +83,95 @@ def _words(buf: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray, np.n
     return coded.dictionary.cast(pa.large_string()).cast(pa.string()), coded.indices.to_numpy().astype(np.int64), row, joined
 
 
-def _counted(langs: pa.Array, lang: np.ndarray, parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
-    """(lang, phrase, count) of the distinct rows, and which of them each row is. parts: texts and the number of each row's among them."""
-    code = lang.astype(np.int64)
-    for texts, at in parts:
-        # Numbered anew before each product, so it stays within 63 bits.
-        code = np.unique(code, return_inverse=True)[1] * max(1, len(texts)) + at
-    _, first, number, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-    words = [texts.take(pa.array(at[first])) for texts, at in parts]
-    phrase = words[0] if len(words) == 1 else pc.binary_join_element_wise(*words, " ")
-    return langs.take(pa.array(lang[first])), phrase, count.astype(np.int64), number
+@dataclass
+class Block:
+    """Words of a block of texts: the distinct ones, each word's number among them, its language and that one's names, whether the next word follows in its piece."""
+
+    words: pa.Array
+    at: np.ndarray
+    langs: pa.Array
+    lang: np.ndarray
+    joined: np.ndarray
+
+    def starts(self, k: int) -> np.ndarray:
+        """Where k words in a row begin that stay in one piece."""
+        ok = np.ones(len(self.at), bool)
+        for j in range(k - 1):
+            ok &= np.concatenate((self.joined[j:], np.zeros(j, bool)))
+        return np.flatnonzero(ok)
+
+    def keys(self, k: int, starts: np.ndarray) -> np.ndarray:
+        """A hash of language and words of each phrase of k words, equal in every task."""
+        word = _hashes(self.words)[self.at]
+        out = _hashes(self.langs)[self.lang[starts]]
+        for j in range(k):
+            out = tb.mix(out * _BASE + word[starts + j])
+        return out
+
+    def candidates(self, k: int, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, keys) of phrases of k words of which both phrases of k - 1 words inside have their bit."""
+        less = self.starts(k - 1)
+        good = np.zeros(len(self.at) + 1, bool)
+        good[less] = _has(inner, self.keys(k - 1, less))
+        starts = np.flatnonzero(good[:-1] & good[1:] & self.joined)
+        return starts, self.keys(k, starts)
+
+    def counted(self, k: int, starts: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        """(lang, phrase, key, f) of the phrases that begin at starts, by the phrase itself."""
+        code = self.lang[starts].astype(np.int64)
+        for j in range(k):
+            # Numbered anew before each product, so it stays within 63 bits.
+            code = np.unique(code, return_inverse=True)[1] * max(1, len(self.words)) + self.at[starts + j]
+        _, first, count = np.unique(code, return_index=True, return_counts=True)
+        words = [self.words.take(pa.array(self.at[starts + j][first])) for j in range(k)]
+        phrase = words[0] if k == 1 else pc.binary_join_element_wise(*words, " ")
+        return pa.RecordBatch.from_arrays([self.langs.take(pa.array(self.lang[starts][first])), phrase, pa.array(keys[first].view(np.int64)), pa.array(count.astype(np.int64))], ["lang", "phrase", "key", "f"])
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[Block]:
+    coded = batch.column(0).fill_null(NO_LANG).dictionary_encode()
+    numbers = coded.indices.to_numpy()
+    for lo, hi, buf, off in tb.blocks(batch.column(1), BLOCK):
+        words, at, row, joined = _words(buf, off)
+        if len(at):
+            yield Block(words, at, coded.dictionary, numbers[lo:hi][row], joined)
+
+
+def _scan(docs: DataFrame, fn, schema: str) -> DataFrame:
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batch):
+            out = fn(block)
+            if out.num_rows:
+                yield out
 
+    return map_batches(docs.select(F.col("lang").cast("string").alias("lang"), "text"), one, schema)
 
-def level_counts(docs: DataFrame, k: int, bits: np.ndarray | None = None) -> DataFrame:
-    """(lang, phrase, f): how often each phrase of k words stands in texts of a language.
 
-    For k over 1, only where the bits of both phrases of k - 1 words inside are set. docs: lang, text.
+def level_counts(docs: DataFrame, k: int, inner: np.ndarray | None = None, least: int = LEAST) -> DataFrame:
+    """(lang, phrase, key, f): how often each phrase of k words stands in texts of a language; for k over 1 only frequent ones.
+
+    inner: the bits of the frequent phrases of k - 1 words. docs: lang, text.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(bits) if bits is not None else None  # MOST_BITS at most
+    if k == 1:
+        counted = _scan(docs, lambda b: b.counted(1, b.starts(1), b.keys(1, b.starts(1))), COUNTS)
+        return counted.groupBy("lang", "phrase").agg(F.first("key").alias("key"), F.sum("f").alias("f"))
+    sc = docs.sparkSession.sparkContext
+    less = sc.broadcast(inner)  # MOST_BITS at most, as is the next one
 
-    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        coded = batch.column(0).fill_null(NO_LANG).dictionary_encode()
-        langs, numbers = coded.dictionary, coded.indices.to_numpy()
-        for lo, hi, buf, off in tb.blocks(batch.column(1), BLOCK):
-            words, at, row, joined = _words(buf, off)
-            lang = numbers[lo:hi][row]
-            if k == 1:
-                keep = np.arange(len(at))
-            else:
-                # Phrases of k - 1 words start here and stay in their piece; of those only frequent ones count.
-                inner = _runs(joined, k - 2)
-                one_less = [at[inner + j] for j in range(k - 1)]
-                name, text, _, number = _counted(langs, lang[inner], [(words, a) for a in one_less])
-                good = np.zeros(len(at) + 1, bool)
-                good[inner] = _has(sent.value, _keys(name, text))[number] if len(inner) else False
-                keep = np.flatnonzero(good[:-1] & good[1:] & joined)
-            if not len(keep):
-                continue
-            name, text, count, _ = _counted(langs, lang[keep], [(words, at[keep + j]) for j in range(k)])
-            yield pa.RecordBatch.from_arrays([name, text, pa.array(count)], ["lang", "phrase", "f"])
-
-    counted = map_batches(docs.select(F.col("lang").cast("string").alias("lang"), "text"), one, COUNTS)
-    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-
-
-def _runs(joined: np.ndarray, steps: int) -> np.ndarray:
-    """Where `steps` words follow in the same piece."""
-    ok = np.ones(len(joined), bool)
-    for j in range(steps):
-        ok &= np.concatenate((joined[j:], np.zeros(j, bool)))
-    return np.flatnonzero(ok)
+    def hashed(b: Block) -> pa.RecordBatch:
+        key, f = np.unique(b.candidates(k, less.value)[1], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(f.astype(np.int64))], ["key", "f"])
+
+    sums = _scan(docs, hashed, "key long, f long").groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    own = sc.broadcast(frequent_bits(written(sums.select("key"))))
+
+    def exact(b: Block) -> pa.RecordBatch:
+        starts, keys = b.candidates(k, less.value)
+        some = _has(own.value, keys)
+        return b.counted(k, starts[some], keys[some])
+
+    counted = _scan(docs, exact, COUNTS).groupBy("lang", "phrase").agg(F.first("key").alias("key"), F.sum("f").alias("f"))
+    return counted.where(F.col("f") >= least)
 
 
 def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, list[DataFrame]]:
@@ -148,8 +182,8 @@ def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple
     words = written(level_counts(docs, 1))
     found = [words.where(F.col("f") >= least)]
     for k in range(2, longest + 1):
-        found.append(written(level_counts(docs, k, frequent_bits(found[-1])).where(F.col("f") >= least)))
-    return words.groupBy("lang").agg(F.sum("f").alias("n")), found
+        found.append(written(level_counts(docs, k, frequent_bits(found[-1]), least)))
+    return words.groupBy("lang").agg(F.sum("f").alias("n")), [level.drop("key") for level in found]
 
 
 def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, inside: int = INSIDE, top: int = TOP) -> DataFrame:

@@ -70,18 +70,25 @@ def test_borders_ties_and_shared_bits(spark, monkeypatch, bits):
 def test_products_pass_64_bits(spark, monkeypatch):
     big = 3_000_000_000_000
     levels = [[("en", "a", big), ("en", "b", big - 7)], [("en", "a b", big - 9)], []]
-    frames = [spark.createDataFrame(x, phrases.COUNTS) for x in levels]
+    frames = [spark.createDataFrame(x, "lang string, phrase string, f long") for x in levels]
     monkeypatch.setattr(phrases, "levels", lambda *_: (spark.createDataFrame([("en", 9)], "lang string, n long"), frames))
     (row,) = phrases.phrases(None).collect()
     assert row["score"] == 1_000_000 * (big - 9) ** 2 // (big * (big - 7))
 
 
 def test_frequent_phrases_have_their_bits(spark):
-    level = spark.createDataFrame([("en", f"w{k} é", 9) for k in range(5000)], phrases.COUNTS)
-    bits = phrases.frequent_bits(level)
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(2**63), 2**63, 5000)
+    bits = phrases.frequent_bits(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    other = rng.integers(-(2**63), 2**63, 5000)
+    assert phrases._has(bits, keys.view(np.uint64)).all() and phrases._has(bits, other.view(np.uint64)).mean() < 0.1
+    assert len(bits) * 64 <= 32 * 5000 and np.unpackbits(bits.view(np.uint8)).sum() <= 5000
+
+
+def test_keys_tell_languages_and_words_apart():
     import pyarrow as pa
 
-    own = phrases._keys(pa.array(["en"] * 5000), pa.array([f"w{k} é" for k in range(5000)]))
-    other = phrases._keys(pa.array(["de"] * 5000), pa.array([f"w{k} é" for k in range(5000)]))
-    assert phrases._has(bits, own).all() and phrases._has(bits, other).mean() < 0.1
-    assert len(bits) * 64 <= 32 * 5000 and np.unpackbits(bits.view(np.uint8)).sum() <= 5000
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", None, "en"]), pa.array(["a b a b", "a b", "ab a. b a"])], ["lang", "text"])
+    (block,) = phrases._blocks(batch)
+    keys = dict(zip(zip(block.lang[block.starts(2)], block.at[block.starts(2)], block.at[block.starts(2) + 1]), block.keys(2, block.starts(2)).tolist()))
+    assert len(set(keys.values())) == len(keys) == 4  # en: a b, b a, ab a; und: a b

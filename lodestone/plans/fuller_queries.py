@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import fields as L
 from lodestone.functions import safety as Y
+from lodestone.functions import statistics as X
 from lodestone.functions import text as T
 from lodestone.functions import vector as V
 from lodestone.operators import chunking as C
@@ -82,16 +83,21 @@ def rrf_by_source(spark, d):
 
 @query(
     "best_hit_expansion",
-    rf"""WITH {S.bm25()}, t AS ({S.top('bm25', 1)}), w AS (SELECT doc_id, i, substr(x, CAST(i * 448 + 1 AS BIGINT), 512) AS c FROM (SELECT doc_id, {S.collapsed("coalesce(text, '')")} AS x, unnest(range(0, CAST(ceil(length({S.collapsed("coalesce(text, '')")}) / 448) AS BIGINT))) AS i FROM documents))
-SELECT query_id, t.doc_id, count(*) AS n_chunks, md5(string_agg(c, chr(10) || chr(10) ORDER BY i)) AS content_md5 FROM t JOIN w ON w.doc_id = t.doc_id AND w.i <= 2 GROUP BY ALL""",
+    rf"""WITH {S.bm25()}, t AS ({S.top('bm25', 1)}), w AS (SELECT doc_id, i, substr(x, CAST(i * 448 + 1 AS BIGINT), 512) AS c FROM (SELECT doc_id, {S.collapsed("coalesce(text, '')")} AS x, unnest(range(0, CAST(ceil(length({S.collapsed("coalesce(text, '')")}) / 448) AS BIGINT))) AS i FROM documents)),
+h AS (SELECT query_id, t.doc_id, i FROM t JOIN w USING (doc_id) JOIN benchmark b ON b.item_id = t.query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(list_distinct({S.tokens('b.text')}), {S.tokens('c')})) DESC, i) = 1)
+SELECT query_id, h.doc_id, h.i AS hit, count(*) AS n_chunks, md5(string_agg(c, chr(10) || chr(10) ORDER BY w.i)) AS content_md5 FROM h JOIN w ON w.doc_id = h.doc_id AND w.i BETWEEN h.i - 1 AND h.i + 1 GROUP BY ALL""",
 )
 def best_hit_expansion(spark, d):
-    """RET31 and JN12: the best document's second window with the ones before and after it."""
-    docs = table(spark, d, "documents")
-    hit = R.top_k(R.bm25(docs, items(spark, d)), 1).select("query_id", "doc_id")
-    w = C.fixed_windows(docs.select("doc_id", "text")).where("chunk_index <= 2")
+    """RET31 and JN12: the window of the best document that holds most of the query's words, with the ones before and after it."""
+    docs, asked = table(spark, d, "documents"), items(spark, d)
+    hit = R.small(R.top_k(R.bm25(docs, asked), 1).select("query_id", "doc_id"))
+    w = C.fixed_windows(docs.select("doc_id", "text").join(hit.select("doc_id").distinct(), "doc_id", "left_semi"))
+    held = F.size(F.array_intersect(T.tokens(F.col("query")), T.tokens(F.col("content"))))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("held"), "chunk_index"))
+    best = w.join(hit, "doc_id").join(R.small(asked), "query_id").withColumn("held", held).withColumn("p", place).where("p = 1").select("query_id", "doc_id", F.col("chunk_index").alias("hit"))
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
-    return w.join(hit, "doc_id").groupBy("query_id", "doc_id").agg(n_().alias("n_chunks"), F.md5(F.array_join(F.transform(parts, lambda p: p["content"]), "\n\n")).alias("content_md5"))
+    near = w.join(best, "doc_id").where(F.abs(F.col("chunk_index") - F.col("hit")) <= 1)
+    return near.groupBy("query_id", "doc_id", F.col("hit").cast("long").alias("hit")).agg(n_().alias("n_chunks"), F.md5(F.array_join(F.transform(parts, lambda p: p["content"]), "\n\n")).alias("content_md5"))
 
 
 #: Sentences of the documents as evidence that two attempts found for every twentieth of them: those of the four documents after it, some found twice.
@@ -211,12 +217,12 @@ _CONFIGS = "(SELECT source AS label, round(avg(quality), 6) AS q, CAST(sum(lengt
 
 @query("pareto_tolerant", f"SELECT b.label, b.q, NOT EXISTS (SELECT 1 FROM {_CONFIGS} a WHERE a.label <> b.label AND a.q >= b.q AND a.cost <= b.cost AND a.latency <= b.latency * 1.15 AND (a.q > b.q OR a.cost < b.cost OR a.latency < b.latency)) AS optimal FROM {_CONFIGS} b")
 def pareto_tolerant(spark, d):
-    """AGG27: quality against cost and latency, with 15 % of tolerance on latency. Configurations are a few rows, broadcast to each other."""
+    """AGG27: quality against cost and latency, with 15 % of tolerance on latency. Configurations are broadcast to each other up to 100,000 of them."""
     m = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("n")).join(table(spark, d, "labels"), "doc_id")
     m = m.groupBy(F.col("source").alias("label")).agg(F.round(F.avg("quality"), 6).alias("q"), F.sum("n").cast("double").alias("cost"), F.max("n").cast("double").alias("latency"))
     a = m.select(*(F.col(c).alias(f"_{c}") for c in m.columns))
     beats = (F.col("_label") != F.col("label")) & (F.col("_q") >= F.col("q")) & (F.col("_cost") <= F.col("cost")) & (F.col("_latency") <= F.col("latency") * 1.15) & ((F.col("_q") > F.col("q")) | (F.col("_cost") < F.col("cost")) | (F.col("_latency") < F.col("latency")))
-    lost = m.join(F.broadcast(a), beats, "left_semi").select("label", F.lit(True).alias("lost"))
+    lost = m.join(R.small(a), beats, "left_semi").select("label", F.lit(True).alias("lost"))
     return m.join(lost, "label", "left").select("label", "q", F.col("lost").isNull().alias("optimal"))
 
 
@@ -279,7 +285,8 @@ def dashboard_panels(spark, d):
     """AGG39: histogram buckets and the panels drawn from them."""
     e = table(spark, d, "events")
     days = e.agg((F.datediff(F.max("ts"), F.min("ts")) + 1).alias("days"))
-    g = e.groupBy(F.col("event_type").alias("panel")).agg(F.round(F.percentile("value", 0.95), 4).alias("p95"), F.round(F.percentile("value", 0.99), 4).alias("p99"), *(F.count_if(F.col("value") <= b).alias(f"le_{b}") for b in (10, 50, 100)), n_().alias("le_inf"))
+    p = X.percentiles(e.withColumnRenamed("event_type", "panel"), ["panel"], "value", {"p95": 0.95, "p99": 0.99}).withColumns({"p95": F.round("p95", 4), "p99": F.round("p99", 4)})
+    g = e.groupBy(F.col("event_type").alias("panel")).agg(*(F.count_if(F.col("value") <= b).alias(f"le_{b}") for b in (10, 50, 100)), n_().alias("le_inf")).join(p, "panel")
     return g.crossJoin(F.broadcast(days)).withColumn("per_day", F.round(F.col("le_inf") / F.col("days"), 6)).drop("days")
 
 

@@ -114,7 +114,7 @@ def publish_version(spark, d):
     """DIFF7 and DIFF9: the pointer moves to version 2 (a second publish of it changes nothing) and the links of others are archived."""
     links = old_version(spark, d).select("source", F.lit(1).alias("version")).unionByName(new_version(spark, d).select("source", F.lit(2).alias("version")))
     pointer = links.groupBy("source").agg(F.max("version").alias("current"))  # one row a source
-    j = links.join(F.broadcast(pointer), "source")
+    j = links.join(pointer, "source")
     return j.groupBy("source", "version", F.when(F.col("version") == F.col("current"), "ACTIVE").otherwise("ARCHIVED").alias("status")).agg(n_().alias("links")).where("status = 'ACTIVE' or version < 2")
 
 

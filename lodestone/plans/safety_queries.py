@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import safety as Y
 from lodestone.operators import scope as A
+from lodestone.operators import retrieval as R
 from lodestone.plans import registry as S
 from lodestone.plans.registry import query, table
 
@@ -148,14 +149,18 @@ def privacy_sanitised(spark, d):
 
 @query(
     "context_partition",
-    f"SELECT doc_id % 50 AS query_id, count_if(risk < 50) AS kept, count_if(risk >= 50) AS quarantined, coalesce(string_agg(CASE WHEN risk >= 50 THEN key END, ',' ORDER BY key), '') AS quarantined_keys, round(avg(CASE WHEN risk < 50 THEN risk END), 6) AS mean_risk FROM ({_scored('SELECT *, ' + repr('d') + ' || doc_id AS key FROM documents', retrieved='true')}) GROUP BY ALL",
+    f"""WITH {S.bm25()}, t AS ({S.top('bm25', 10)}), x AS (SELECT query_id, key, risk FROM t JOIN ({_scored("SELECT *, 'd' || doc_id AS key FROM documents", retrieved='true')}) USING (doc_id))
+SELECT query_id, count_if(risk < 50) AS kept, count_if(risk >= 50) AS quarantined, coalesce(string_agg(CASE WHEN risk >= 50 THEN key END, ',' ORDER BY key), '') AS quarantined_keys, round(avg(CASE WHEN risk < 50 THEN risk END), 6) AS mean_risk FROM x GROUP BY ALL""",
 )
 def context_partition(spark, d):
-    """SAF4: each query's contexts (here the documents of one remainder) without those that carry instructions."""
-    x = _judged(table(spark, d, "documents").withColumns({"key": F.concat(F.lit("d"), F.col("doc_id")), "trust": F.lit("TOOL_RETRIEVED")}))
+    """SAF4: the ten contexts of each query without those that carry instructions; only these are scanned."""
+    docs = table(spark, d, "documents")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    top = R.top_k(R.bm25(docs, items), 10).select("query_id", "doc_id")
+    x = _judged(docs.join(R.small(top), "doc_id").withColumns({"key": F.concat(F.lit("d"), F.col("doc_id")), "trust": F.lit("TOOL_RETRIEVED")}))
     bad = F.col("x.risk") >= 50
-    held = F.array_join(F.array_sort(F.collect_list(F.when(bad, F.col("key")))), ",")
-    return x.groupBy((F.col("doc_id") % 50).alias("query_id")).agg(F.count_if(~bad).alias("kept"), F.count_if(bad).alias("quarantined"), held.alias("quarantined_keys"), F.round(F.avg(F.when(~bad, F.col("x.risk"))), 6).alias("mean_risk"))
+    held = F.array_join(F.array_sort(F.collect_list(F.when(bad, F.col("key")))), ",")  # ten at most
+    return x.groupBy("query_id").agg(F.count_if(~bad).alias("kept"), F.count_if(bad).alias("quarantined"), held.alias("quarantined_keys"), F.round(F.avg(F.when(~bad, F.col("x.risk"))), 6).alias("mean_risk"))
 
 
 @query(

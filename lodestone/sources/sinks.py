@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.generations import Folder
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
@@ -33,16 +35,26 @@ def exposition(metrics: DataFrame) -> DataFrame:
 
 
 def snapshot(df: DataFrame, path: str, version: int, keep: int = 3) -> DataFrame:
-    """Writes version as a partition and returns what a reader sees: the newest `keep` versions. Older ones are pruned by not being listed."""
+    """Writes version as a partition, deletes the folders of all but the newest `keep` versions and returns what is left."""
     df.withColumn("version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
-    whole = df.sparkSession.read.parquet(path)
-    newest = whole.select("version").distinct().orderBy(F.desc("version")).limit(keep)  # a few numbers
-    return whole.join(F.broadcast(newest), "version", "left_semi")
+    spark = df.sparkSession
+    folder = Folder(spark, path)
+    there = sorted(int(n.removeprefix("version=")) for n in folder.names() if n.startswith("version="))
+    for old in there[:-keep]:
+        folder.delete(f"version={old}")
+    return spark.read.parquet(path)
+
+
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """df, if it has no more rows than that; a report that would leave some out is an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows: write them as a table")
+    return df
 
 
-def markdown_report(df: DataFrame, title: str) -> str:
+def markdown_report(df: DataFrame, title: str, most: int = 1000) -> str:
     """A small result as a Markdown table: summaries of a few rows, which the driver formats."""
-    rows = df.limit(1000).collect()
+    rows = _few(df, most).collect()
     head = f"# {title}\n\n| {' | '.join(df.columns)} |\n|{' --- |' * len(df.columns)}"
     return "\n".join([head, *(f"| {' | '.join(str(v) for v in r)} |" for r in rows)])
 
@@ -53,4 +65,4 @@ def write_xlsx(df: DataFrame, path: str, most: int = 1_000_000) -> None:
 
     if importlib.util.find_spec("openpyxl") is None:
         raise RuntimeError("write_xlsx needs openpyxl")
-    df.limit(most).toPandas().to_excel(path, index=False)
+    _few(df, most).toPandas().to_excel(path, index=False)

@@ -10,6 +10,7 @@ from lodestone.functions import extend as E
 from lodestone.operators import changes as D
 from lodestone.plans import registry as S
 from lodestone.plans.registry import query, table
+from lodestone.sources import observations as O
 from lodestone.sources import parsers, sinks
 from lodestone.streaming import windows as W
 
@@ -46,11 +47,38 @@ def user_table_function(spark, d):
     return spark.sql("SELECT b.item_id, f.n, f.word FROM lodestone_benchmark b, LATERAL first_words(b.text) f")
 
 
-@query("observation_source", "SELECT 'trace-' || i % 7 AS trace_id, count(*) AS n, count_if(i % 11 = 0) AS errors, CAST(sum(i * 37 % 100) AS DOUBLE) AS total FROM range(200) t(i) GROUP BY ALL")
+_SEEN = "event_id long, user_id long, event_type string, value double"
+
+
+def _service(spark, d, pages: int) -> tuple[str, list]:
+    """A store of a service and the pages, by time, that it is going to give."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    return _path(spark), [p.drop("ts") for p in W.pages(e, W.seconds("ts"), pages)]
+
+
+@query("observation_source", "SELECT 'trace-' || user_id % 7 AS trace_id, count(*) AS n, count_if(event_type = 'error') AS errors, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def observation_source(spark, d):
-    """SRC15: a service that is read page by page through the data source interface."""
-    o = E.read_pages(spark, "id long, trace_id string, level string, value double", "lodestone.functions.extend:observations", pages=4, size=50)
-    return o.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("level") == "ERROR").alias("errors"), F.round(F.sum("value"), 2).alias("total"))
+    """SRC15: a service's store of events is read page by page through the data source interface, a task a page."""
+    store, pages = _service(spark, d, 5)
+    for k, page in enumerate(pages):
+        page.write.json(f"{store}/page-{k:06d}")
+    O.register(spark)
+    o = spark.read.format("observations").schema(_SEEN).option("path", store).load()
+    return o.groupBy(F.concat(F.lit("trace-"), F.col("user_id") % 7).alias("trace_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("online_scores", "SELECT event_id, round(value * 2, 4) AS score FROM events WHERE event_type <> 'error' AND value >= 5")
+def online_scores(spark, d):
+    """STR4: a stream scores what a service gives, two pages after each start, and writes each score once."""
+    store, pages = _service(spark, d, 6)
+    O.register(spark)
+    for k, page in enumerate(pages):
+        page.write.json(f"{store}/page-{k:06d}")
+        if k % 2:
+            seen = spark.readStream.format("observations").schema(_SEEN).option("path", store).load()
+            scored = seen.where("event_type <> 'error' and value >= 5").select("event_id", F.round(F.col("value") * 2, 4).alias("score"))
+            scored.writeStream.format("observations").option("path", f"{store}/out").option("checkpointLocation", f"{store}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, score double").json(f"{store}/out/scores").select("event_id", "score")
 
 
 #: What a layout service says of each page's first words: a title, a paragraph, a table, and a block without text; every ninth answer is broken.

@@ -166,3 +166,46 @@ def test_one_parent_of_all(spark):
     got = H.rooted(spark.range(5000).select("id", F.when(F.col("id") > 0, 0).cast("long").alias("parent")))
     assert {tuple(r) for r in got.groupBy("root", "depth").count().collect()} == {(0, 0, 1), (0, 1, 4999)}
     assert H.rooted(spark.createDataFrame([], "id long, parent long")).collect() == []
+
+
+# --- a service's pages and scores
+
+
+def test_scores_survive_restarts_and_repeated_commits(spark, tmp_path):
+    from lodestone.sources import observations as O
+
+    O.register(spark)
+    store = str(tmp_path / "service")
+
+    def run():
+        seen = spark.readStream.format("observations").schema("event_id long, value double, ts timestamp").option("path", store).load()
+        scored = seen.where("value > 0").select("event_id", (F.col("value") * 2).alias("score"))
+        scored.writeStream.format("observations").option("path", f"{store}/out").option("checkpointLocation", f"{store}/state").trigger(availableNow=True).start().awaitTermination()
+
+    def add(number, ids):
+        rows = [(i, float(i % 5), datetime.datetime(2024, 1, 1)) for i in ids]
+        spark.createDataFrame(rows, "event_id long, value double, ts timestamp").repartition(2).write.json(f"{store}/page-{number:06d}")
+
+    def scores():
+        return sorted((r["event_id"], r["score"]) for r in spark.read.schema("event_id long, score double").json(f"{store}/out/scores").collect())
+
+    want = lambda ids: sorted((i, 2.0 * (i % 5)) for i in ids if i % 5)
+    add(0, range(10))
+    add(1, range(10, 20))
+    add(3, range(900, 910))  # page 2 is not there yet
+    run()
+    assert scores() == want(range(20))
+    run()
+    assert scores() == want(range(20))
+    add(2, range(20, 30))
+    run()
+    assert scores() == want([*range(30), *range(900, 910)])
+    # A batch that is committed once more, as after a loss between commit and log, changes nothing.
+    writer = O._Writer(f"{store}/out")
+    from pyspark.sql import Row
+
+    writer.commit([writer.write(iter([Row(event_id=1, score=2.0)]))], 0)
+    assert scores() == want([*range(30), *range(900, 910)])
+    staged = writer.write(iter([Row(event_id=5, score=1.0)]))
+    writer.abort([staged, None], 9)
+    assert O._children(f"{store}/out/staged") == [] and spark.read.format("observations").schema("event_id long, value double, ts timestamp").option("path", store).load().count() == 40

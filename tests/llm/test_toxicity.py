@@ -141,3 +141,46 @@ def test_a_bounded_model_keeps_the_mass_of_what_it_leaves_out(spark):
         for context in np.unique(whole.kept[1][-1][0] >> T.WIDE)[::50]:
             after = (context << T.WIDE) + np.arange(256)
             assert np.allclose(model.likelihoods(after).sum(1), 1, atol=2e-3)
+
+
+def both_ways(docs, labels, monkeypatch):
+    """Scores as the query gives them, and with a model of all grams in arrays, however many."""
+    ours = T.score(docs, labels).collect()
+    fit = T.fit_model
+    monkeypatch.setattr(T, "fit_model", lambda counts: fit(counts, 1 << 40))
+    whole = T.score(docs, labels).collect()
+    by_id = lambda rows: sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["score"], r["held_out"]) for r in rows)
+    return by_id(ours), by_id(whole)
+
+
+def test_more_grams_than_a_task_holds_leave_nothing_out(spark, monkeypatch):
+    """Ordinary text of over MODEL_GRAMS different grams, most of them seen once."""
+    rng = np.random.default_rng(5)
+    docs = [(i, bytes(rng.integers(97, 123, 100_000, np.uint8)).decode()) for i in range(40)]
+    # parts of what was seen, so rare grams decide
+    docs += [(100 + i, docs[i % 40][1][500 * i : 500 * i + 300] + " grumlo snarvi" * (i % 3 == 0)) for i in range(120)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    ours, whole = both_ways(frame, spark.createDataFrame([(i, int(i >= 100 and i % 3 == 1)) for i, _ in docs], "doc_id long, toxic int"), monkeypatch)
+    assert len(ours) == len(docs) and np.allclose([r[2] for r in ours], [r[2] for r in whole], atol=1e-4)
+
+
+def test_grams_looked_up_by_joins(spark, odd_docs, monkeypatch):
+    """Forty grams in arrays and all others by joins, over odd rows and copies: as with all in arrays."""
+    docs, labels = corpus(spark, 150)
+    docs = docs.drop("toxic").unionByName(odd_docs.select("doc_id", "text")).unionByName(docs.limit(30).drop("toxic"))
+    monkeypatch.setattr(T, "MODEL_GRAMS", 40)
+    monkeypatch.setattr(T, "KNOWN_GRAMS", 40, raising=False)
+    ours, whole = both_ways(docs, labels, monkeypatch)
+    assert [r[:2] for r in ours] == [r[:2] for r in whole] and np.allclose([r[2] for r in ours], [r[2] for r in whole], atol=1e-4)
+
+
+def test_ratios_by_joins(spark, monkeypatch):
+    """Seen and unseen grams, against plain dictionaries."""
+    monkeypatch.setattr(T, "MODEL_GRAMS", 10)
+    texts = {0: ["the river ran over stones", "over the river"], 1: ["grumlo the river", "grumlost over"]}
+    model = T.fit_model(T.gram_counts(spark.createDataFrame([(t, c) for c, some in texts.items() for t in some], "text string, toxic int")))
+    levels, p = kneser_ney(texts)
+    number = lambda g: sum(ord(x) << 8 * k for k, x in enumerate(reversed(g)))
+    grams = sorted({*levels[0][5], *levels[1][5], "zzzzz", "xrive", "overq", "the s"})
+    got = {r["gram"]: r["ratio"] for r in model.ratios(spark.createDataFrame([(number(g),) for g in grams], "gram long")).collect()}
+    assert np.allclose([got[number(g)] for g in grams], [np.log(p(1, g)) - np.log(p(0, g)) for g in grams], atol=1e-4)

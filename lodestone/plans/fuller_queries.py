@@ -331,8 +331,7 @@ def compatible_fingerprints(spark, d):
 @query("embedding_hashes", "SELECT vec_id, sha256(array_to_string(list_transform(embedding, lambda v: format('{:.6f}', CAST(v AS DOUBLE))), ',')) AS embedding_hash FROM embeddings")
 def embedding_hashes(spark, d):
     """SCL1: vectors by six decimals of all their numbers."""
-    digits = F.transform("embedding", lambda v: F.format_string("%.6f", v.cast("double")))
-    return table(spark, d, "embeddings").select("vec_id", F.sha2(F.array_join(digits, ","), 256).alias("embedding_hash"))
+    return table(spark, d, "embeddings").select("vec_id", F.sha2(V.six_decimals(F.col("embedding")), 256).alias("embedding_hash"))
 
 
 #: Embeddings as stored texts, some broken.

@@ -77,3 +77,11 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "g")).count() == 4
     sinks.write_jsonl(rows, str(tmp_path / "j"))
     assert parsers.read_jsonl(spark, str(tmp_path / "j"), "k int, v string, w string", ["k", "w"]).first()["errors"] == ["w"]
+
+
+def test_six_decimals_are_rounded_from_the_exact_value(spark):
+    """0.0078125 and 0.0234375 lie halfway and go to the even digit; 3.4e38 has more digits than its shortest form."""
+    v = [0.0078125, 0.0234375, -0.0078125, 3.4e38, float("nan"), float("-inf"), None, 1.0]
+    want = ",".join(["0.007812", "0.023438", "-0.007812", f"{3.4e38:.6f}", "nan", "-inf", "1.000000"])
+    rows = spark.createDataFrame([(0, v), (1, []), (2, None)], "id int, v array<double>").select("id", V.six_decimals(F.col("v")).alias("x")).collect()
+    assert {r["id"]: r["x"] for r in rows} == {0: want, 1: "", 2: None}

@@ -52,3 +52,20 @@ def test_no_row_for_each_shared_term_is_shuffled(spark, tmp_path, monkeypatch):
     assert seen and "term" not in seen[0].columns
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "hashpartitioning" not in plan
+
+
+def test_fields_phrases_and_blocks(spark, monkeypatch):
+    """The best weighted field of each document, boosts, and no shuffle by query and document."""
+    for name, n in {"PENDING": 40, "QUERY_TERMS": 120}.items():
+        monkeypatch.setattr(X, name, n)
+    docs, asked = corpus(spark, 120)
+    own = docs.selectExpr("'k' || doc_id AS key", "split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS title", "text AS body", "CASE WHEN doc_id % 10 = 0 THEN array(doc_id, 8L) END AS held")
+    got = X.bm25_fields(own, asked, "key", {"title": 3.0, "body": 1.0}, {"held": 2.0})
+    want: dict = {}
+    for field, w in (("title", 3.0), ("body", 1.0)):
+        for r in R.bm25(own.selectExpr("key AS doc_id", f"{field} AS text"), asked).collect():
+            want[r["query_id"], r["doc_id"]] = max(want.get((r["query_id"], r["doc_id"]), 0.0), w * r["score"])
+    held = {r["key"]: r["held"] or [] for r in own.collect()}
+    want = {(q, k): round(s + (2.0 if q in held[k] else 0.0), 6) for (q, k), s in want.items()}
+    assert {(r["query_id"], r["key"]): round(r["score"], 6) for r in got.collect()} == want
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()

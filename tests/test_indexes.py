@@ -230,3 +230,14 @@ def test_sync(spark, tmp_path):
     b = spark.createDataFrame([(1, "x"), (2, None), (4, "z")], "id int, v string")
     assert G.sync(b, root, ["id"]) == {"added": 1, "changed": 1, "deleted": 1, "same": 1}
     assert rows_of(G.read(spark, root).fillna("-")) == [(1, "x"), (2, "-"), (4, "z")]
+
+
+def test_terms_are_counted_where_documents_are_read(spark):
+    """No occurrence is shuffled: a row for each document and distinct term leaves the scan. Repeated ids are one document."""
+    texts = [(1, "a b a a b"), (2, ""), (3, None), (4, "c"), (4, "c")]
+    docs = spark.createDataFrame(texts[:3], "doc_id long, text string")
+    entries = X._entries(docs, T.tokens, 4, 2)
+    assert "hashpartitioning" not in entries._jdf.queryExecution().executedPlan().toString()
+    assert {(r["doc_id"], r["term"], r["tf"], r["dl"]) for r in entries.collect()} == {(1, "a", 3, 5), (1, "b", 2, 5), (1, "", 1, 5), (2, "", 1, 0), (3, "", 1, 0)}
+    again = X._entries(spark.createDataFrame(texts, "doc_id long, text string"), T.tokens, 4, 2)
+    assert {(r["term"], r["tf"], r["dl"]) for r in again.where("doc_id = 4").collect()} == {("c", 2, 1), ("", 2, 1)}
